@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values the results depend on.
-CONTROL = r"[\x00-\x1f\x7f-\x9f  ]"
-SPACES = r"[\s\x1c-\x1f\x85\xa0  -     　]+"
+CONTROL = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
+SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 FIELD_LIMIT = 160
 
 

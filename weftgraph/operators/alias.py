@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from weftgraph.functions import paths
 from weftgraph.operators import scan
-from weftgraph.session import cut_count
+from weftgraph.session import cut, cut_count
 
 # Fixed values the results depend on.
 TS_NAMES = ("tsconfig.json", "tsconfig.app.json", "tsconfig.base.json", "jsconfig.json")
@@ -32,7 +32,7 @@ def _inside_join(base: Column, rel: Column) -> Column:
 
 def strip_json_comments(text: Column) -> Column:
     """JSONC to JSON: byte-order mark, comments and trailing commas go; strings stay."""
-    plain = F.regexp_replace(F.ltrim(F.lit("﻿"), text), rf"({_JSON_STRING})|{_COMMENT}", "$1")
+    plain = F.regexp_replace(F.regexp_replace(text, r"^\ufeff", ""), rf"({_JSON_STRING})|{_COMMENT}", "$1")
     return F.regexp_replace(plain, rf"({_JSON_STRING})|,(?=[ \t\r\n]*[}}\]])", "$1")
 
 
@@ -78,41 +78,41 @@ def ts_options(files: DataFrame) -> DataFrame:
     readable = files.where(
         ~F.col("is_symlink") & (F.col("size_bytes") <= MAX_CONFIG_BYTES) & F.col("content").isNotNull()
     ).select(KEY, "path", "content")
-    frontier = readable.where(
-        paths.basename(F.col("path")).isin(*TS_NAMES) & ~scan.in_ignored_dir(F.col("path"))
-    ).select(
-        KEY, F.col("path").alias("config"), "path", "content",
-        F.array().cast("array<int>").alias("chain"), F.array("path").alias("visited"),
+    shape = [
+        KEY, "config", "path", "chain", "visited", _ts_options(F.col("content")).alias("o")
+    ]
+    found = cut(
+        readable.where(
+            paths.basename(F.col("path")).isin(*TS_NAMES) & ~scan.in_ignored_dir(F.col("path"))
+        ).select(
+            KEY, F.col("path").alias("config"), "path", "content",
+            F.array().cast("array<int>").alias("chain"), F.array("path").alias("visited"),
+        ).select(*shape).select(*shape[:-1], "o.*")
     )
-    known = files.select(KEY, "path").withColumnRenamed("path", "parent")
-    found = None
-    for depth in range(MAX_EXTENDS + 1):
-        loaded, n = cut_count(
-            frontier.withColumn("o", _ts_options(F.col("content"))).select(
-                KEY, "config", "path", "chain", "visited", "o.*"
-            )
-        )
-        if n == 0 and found is not None:
-            break
-        found = loaded if found is None else found.unionByName(loaded)
-        if depth == MAX_EXTENDS:
-            break
+    loaded = found
+    for _ in range(MAX_EXTENDS):
         ref = _inside_join(paths.dirname(F.col("path")), F.col("ref"))
-        probe = (
+        refs, n = cut_count(
             loaded.select(KEY, "config", "path", "chain", "visited", F.posexplode("extends").alias("i", "ref"))
             .where(F.startswith("ref", F.lit(".")))
             .withColumn("chain", F.array_append("chain", -F.col("i")))
             .select(KEY, "config", "chain", "visited",
                     F.posexplode(F.array(ref, F.concat(ref, F.lit(".json")))).alias("rank", "parent"))
-            .join(known, [KEY, "parent"])
+        )
+        if not n:
+            break  # the corpus is read again only when a config refers to another file
+        probe = (
+            refs.join(files.select(KEY, F.col("path").alias("parent")), [KEY, "parent"])
             .groupBy(KEY, "config", "chain", "visited")
             .agg(F.min_by("parent", "rank").alias("path"))
             .where(~F.array_contains("visited", F.col("path")))
         )
-        frontier = probe.join(readable, [KEY, "path"]).select(
-            KEY, "config", "path", "content", "chain",
-            F.array_append("visited", F.col("path")).alias("visited"),
+        loaded = cut(
+            probe.join(readable, [KEY, "path"])
+            .withColumn("visited", F.array_append("visited", F.col("path")))
+            .select(*shape).select(*shape[:-1], "o.*")
         )
+        found = found.unionByName(loaded)
     directory = paths.dirname(F.col("path"))
     own_base = F.when(F.col("base_url").isNotNull(), _inside_join(directory, F.col("base_url")))
     return found.groupBy(KEY, "config").agg(

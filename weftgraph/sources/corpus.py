@@ -63,11 +63,37 @@ def part_edges(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
     )
 
 
-def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, aliased: bool) -> DataFrame:
+STYLES = ("plain", "aliased", "varied")
+
+
+def _varied_line(name: Column) -> Column:
+    """One of five import forms per language, chosen by the edge's two keys."""
+    k = (F.col("a") + F.col("b")) % 5
+    text = lambda *bits: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
+    folder, suffix = F.col("folder"), _pick(SUFFIXES, F.col("b") % 4)
+    js = (
+        F.when(k == 0, text("import { s", name, " as x", name, " } from '../", folder, "/m", name, "';\n"))
+        .when(k == 1, text("export { s", name, " as y", name, " } from '../", folder, "/m", name, suffix, "';\n"))
+        .when(k == 2, text("const { s", name, ": z", name, " } = require('../", folder, "/m", name, "');\n"))
+        .when(k == 3, text('export * from "../', folder, "/m", name, '";\n'))
+        .otherwise(text("const l", name, " = () => import('../", folder, "/m", name, "');\n"))
+    )
+    py = (
+        F.when(k == 0, text("from app.", folder, ".m", name, " import s", name, " as x\n"))
+        .when(k == 1, text("from ..", folder, ".m", name, " import s", name, "\n"))
+        .when(k == 2, text("import app.", folder, ".m", name, " as q\n"))
+        .when(k == 3, text("from ", folder, ".m", name, " import *\n"))
+        .otherwise(text("def f", name, "():\n    from ..", folder, ".m", name, " import s", name, "\n"))
+    )
+    return F.when(F.col("is_py"), py).otherwise(js)
+
+
+def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, style: str) -> DataFrame:
     """(project_id, p, lines): import statements of each importing file, by target key."""
     targets = parts(spark, sf_dir).select(
         "project_id", F.col("p").alias("b"), "folder", "is_py"
     )
+    aliased = style == "aliased"
     name = F.col("b").cast("string")
     prefix = F.lit("@/") if aliased else F.lit("../")
     line = F.when(
@@ -78,7 +104,8 @@ def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, aliased: boo
     )
     return (
         part_edges(spark, sf_dir, threshold).join(targets, ["project_id", "b"])
-        .select("project_id", F.col("a").alias("p"), "b", line.alias("line"))
+        .select("project_id", F.col("a").alias("p"), "b",
+                (_varied_line(name) if style == "varied" else line).alias("line"))
         .groupBy("project_id", "p")
         .agg(F.array_join(
             F.transform(F.sort_array(F.collect_list(F.struct("b", "line"))), lambda e: e["line"]), ""
@@ -86,10 +113,10 @@ def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, aliased: boo
     )
 
 
-def files(spark: SparkSession, sf_dir: str, threshold: int, aliased: bool = False) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, threshold: int, style: str = "plain") -> DataFrame:
     """The ``files`` table: generated source text of every part."""
     base = parts(spark, sf_dir)
-    lines = _import_lines(spark, sf_dir, threshold, aliased)
+    lines = _import_lines(spark, sf_dir, threshold, style)
     p = F.col("p").cast("string")
     none = F.lit("")
     external = F.when(
@@ -109,7 +136,7 @@ def files(spark: SparkSession, sf_dir: str, threshold: int, aliased: bool = Fals
         "project_id", "path", F.octet_length("content").cast("bigint").alias("size_bytes"),
         F.lit(False).alias("is_symlink"), "content",
     )
-    return out.unionByName(configs(spark, sf_dir)) if aliased else out
+    return out.unionByName(configs(spark, sf_dir)) if style == "aliased" else out
 
 
 def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,3 +199,68 @@ def known(spark: SparkSession, sf_dir: str, aliased: bool = False) -> DataFrame:
     """(project_id, path) of every corpus file, without generating any text."""
     out = parts(spark, sf_dir).select("project_id", "path")
     return out.unionByName(configs(spark, sf_dir).select("project_id", "path")) if aliased else out
+
+
+def messy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing of one awkward path per part, for the scan rules (no text)."""
+    p = F.col("p_partkey").cast("string")
+    k = F.col("p_partkey") % 9
+    text = lambda *bits: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
+    path = (
+        F.when(k == 0, text("node_modules/pkg/m", p, ".js")).when(k == 1, text("src/.hidden/m", p, ".ts"))
+        .when(k == 2, text("src/build/m", p, ".py")).when(k == 3, text("src/m", p, ".JS"))
+        .when(k == 4, text("src/m", p, ".d.ts")).when(k == 5, text("docs/m", p, ".md"))
+        .when(k == 6, text("src/__tests__/_m", p, ".py")).when(k == 7, text(".m", p, ".js"))
+        .otherwise(text("src/p", p, "/.js"))
+    )
+    return table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("project_id"), path.alias("path"),
+        (F.col("p_size").cast("bigint") * 60000).alias("size_bytes"),
+        (F.col("p_partkey") % 11 == 0).alias("is_symlink"), F.lit(None).cast("string").alias("content"),
+    )
+
+
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Throttle input: bucket = event type, client = user."""
+    micros = F.unix_micros(F.to_timestamp(F.concat(F.col("ts").cast("string"), F.lit("Z"))))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("bucket"), F.col("user_id").cast("string").alias("client"),
+        F.col("event_id").alias("hit_id"), micros.alias("ts_us"),
+    )
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archive listings: one archive per event type, entries in event order."""
+    i, n = F.col("event_id"), F.col("event_id").cast("string")
+    k = i % 6
+    text = lambda *bits: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
+    name = (
+        F.when((i % 2999 == 1500) & (F.col("event_type") == "error"), text("top/../../m", n, ".py"))
+        .when(k == 0, text("top/src/m", n, ".py")).when(k == 1, text("top/node_modules/m", n, ".js"))
+        .when(k == 2, text("top/docs/m", n, ".md")).when(k == 3, text("top/pkg", n, "/tsconfig.json"))
+        .when(k == 4, text("top/.github/m", n, ".py")).otherwise(text("top/m", n, ".tsx"))
+    )
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("archive"), i.alias("seq"), name.alias("name"),
+        ((i * 7919) % 2300000).alias("size"),
+        F.when(i % 13 == 0, "symlink").otherwise("file").alias("type"),
+    )
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stored analysis per order."""
+    return table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("snapshot_id"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("created_at"),
+        F.col("o_orderpriority").startswith("1").alias("is_private"),
+        F.col("o_custkey").cast("string").alias("owner"),
+    )
+
+
+def cache_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cache rows: every event stores a snapshot under a key of its user and type."""
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type").alias("cache_key"),
+        (F.col("event_id") * 2).cast("string").alias("snapshot_id"),
+        F.col("ts").cast("timestamp_ntz").alias("cached_at"), F.col("event_id").alias("seq"),
+    )
