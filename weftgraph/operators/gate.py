@@ -99,7 +99,7 @@ def report(
             blocks.append(row(offenders, 2, item, -F.col("score"), F.col("node_id")))
     else:
         md = style == "markdown"
-        name = (lambda c, **kw: text.code_span(c, **kw)) if md else (lambda c, **kw: text.plain(c))
+        name = text.code_span if md else text.plain
         first = (
             F.format_string("**%d files &middot; %d dependencies &middot; %s circular dependencies**", "file_count", "edge_count", label)
             if md else
@@ -112,7 +112,7 @@ def report(
                 else "NEW circular dependencies introduced (%d):", "new_cycles")
             blocks.append(row(head, 1, F.when(F.col("new_cycles") > 0, some).otherwise("No new circular dependencies.")))
             glue, lead = (" &harr; ", "- ") if md else (" <-> ", "  - ")
-            blocks.append(row(tangles, 2, F.concat(F.lit(lead), F.array_join(shape(name), glue)), key=joined_key))
+            blocks.append(row(tangles, 2, F.concat(F.lit(lead), F.array_join(shape(lambda c: name(c)), glue)), key=joined_key))
         if threshold is not None:
             some = F.lit(f"#### Files at or above risk threshold ({threshold})" if md
                          else f"Files at or above risk threshold {threshold}:")

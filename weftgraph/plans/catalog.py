@@ -244,9 +244,7 @@ def edges_merged(spark, d):
         F.when(F.col("l_returnflag") == "A", "import").when(F.col("l_returnflag") == "N", "require").otherwise("re-export").alias("type"),
         F.array(sym(F.col("l_linenumber")), sym(F.col("l_suppkey") % 4), sym(F.col("l_suppkey") % 4)).alias("symbols"),
     )
-    merged = graph.edges(resolved)
-    return merged.select(KEY, "source", "target", F.size("symbols").alias("n_symbols"),
-                         F.size(F.array_distinct("symbols")).alias("n_distinct"))
+    return _edge_rows(graph.edges(resolved))
 
 
 @query
