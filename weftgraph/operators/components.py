@@ -83,49 +83,62 @@ def _trim(links: DataFrame, count: int) -> tuple[DataFrame, int]:
     return links, 0
 
 
-def _two_way_labels(links: DataFrame) -> DataFrame:
-    """(node, f, b): smallest node that reaches it, and smallest node it reaches.
+def _spread(state: DataFrame, both: DataFrame) -> DataFrame:
+    """One step of the two labels along the edges; ``f0``/``b0`` are carried along.
 
-    A label is itself a node with labels, so each round also jumps through it.
+    ``both`` holds each edge twice, so one join sends f forward and b back.
     """
-    ends = links.select(KEY, F.col("source").alias("node")).unionByName(
-        links.select(KEY, F.col("target").alias("node"))
-    ).distinct()
-    state = ends.withColumns({"f": F.col("node"), "b": F.col("node")})
-    state = cut(state)
+    sent = both.join(state.select(KEY, F.col("node").alias("src"), "f", "b"), [KEY, "src"]).select(
+        KEY, F.col("dst").alias("node"),
+        F.when(F.col("forward"), F.col("f")).alias("f"), F.when(~F.col("forward"), F.col("b")).alias("b"),
+    )
+    return (
+        state.unionByName(sent, allowMissingColumns=True).groupBy(KEY, "node")
+        .agg(*[F.min(c).alias(c) for c in ("f", "b", "f0", "b0")])
+    )
+
+
+def _jump(state: DataFrame, known: DataFrame) -> DataFrame:
+    """The label of my label also holds for me; ``known`` may be an older state."""
+    return (
+        state.join(known.select(KEY, F.col("node").alias("f"), F.col("f").alias("ff")), [KEY, "f"])
+        .join(known.select(KEY, F.col("node").alias("b"), F.col("b").alias("bb")), [KEY, "b"])
+        .select(KEY, "node", F.least("f", "ff").alias("f"), F.least("b", "bb").alias("b"), "f0", "b0")
+    )
+
+
+def _two_way_labels(links: DataFrame, salt: int) -> DataFrame:
+    """(node, f, b): the least node that reaches it, and the least node it reaches.
+
+    "Least" is by a hash that changes with ``salt``, which keeps the expected
+    number of passes logarithmic whatever the file names are. A label is a
+    node with labels of its own, so each job also jumps through it.
+    """
+    both = cut(links.select(KEY, F.explode(F.array(
+        F.struct(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(True).alias("forward")),
+        F.struct(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit(False).alias("forward")),
+    )).alias("e")).select(KEY, "e.*"))
+    label = F.struct(F.xxhash64(F.lit(salt), F.col("src")).alias("h"), F.col("src").alias("id"))
+    state = both.select(KEY, label.alias("node")).distinct().withColumns(
+        {"f": F.col("node"), "b": F.col("node")}
+    )
+    tag = lambda c: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("id")).alias(c)
+    both = both.select(KEY, tag("src"), tag("dst"), "forward")
     for _ in range(ROUND_LIMIT):
-        blank = F.lit(None).cast("string")
-        down = links.join(
-            state.select(KEY, F.col("node").alias("source"), "f"), [KEY, "source"]
-        ).select(KEY, F.col("target").alias("node"), "f", blank.alias("b"))
-        up = links.join(
-            state.select(KEY, F.col("node").alias("target"), "b"), [KEY, "target"]
-        ).select(KEY, F.col("source").alias("node"), blank.alias("f"), "b")
-        mine = state.withColumns({"f0": F.col("f"), "b0": F.col("b")})
-        merged = (
-            mine.unionByName(down, allowMissingColumns=True).unionByName(up, allowMissingColumns=True)
-            .groupBy(KEY, "node")
-            .agg(F.min("f").alias("f"), F.min("b").alias("b"),
-                 F.min("f0").alias("f0"), F.min("b0").alias("b0"))
-        )
-        # f of my f also reaches me; likewise b of my b
-        jumped = (
-            merged.join(state.select(KEY, F.col("node").alias("f"), F.col("f").alias("ff")), [KEY, "f"])
-            .join(state.select(KEY, F.col("node").alias("b"), F.col("b").alias("bb")), [KEY, "b"])
-            .select(KEY, "node", F.least("f", "ff").alias("f"), F.least("b", "bb").alias("b"), "f0", "b0")
-        )
+        old = state.withColumns({"f0": F.col("f"), "b0": F.col("b")})
+        stepped = _spread(_jump(_spread(old, both), state), both)
         changed = F.sum(((F.col("f") != F.col("f0")) | (F.col("b") != F.col("b0"))).cast("int"))
-        state, seen = cut_measure(jumped, changed=changed)
+        state, seen = cut_measure(stepped, changed=changed)
         state = state.drop("f0", "b0")
         if not seen["changed"]:
-            return state
+            return state.select(KEY, *[F.col(f"{c}.id").alias(c) for c in ("node", "f", "b")])
     raise RuntimeError(f"labels did not settle in {ROUND_LIMIT} rounds")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(project_id, component_id, node_id) of every component that holds a cycle.
 
-    component_id is the smallest node. Nodes whose two labels agree form one
+    component_id is its smallest node. Nodes whose two labels agree form one
     component with the label; the other edges can only be inside a component
     when both ends carry the same pair of labels, which shrinks the rest.
     """
@@ -140,10 +153,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         links, left = _trim(links, left)
         if not left:
             break
-        state = _two_way_labels(links)
+        state = _two_way_labels(links, salt=len(found))
         found.append(
             state.where(F.col("f") == F.col("b"))
-            .select(KEY, F.col("f").alias("component_id"), F.col("node").alias("node_id"))
+            .select(KEY, F.col("f").alias("pivot"), F.col("node").alias("node_id"))
         )
         rest = state.where(F.col("f") != F.col("b"))
         a = rest.select(KEY, F.col("node").alias("source"), "f", "b")
@@ -157,8 +170,10 @@ def strong_components(edges: DataFrame) -> DataFrame:
         members = found[0]
         for more in found[1:]:
             members = members.unionByName(more)
-        real = members.groupBy(KEY, "component_id").count().where("count > 1").drop("count")
-        grouped = members.join(real, [KEY, "component_id"], "left_semi")
+        real = members.groupBy(KEY, "pivot").agg(
+            F.min("node_id").alias("component_id"), F.count(F.lit(1)).alias("n")
+        ).where("n > 1").drop("n")
+        grouped = members.join(real, [KEY, "pivot"])
         alone = loops.join(grouped.select(KEY, "node_id"), [KEY, "node_id"], "left_anti")
         out = grouped.select(KEY, "component_id", "node_id").unionByName(
             alone.select(KEY, "component_id", "node_id")
@@ -183,14 +198,16 @@ def dependency_depth(nodes: DataFrame, edges: DataFrame, scc: DataFrame) -> Data
     ).where(F.col("source") != F.col("target")).distinct()
     links, left = cut_count(links)
     levels = []
+
+    def next_level(df):
+        sources = df.select(KEY, "source").distinct()
+        levels.append(sources)
+        return df.join(sources.withColumnRenamed("source", "target"), [KEY, "target"], "left_semi")
+
     for _ in range(ROUND_LIMIT):
         if not left:
             break
-        sources = links.select(KEY, "source").distinct()
-        levels.append(sources)
-        links, left = cut_count(
-            links.join(sources.withColumnRenamed("source", "target"), [KEY, "target"], "left_semi")
-        )
+        links, left = cut_count(next_level(next_level(links)).select(KEY, "source", "target"))
     if left:
         raise RuntimeError(f"chains longer than {ROUND_LIMIT}")
     base = _relabel(nodes.select(KEY, "node_id", F.col("node_id").alias("c")), "c", mapping)

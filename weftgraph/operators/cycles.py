@@ -26,11 +26,17 @@ def _inner_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
     ).select(KEY, "source", "target")
 
 
-def _grow(paths: DataFrame, step: DataFrame) -> DataFrame:
-    """Every path extended by one edge that closes it or stays above its start."""
-    return paths.join(step, [KEY, "last"]).where(
-        (F.col("next") == F.col("start"))
-        | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next")))
+def _extend(paths: DataFrame, step: DataFrame) -> DataFrame:
+    """Open paths extended by one edge that closes them or stays above their start."""
+    closed = F.col("next") == F.col("start")
+    return (
+        paths.join(step, [KEY, "last"])
+        .where(closed | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))))
+        .select(
+            KEY, "start",
+            F.when(closed, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
+            F.col("next").alias("last"), closed.alias("closed"),
+        )
     )
 
 
@@ -51,11 +57,12 @@ def all_cycles(edges: DataFrame, scc: DataFrame) -> DataFrame:
         KEY, "start", F.array("start").alias("path"), F.col("start").alias("last")
     )
     found, hard = None, None
+    frontier = frontier.withColumn("closed", F.lit(False))
     while True:
+        # Two levels per job; what closed on the first is carried through the second.
+        once = _extend(frontier, step)
         grown, seen = cut_measure(
-            _grow(frontier, step).select(
-                KEY, "start", "path", "next", (F.col("next") == F.col("start")).alias("closed")
-            ),
+            _extend(once.where(~F.col("closed")), step).unionByName(once.where("closed")),
             closed=F.count_if("closed"), open=F.count_if(~F.col("closed")),
         )
         if seen["closed"]:
@@ -63,9 +70,7 @@ def all_cycles(edges: DataFrame, scc: DataFrame) -> DataFrame:
             found = new if found is None else found.unionByName(new)
         if not seen["open"]:
             break
-        frontier = grown.where(~F.col("closed")).select(
-            KEY, "start", F.array_append("path", F.col("next")).alias("path"), F.col("next").alias("last")
-        )
+        frontier = grown.where(~F.col("closed"))
         if found is not None:
             frontier = frontier.join(_over_cap(found), KEY, "left_anti")
         if seen["open"] > PATH_BUDGET:
