@@ -129,7 +129,7 @@ def repo_addresses(spark, d):
 
 
 def _admission(spark, d):
-    return manifest.admit(corpus.manifest(spark, d), max_entries=2000, max_unpacked=2_330_000_000, max_wanted=600)
+    return manifest.admit(corpus.manifest(spark, d), max_entries=2010, max_unpacked=2_330_000_000, max_wanted=850)
 
 
 @query

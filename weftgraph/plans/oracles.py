@@ -156,8 +156,8 @@ r as (select *, sum(1) over w entries, sum(size) over w unpacked from m window w
 t as (select *, (event_id_ok and size <= 2097152) take from (select *,
     seq % 13 <> 0 and not unsafe and seq % 6 in (0, 3, 5) event_id_ok from r)),
 k as (select *, sum(cast(take as int)) over (partition by archive order by seq) taken from t),
-f as (select archive, seq, case when unsafe then 'unsafe_path' when entries > 2000 or unpacked > 2330000000 then 'too_large'
-    when take and taken > 600 then 'too_many_files' end reason from k),
+f as (select archive, seq, case when unsafe then 'unsafe_path' when entries > 2010 or unpacked > 2330000000 then 'too_large'
+    when take and taken > 850 then 'too_many_files' end reason from k),
 rej as (select archive, arg_min(reason, seq + case when reason = 'too_many_files' then 1000000000000 else 0 end) reason,
     arg_min(seq, seq + case when reason = 'too_many_files' then 1000000000000 else 0 end) seq from f where reason is not null group by archive)"""
 _add("manifest_rejected", f"with {_MANIFEST} select archive, reason, seq from rej")
