@@ -1,4 +1,5 @@
 import random
+import time
 from collections import deque
 
 from pyspark.sql import functions as F
@@ -154,9 +155,15 @@ def test_throttle_stream(spark, tmp_path):
         stream = spark.readStream.schema(cols).parquet(str(tmp_path / "in"))
         run = (
             decide_stream(stream, 3, 60).writeStream.format("parquet").option("path", str(tmp_path / "out"))
-            .option("checkpointLocation", str(tmp_path / "ck")).start()
+            .option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
         )
-        run.processAllAvailable()
+        # idle clients are timed out by the clock, so the query itself never falls idle
+        expected = len(first) + (len(second) if i else 0)
+        for _ in range(60):
+            time.sleep(1)
+            if sum(p["numInputRows"] for p in run.recentProgress) and len(list((tmp_path / "out").glob("*.parquet"))):
+                if spark.read.parquet(str(tmp_path / "out")).count() >= expected:
+                    break
         run.stop()
     got = {r.hit_id: r.accepted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {k: v[0] for k, v in brute(first + second, 3, 60).items()}

@@ -16,8 +16,9 @@ def decide_stream(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame
     """Streaming ``hits(bucket, client, hit_id, ts_us)`` → decisions.
 
     State is at most ``limit`` times per client and is dropped when a client
-    stays away for a whole window. Run it as a continuous query: the clock that
-    drops idle clients keeps an ``availableNow`` run from ending.
+    stays away for a whole window. Run it as a continuous query with a
+    processing-time trigger: the clock that drops idle clients keeps an
+    ``availableNow`` run from ending.
     """
     window_us = window_seconds * 1_000_000
 
