@@ -110,20 +110,20 @@ def _jump(state: DataFrame, known: DataFrame) -> DataFrame:
 def _two_way_labels(links: DataFrame, salt: int) -> DataFrame:
     """(node, f, b): the least node that reaches it, and the least node it reaches.
 
-    "Least" is by a hash that changes with ``salt``, which keeps the expected
-    number of passes logarithmic whatever the file names are. A label is a
-    node with labels of its own, so each job also jumps through it.
+    "Least" is by the node number under a mask that changes with ``salt``,
+    which keeps the expected number of passes logarithmic. Labels are longs,
+    so the minima are hash aggregates. A label is a node with labels of its
+    own, so each job also jumps through it.
     """
+    mask = (salt * 0x9E3779B97F4A7C15) % (1 << 63)
+    masked = lambda c: F.col(c).bitwiseXOR(F.lit(mask).cast("bigint"))
     both = cut(links.select(KEY, F.explode(F.array(
-        F.struct(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(True).alias("forward")),
-        F.struct(F.col("target").alias("src"), F.col("source").alias("dst"), F.lit(False).alias("forward")),
+        F.struct(masked("source").alias("src"), masked("target").alias("dst"), F.lit(True).alias("forward")),
+        F.struct(masked("target").alias("src"), masked("source").alias("dst"), F.lit(False).alias("forward")),
     )).alias("e")).select(KEY, "e.*"))
-    label = F.struct(F.xxhash64(F.lit(salt), F.col("src")).alias("h"), F.col("src").alias("id"))
-    state = both.select(KEY, label.alias("node")).distinct().withColumns(
+    state = both.select(KEY, F.col("src").alias("node")).distinct().withColumns(
         {"f": F.col("node"), "b": F.col("node")}
     )
-    tag = lambda c: F.struct(F.xxhash64(F.lit(salt), F.col(c)).alias("h"), F.col(c).alias("id")).alias(c)
-    both = both.select(KEY, tag("src"), tag("dst"), "forward")
     for _ in range(ROUND_LIMIT):
         old = state.withColumns({"f0": F.col("f"), "b0": F.col("b")})
         stepped = _spread(_jump(_spread(old, both), state), both)
@@ -131,7 +131,7 @@ def _two_way_labels(links: DataFrame, salt: int) -> DataFrame:
         state, seen = cut_measure(stepped, changed=changed)
         state = state.drop("f0", "b0")
         if not seen["changed"]:
-            return state.select(KEY, *[F.col(f"{c}.id").alias(c) for c in ("node", "f", "b")])
+            return state.select(KEY, *[masked(c).alias(c) for c in ("node", "f", "b")])
     raise RuntimeError(f"labels did not settle in {ROUND_LIMIT} rounds")
 
 
@@ -148,15 +148,22 @@ def strong_components(edges: DataFrame) -> DataFrame:
     links, left = cut_count(
         edges.where(F.col("source") != F.col("target")).select(KEY, "source", "target").distinct()
     )
-    found = []
+    links, left = _trim(links, left)
+    found, names = [], None
+    if left:
+        # From here on nodes are numbers; the table is written, so they are stable.
+        names = cut(
+            links.select(KEY, F.explode(F.array("source", "target")).alias("node_id")).distinct()
+            .withColumn("id", F.monotonically_increasing_id())
+        )
+        for end in ("source", "target"):
+            number = names.select(KEY, F.col("node_id").alias(end), "id")
+            links = links.join(number, [KEY, end]).drop(end).withColumnRenamed("id", end)
+        links = cut(links)
     while left:
-        links, left = _trim(links, left)
-        if not left:
-            break
         state = _two_way_labels(links, salt=len(found))
         found.append(
-            state.where(F.col("f") == F.col("b"))
-            .select(KEY, F.col("f").alias("pivot"), F.col("node").alias("node_id"))
+            state.where(F.col("f") == F.col("b")).select(KEY, F.col("f").alias("pivot"), F.col("node").alias("id"))
         )
         rest = state.where(F.col("f") != F.col("b"))
         a = rest.select(KEY, F.col("node").alias("source"), "f", "b")
@@ -165,11 +172,13 @@ def strong_components(edges: DataFrame) -> DataFrame:
             links.join(a, [KEY, "source"]).join(z, [KEY, "target", "f", "b"])
             .select(KEY, "source", "target")
         )
+        links, left = _trim(links, left)
     out = loops
     if found:
         members = found[0]
         for more in found[1:]:
             members = members.unionByName(more)
+        members = members.join(names, [KEY, "id"])
         real = members.groupBy(KEY, "pivot").agg(
             F.min("node_id").alias("component_id"), F.count(F.lit(1)).alias("n")
         ).where("n > 1").drop("n")

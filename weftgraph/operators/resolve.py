@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths
+from weftgraph.operators import alias
 
 # Fixed values the results depend on: probing order of file endings.
 JS_ENDINGS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".d.ts")
@@ -126,8 +127,6 @@ def resolve(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = No
     on a stylesheet or on a file in an ignored directory. ``aliases`` is the
     output of ``alias.rules``; without it no config-based alias applies.
     """
-    from weftgraph.operators import alias  # alias builds on the lookup tables above
-
     known = files.select("project_id", "path")
     js = imports.where(F.col("language") == "javascript")
     local, external = classify(js)
