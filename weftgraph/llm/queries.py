@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import mix, place
+from weftgraph.llm import chat, langid, mix, pages, place, quality, tokens
 from weftgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,12 +20,55 @@ def query(fn):
     return fn
 
 
+@query
+def op2_language_id(spark, d):
+    docs = table(spark, d, "documents")
+    aside = langid.held_out(F.col("doc_id"))
+    model = langid.fit(docs.where(~aside))
+    return langid.predict(docs, model).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op4_main_text(spark, d):
+    return pages.main_text(table(spark, d, "pages"))
+
+
+@query
+def op5_chat_format(spark, d):
+    turns = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT -1L conv_id, t turn, r role, :x text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(t, r)", args={"x": hard})
+    return chat.read_chats(chat.format_chats(turns.unionByName(extra)))
+
+
 @query
 def op6_mix_sources(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text", "source")
     return mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op7_quality_rules(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    # the verdicts need no text after the counts, so none is written on the way
+    return quality.verdicts(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer() -> str:
+    """The tokenizer's file; PUBLIC_TOKENIZER names another place for it."""
+    if named := os.environ.get("PUBLIC_TOKENIZER"):
+        return named
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op9_token_files(spark, d):
+    return tokens.token_files(table(spark, d, "documents"), tokenizer())
+
+
 @query
 def op10_place_documents(spark, d):
     shards = [f"shard-{i:03d}" for i in range(place.SHARDS)]
