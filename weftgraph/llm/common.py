@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     """Runs of the batch's rows whose texts hold about ``most`` bytes, at least one row each."""
     texts = batch.column(batch.schema.get_field_index(column))
     start, held = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     for i, n in enumerate(lengths):
         if held and held + n > most:
             yield batch.slice(start, i - start)
@@ -46,7 +47,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts as one array, and where each text starts; a null is empty."""
-    texts = pa.compute.fill_null(texts, "").cast(pa.large_string())
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     held = texts.buffers()[2]
     data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, langid, mix, pages, place, quality, tokens
+from weftgraph.llm import chat, jaccard, langid, mix, pages, place, quality, tokens
 from weftgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,6 +20,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_jaccard_components(spark, d):
+    return jaccard.components(table(spark, d, "documents"), words=3, percent=90)
+
+
 @query
 def op2_language_id(spark, d):
     docs = table(spark, d, "documents")
@@ -49,9 +54,7 @@ def op6_mix_sources(spark, d):
 
 @query
 def op7_quality_rules(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    # the verdicts need no text after the counts, so none is written on the way
-    return quality.verdicts(docs).select(
+    return quality.verdicts(table(spark, d, "documents"), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
