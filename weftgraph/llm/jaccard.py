@@ -4,18 +4,21 @@ A document is the set of its distinct word n-grams; documents with one set form
 sizes x and y with Jaccard similarity t or more share at least t * max(x, y) tokens, so whatever the global order of
 tokens, their prefixes of lengths x - ceil(t x) + l and y - ceil(t y) + l share at least l tokens.
 
-1. Orders A and B are two hash orders of the tokens. Every class emits its prefix; a class stays if at least l of its prefix
-   tokens also stand in the prefix of another class. l grows with the set, so a passage that many documents share keeps none
-   of them, unless it makes up a good part of the prefix.
-2. Order C puts the tokens met most often in the prefixes last (the ``HOT`` most frequent; any choice gives the same
-   links) and is a third hash order otherwise. What is left is listed under the tokens of its prefix in C with l = 1.
-3. Candidates under a token would be all pairs, so links are found in two steps. Each class is first compared with at most two
-   others, those that are least or greatest under most of its tokens; the links found join classes to components. Then all pairs
-   under a token that lie in different components are compared. Pairs inside a component need no look, since only
-   components are asked for: groups of near copies cost a few comparisons each.
-4. A candidate is verified in full only if it also shares a prefix token in A and in B.
-
-Classes are named by 64 bits of a digest of their set.
+1. Order A is a hash order. Every class emits its prefix; a class stays if at least l of its prefix tokens also stand in the
+   prefix of another class. l grows with the set, so a passage that many documents share keeps none of them, unless it makes
+   up a good part of the prefix.
+2. Order B is another hash order, asked the same of those that stayed. In the third order the tokens that only one class has come
+   first: a class with u of them shares at most n - u tokens, and with more than the threshold allows it goes.
+3. What is left is listed under the prefix tokens of order C with l = 1. Candidates under a token would be all pairs, so links are found in
+   two steps. Each class is first compared with at most two others, those with the fewest tokens of their own under most of its
+   tokens; the links found join classes to components. Then the pairs under a token that lie in different components are
+   compared. Pairs inside a component need no look, since only components are asked for: groups of near copies cost a few
+   comparisons each.
+4. Sets are compared in blocks of classes, so a set travels once to a block however many of its pairs are there, and in full only if
+   the two share a prefix token in A and in B too.
+
+The sets of the classes that stayed after order A are made again from the texts, chosen by a bit table of fixed size; what it
+lets through by chance is sorted out by a join. Classes are named by 64 bits of a digest of their set.
 """
 
 from __future__ import annotations
@@ -24,8 +27,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,10 @@ from weftgraph.operators.components import weak_components
 from weftgraph.session import cut
 
 WORDS, PERCENT = 5, 80
-HOT = 1 << 16
+BITS = 1 << 26  # of the bit table, 8 MB
+PLACES = 3
+BLOCK = 1500  # classes on either side of a block of comparisons
+FIRST = 8  # tokens by which a pair is found under its first common token
 ORDER_B, ORDER_C = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -74,7 +78,7 @@ class Bounds:
         return -(-self.percent * n // 100)
 
     def shared(self, n: int) -> int:  # l
-        return max(1, (100 - self.percent) * n // 400)
+        return max(1, n // 20)
 
     def own(self, n: int) -> int:
         return n - self.need(n) + self.shared(n)
@@ -86,10 +90,6 @@ class Bounds:
         return 100 * both >= self.percent * (x + y - both)
 
 
-def _order_b(tokens: np.ndarray) -> np.ndarray:
-    return mixed(tokens ^ ORDER_B)
-
-
 def _signed(tokens: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(tokens).view(np.int64)
 
@@ -100,64 +100,88 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_signed(flat), pa.int64()))
 
 
+def _row_key(c: int, doc) -> int:
+    """Where a document of a class is looked up in the bit table."""
+    return int.from_bytes(hashlib.blake2b(f"{c} {doc}".encode(), digest_size=8).digest(), "little") >> 1
+
+
 def _sets(docs: DataFrame, k: int, bounds: Bounds, kind: str) -> DataFrame:
-    """(doc_id, n, c, prefix): size, class and emitted prefix in order A of every document."""
+    """(doc_id, n, c, row_key, prefix): size, class and emitted prefix in order A of every document."""
 
     def built(batches):
         for batch in batches:
             for piece in slices(batch):
                 sets = shingles(piece.column(1), k)
+                classes = [_class_of(s) for s in sets]
+                keys = map(_row_key, classes, piece.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(map(len, sets), pa.int64()), pa.array(map(_class_of, sets), pa.int64()),
-                     _lists([s[: bounds.emitted(len(s))] for s in sets])],
-                    names=["doc_id", "n", "c", "prefix"])
+                    [piece.column(0), pa.array(map(len, sets), pa.int64()), pa.array(classes, pa.int64()),
+                     pa.array(keys, pa.int64()), _lists([s[: bounds.emitted(len(s))] for s in sets])],
+                    names=["doc_id", "n", "c", "row_key", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(built, f"doc_id {kind}, n long, c long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(built, f"doc_id {kind}, n long, c long, row_key long, prefix array<long>")
 
 
-def _meeting(classes: DataFrame, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
-    """Of (c, n, prefix): the c with enough prefix tokens that another class emits too, and how many classes emit each token.
+def _meeting(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
+    """Of (c, n, prefix): the (c, n) with enough prefix tokens that another class emits too.
 
-    The postings are shuffled once for counts, combined before the shuffle, and once for a join that may split a hot token.
+    Only tokens are shuffled, combined before the shuffle: a token of one class names the class that has it alone.
     """
-    n = F.col("n")
-    need = F.ceil(F.lit(bounds.percent) * n / 100)
-    enough = F.greatest(F.lit(1), F.floor((100 - bounds.percent) * n / 400))
-    posted = classes.select("c", F.posexplode("prefix").alias("i", "token"), (n - need + enough).alias("own"))
-    counts = posted.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df"))
-    met = counts.where("low < high").select("token", "df")
-    found = posted.where("i < own").select("token", "c").join(met.select("token"), "token", "left_semi").groupBy("c").agg(
-        F.count(F.lit(1)).alias("met"))
-    return classes.select("c", "n").join(found, "c").where(F.col("met") >= enough).select("c"), met
-
-
-def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int, kind: str) -> DataFrame:
-    """(c, n, tokens) of the ``wanted`` (doc_id, c); texts travel compressed."""
-
-    def packed(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = pc.fill_null(batch.column(1), "").cast(pa.large_binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([squeeze.compress(t.as_buffer()) for t in texts], pa.binary())],
-                names=["doc_id", "packed"])
+    enough = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    own = F.col("n") - F.ceil(bounds.percent * F.col("n") / 100) + enough
+    posted = prefixes.select("c", own.alias("own"), F.posexplode("prefix").alias("i", "token"))
+    alone = (
+        posted.groupBy("token").agg(F.min("c").alias("c"), F.max("c").alias("high"), F.max(F.col("i") < F.col("own")).alias("counts"))
+        .where("c = high AND counts").groupBy("c").agg(F.count(F.lit(1)).alias("alone"))
+    )
+    classes = prefixes.where("n > 0").groupBy("c").agg(F.first("n").alias("n"))
+    return classes.join(alone, "c", "left").where(
+        F.least(own, F.col("n")) - F.coalesce("alone", F.lit(0)) >= enough).select("c", "n")
+
+
+def _marked(keys: DataFrame) -> np.ndarray:
+    """A table of ``BITS`` bits with ``PLACES`` bits set for each row_key."""
+    place = F.explode(F.array(*[(F.shiftright("row_key", 18 * i) % BITS) for i in range(PLACES)]))
+    rows = (
+        keys.select(place.alias("place"))
+        .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # BITS / 8 bytes at most
+    )
+    table = np.zeros(BITS // 8 + 8192, np.uint8)
+    for row in rows:
+        at = (row.bucket - 1) * len(row.bits)
+        table[at:at + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
+    return table
+
+
+def _is_marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    out = np.ones(len(keys), bool)
+    for i in range(PLACES):
+        place = (keys >> (18 * i)) % BITS
+        # bitmap_bucket_number is place // 32768 + 1, and 0 falls into the first bucket too
+        out &= (table[place >> 3] >> (place & 7) & 1).astype(bool)
+    return out
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(c, n, tokens) of the ``wanted`` (c, row_key), one row per class."""
+    table = docs.sparkSession.sparkContext.broadcast(_marked(wanted))
 
     def built(batches):
-        loosen = zstandard.ZstdDecompressor()
         for batch in batches:
-            for piece in slices(batch, "packed", 1 << 20):
-                texts = [loosen.decompress(t.as_buffer()) for t in piece.column(1)]
-                sets = shingles(pa.array(texts, pa.binary()).cast(pa.string()), k)
-                # a repeated id may stand for several texts: only the class asked for is kept
-                kept = [(c, s) for c, s in zip(piece.column(0).to_pylist(), sets, strict=True) if c == _class_of(s)]
+            for piece in slices(batch):
+                sets = shingles(piece.column(1), k)
+                classes = [_class_of(s) for s in sets]
+                keys = np.fromiter(map(_row_key, classes, piece.column(0).to_pylist()), np.int64, len(sets))
+                kept = np.flatnonzero(_is_marked(table.value, keys))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([c for c, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()),
-                     pa.array([s.tobytes() for _, s in kept], pa.binary())], names=["c", "n", "tokens"])
+                    [pa.array([classes[i] for i in kept], pa.int64()), pa.array(keys[kept]),
+                     pa.array([len(sets[i]) for i in kept], pa.int64()),
+                     pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=["c", "row_key", "n", "tokens"])
 
-    texts = docs.select("doc_id", "text").mapInArrow(packed, f"doc_id {kind}, packed binary")
-    wanted = wanted.select(F.col("doc_id").alias("_doc"), "c")
-    return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("c", "packed").mapInArrow(
-        built, "c long, n long, tokens binary")
+    made = docs.select("doc_id", "text").mapInArrow(built, "c long, row_key long, n long, tokens binary")
+    # a row that stands in the table twice has its set twice
+    return made.join(wanted, ["c", "row_key"], "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
 def _prefixes(sets: DataFrame, change, length) -> DataFrame:
@@ -173,31 +197,52 @@ def _prefixes(sets: DataFrame, change, length) -> DataFrame:
     return sets.select("c", "n", "tokens").mapInArrow(built, "c long, n long, prefix array<long>")
 
 
+def _alone(sets: DataFrame) -> DataFrame:
+    """(c, u): how many tokens of a set no other of the sets has; no row where there are none."""
+    tokens = _prefixes(sets, lambda t: t, lambda n: n).select("c", F.explode("prefix").alias("token"))
+    return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.min("c").alias("c")).where("df = 1").groupBy("c").agg(
+        F.count(F.lit(1)).alias("u"))
+
+
+def _sharing(sets: DataFrame, bounds: Bounds) -> DataFrame:
+    """(c, u) of the sets that share as many tokens with others as a link needs."""
+    return sets.select("c", "n").join(_alone(sets), "c", "left").select("c", "n", F.coalesce("u", F.lit(0)).alias("u")).where(
+        F.col("n") - F.col("u") >= F.ceil(bounds.percent * F.col("n") / 100)).select("c", "u")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     """The (a, b) among ``pairs`` that meet the threshold."""
-
-    def checked(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                first = [s[: bounds.own(len(s))] for s in (x, y)]
-                ok = bounds.linked(len(x), len(x), len(y)) and len(np.intersect1d(*first, assume_unique=True)) > 0
-                if ok and len(x) > 64:  # for small sets the overlap itself is as cheap
-                    second = [np.partition(z, s)[:s] if (s := bounds.own(len(z))) < len(z) else z for z in map(_order_b, (x, y))]
-                    ok = len(np.intersect1d(*second, assume_unique=True)) > 0
-                if ok:
-                    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                    ok = bounds.linked(int((y[at] == x).sum()), len(x), len(y))
-                keep.append(ok)
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
-
-    of = lambda name, tokens: sets.select(F.col("c").alias(name), F.col("tokens").alias(tokens))
-    return pairs.join(of("a", "left"), "a").join(of("b", "right"), "b").select("a", "b", "left", "right").mapInArrow(
-        checked, "a long, b long")
+    groups = max(1, -(-sets.count() // BLOCK))
+    side = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
+    placed = pairs.withColumn("block", side("a") * groups + side("b"))
+    asked = placed.select("block", F.explode(F.array("a", "b")).alias("c")).distinct()
+    held = asked.join(sets.select("c", "tokens"), "c").select("block", "c", "tokens")
+
+    def checked(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        tokens = {c: np.frombuffer(t.as_buffer(), np.uint64) for c, t in zip(held.column("c").to_pylist(), held.column("tokens"), strict=True)}
+        second: dict = {}
+
+        def in_b(c):
+            if c not in second:
+                z = mixed(tokens[c] ^ ORDER_B)
+                s = bounds.own(len(z))
+                second[c] = np.partition(z, s)[:s] if s < len(z) else z
+            return second[c]
+
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            x, y = sorted((tokens[a], tokens[b]), key=len)
+            ok = bounds.linked(len(x), len(x), len(y)) and len(
+                np.intersect1d(x[: bounds.own(len(x))], y[: bounds.own(len(y))], assume_unique=True)) > 0
+            if ok and len(x) > 64:  # for small sets the overlap itself is as cheap
+                ok = len(np.intersect1d(in_b(a), in_b(b), assume_unique=True)) > 0
+            if ok:
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                ok = bounds.linked(int((y[at] == x).sum()), len(x), len(y))
+            keep.append(ok)
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return placed.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(checked, "a long, b long")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -211,51 +256,54 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _may_link(bounds: Bounds, n, u, m, v):
+    """Whether sets of n and m tokens, u and v of them nobody else's, are near enough in size and share enough."""
+    overlap = F.ceil(bounds.percent * (n + m) / (100 + bounds.percent))
+    return ((100 * n >= bounds.percent * m) & (100 * m >= bounds.percent * n) & (n - u >= overlap) & (m - v >= overlap))
+
+
 def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame, DataFrame]:
     """((doc_id, n, c) of all documents, (c, comp) of the classes with a link to another class)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     base = cut(_sets(docs, k, bounds, kind))
-    # copies: one row per set, the document with the smallest id in front
-    classes = cut(base.where("n > 0").groupBy("c").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
-    stay, met = _meeting(classes, bounds)
-    hot = met.orderBy(F.desc("df"), "token").limit(HOT).select("token")
-    hot = np.sort(np.array([r.token for r in hot.collect()], np.int64).view(np.uint64))  # at most HOT tokens
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    sets = cut(_whole_sets(docs, classes.select("c", "doc_id").join(stay, "c", "left_semi"), k, kind))
-    stay, _ = _meeting(_prefixes(sets, _order_b, bounds.emitted), bounds)
-
-    def order_c(tokens):
-        frequent = shared.value
-        late = frequent[np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)] == tokens if len(frequent) else False
-        return mixed(tokens ^ ORDER_C) >> np.uint64(1) | np.where(late, np.uint64(1 << 63), np.uint64(0))
-
-    sets = cut(sets.join(stay, "c", "left_semi").dropDuplicates(["c"]))
-    postings = _prefixes(sets, order_c, lambda n: n - bounds.need(n) + 1).select("c", "n", F.explode("prefix").alias("token"))
+    stay = _meeting(base, bounds).select("c")
+    wanted = cut(base.groupBy("c").agg(F.min("row_key").alias("row_key")).join(stay, "c", "left_semi"))
+    sets = cut(_whole_sets(docs, wanted, k))
+    both = _meeting(_prefixes(sets, lambda t: mixed(t ^ ORDER_B), bounds.emitted), bounds).select("c").join(
+        _sharing(sets, bounds).select("c"), "c")
+    sets = cut(sets.join(both, "c", "left_semi"))
+    sets = cut(sets.join(_sharing(sets, bounds), "c"))  # once more, now that others have gone
+
+    postings = _prefixes(sets, lambda t: mixed(t ^ ORDER_C) >> np.uint64(1), lambda n: n - bounds.need(n) + 1).join(
+        sets.select("c", "u"), "c").select("c", "n", "u", F.slice("prefix", 1, FIRST).alias("first"), F.explode("prefix").alias("token"))
     postings = cut(postings)
-    several = postings.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    listed = cut(postings.join(several.select("token"), "token", "left_semi"))
+    met = postings.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    listed = cut(postings.join(met, "token", "left_semi"))
 
     # sizes that differ by more than the threshold allows never link; a band holds about one such factor
     band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(bounds.percent / 100)))
-    banded = listed.withColumn("band", band)
-    ends = banded.groupBy("token", "band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    stars = banded.join(ends, ["token", "band"]).select("c", F.explode(F.array("low", "high")).alias("star")).where("c <> star")
+    banded = listed.drop("first").withColumn("band", band)
+    centre = banded.groupBy("token", "band").agg(
+        F.min(F.struct((F.col("u") / F.col("n")).alias("r"), "c", "n", "u")).alias("s"))
+    stars = banded.join(centre, ["token", "band"]).where(F.col("c") != F.col("s.c")).where(
+        _may_link(bounds, F.col("n"), F.col("u"), F.col("s.n"), F.col("s.u"))).select("c", F.col("s.c").alias("star"))
     most = Window.partitionBy("c").orderBy(F.desc("times"), "star")
-    first = cut(stars.groupBy("c", "star").agg(F.count(F.lit(1)).alias("times")).withColumn("r", F.row_number().over(most))
-                .where("r <= 2").select(*_pair("c", "star")).distinct())
-    links = cut(_verified(first, sets, bounds))
-    comps = cut(_components(links))
-
-    placed = listed.join(comps, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    mixed_up = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-    open_ = cut(placed.join(mixed_up.select("token"), "token", "left_semi"))
-    parts = open_.select("token", "comp").distinct()
-    couples = parts.join(parts.withColumnRenamed("comp", "other"), "token").where("comp < other")
-    side = open_.select("token", F.col("comp").alias("other"), F.col("c").alias("d"), F.col("n").alias("m"))
-    fits = (100 * F.col("n") >= bounds.percent * F.col("m")) & (100 * F.col("m") >= bounds.percent * F.col("n"))
-    rest = couples.join(open_, ["token", "comp"]).join(side, ["token", "other"]).where(fits).select(*_pair("c", "d")).distinct()
-    rest = rest.join(first, ["a", "b"], "left_anti")
+    tested = cut(stars.groupBy("c", "star").agg(F.count(F.lit(1)).alias("times")).withColumn("r", F.row_number().over(most))
+                 .where("r <= 2").select(*_pair("c", "star")).distinct())
+    links = cut(_verified(tested, sets, bounds))
+
+    # one end of every other pair lies outside the component that has most classes under their token
+    placed = listed.join(_components(links), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where(
+        "parts > 1").select("token", "most")
+    open_ = cut(placed.join(largest, "token"))
+    other = open_.select("token", *[F.col(c).alias(f"_{c}") for c in ("c", "n", "u", "first", "comp")])
+    found_before = F.coalesce(F.array_min(F.array_intersect("first", "_first")) < F.col("token"), F.lit(False))
+    rest = open_.where("comp <> most").join(
+        other, (open_.token == other.token) & (F.col("comp") != F.col("_comp")) & ((F.col("_comp") == F.col("most")) | (F.col("c") < F.col("_c")))
+        & _may_link(bounds, F.col("n"), F.col("u"), F.col("_n"), F.col("_u")) & ~found_before).select(*_pair("c", "_c")).distinct()
+    rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     links = cut(links.unionByName(_verified(rest, sets, bounds)))
     return base.select("doc_id", "n", "c"), cut(_components(links))
 

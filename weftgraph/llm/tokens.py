@@ -7,7 +7,8 @@ document in the whole stream; the table of parts has one row per task and is lef
 
 A text is tokenised as pieces that start at single spaces between two characters which are not white space. The
 tokenizer's pattern always ends a match there, so pieces can be encoded alone, each different one once
-per cache, and put together by gathering.
+per cache, and put together by gathering. A piece goes through the tokenizer's own steps: its pattern cuts it into
+words, and its model encodes each different word once.
 """
 
 from __future__ import annotations
@@ -30,10 +31,23 @@ from weftgraph.session import scratch_path
 
 END_ID = 0
 FILE_IDS = 1 << 20
-SLICE = 8 << 20
-CACHE = 400_000  # different pieces remembered by a worker; past it the memory starts anew
+SLICE = 4 << 20
+CACHE = 200_000  # different pieces, and words, remembered by a worker; past it the memory starts anew
 FILE_SCHEMA = "part int, file int, first long, n_docs long, n_ids long, image binary"
 PIECES = re.compile(r"(?<=\S) (?=\S)")
+SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # not white space by any definition in use
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+# the tokenizer's pattern for texts of these characters; others go through the library's own splitter
+COMMON = re.compile(rf"[\t\n\x20-\x7e{LETTERS}]*")
+WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet of the vocabulary, for the characters of ``COMMON``: printable bytes stand for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x100)}
 
 
 class Pieces:
@@ -43,21 +57,31 @@ class Pieces:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        tokenizer = Tokenizer.from_file(path)
+        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
+        self.words: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self):
         self.known, self.held = {}, 0
         self.pool, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def _ids(self, piece: str) -> list[int]:
+        if not COMMON.fullmatch(piece):
+            return [t.id for mapped, _ in self.splitter.pre_tokenize_str(piece) for t in self.model.tokenize(mapped)]
+        words, found = self.words, WORDS.findall(piece)
+        for word in found:
+            if word not in words:
+                words[word] = [t.id for t in self.model.tokenize(word.translate(self.letters))]
+        return words[found[0]] if len(found) == 1 else [i for word in found for i in words[word]]
+
     def places(self, pieces: list[str]) -> np.ndarray:
         """Where each piece stands in ``start`` and ``length``; new ones are encoded."""
         known = self.known
         fresh = [p for p in pieces if p not in known]
         if fresh:
             fresh = list(dict.fromkeys(fresh))
-            coded = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            coded = [self._ids(p) for p in fresh]
             length = np.fromiter(map(len, coded), np.int64, len(coded))
             flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum()))
             while self.held + len(flat) > len(self.pool):
@@ -73,6 +97,8 @@ class Pieces:
         """(ids of all texts, number of ids of each)."""
         if len(self.known) > CACHE:
             self.clear()
+        if len(self.words) > CACHE:
+            self.words = {}
         texts = pc.fill_null(texts, "").cast(pa.large_string())
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())
@@ -83,8 +109,8 @@ class Pieces:
         begin = np.append(0, np.cumsum(counts))[:-1]
         first[begin] = True
         # a split holds only between two characters that are not white space
-        head = np.fromiter((s != "" and not s[0].isspace() for s in strings), bool, len(strings))
-        tail = np.fromiter((s != "" and not s[-1].isspace() for s in strings), bool, len(strings))
+        head, tail = (pc.match_substring_regex(coded.dictionary, side).to_numpy(zero_copy_only=False)
+                      for side in (rf"^{SOLID}", rf"{SOLID}\z"))
         wrong = ~first & ~(head[code] & np.append(False, tail[code[:-1]]))
         owner = np.repeat(np.arange(len(counts)), counts)
         odd = np.zeros(len(counts), bool)
