@@ -141,14 +141,14 @@ def _meeting(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
 
 def _marked(keys: DataFrame) -> np.ndarray:
     """A table of ``BITS`` bits with ``PLACES`` bits set for each row_key."""
-    place = F.explode(F.array(*[(F.shiftright("row_key", 18 * i) % BITS) for i in range(PLACES)]))
+    place = F.explode(F.array(*[F.shiftright("row_key", 18 * i) % BITS + 1 for i in range(PLACES)]))
     rows = (
         keys.select(place.alias("place"))
         .groupBy(F.bitmap_bucket_number("place").alias("bucket"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect()  # BITS / 8 bytes at most
     )
-    table = np.zeros(BITS // 8 + 8192, np.uint8)
-    for row in rows:
+    table = np.zeros(BITS // 8, np.uint8)
+    for row in rows:  # Spark counts bits and buckets from 1
         at = (row.bucket - 1) * len(row.bits)
         table[at:at + len(row.bits)] = np.frombuffer(bytes(row.bits), np.uint8)
     return table
@@ -158,7 +158,6 @@ def _is_marked(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     out = np.ones(len(keys), bool)
     for i in range(PLACES):
         place = (keys >> (18 * i)) % BITS
-        # bitmap_bucket_number is place // 32768 + 1, and 0 falls into the first bucket too
         out &= (table[place >> 3] >> (place & 7) & 1).astype(bool)
     return out
 
@@ -216,7 +215,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
     side = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
     placed = pairs.withColumn("block", side("a") * groups + side("b"))
     asked = placed.select("block", F.explode(F.array("a", "b")).alias("c")).distinct()
-    held = asked.join(sets.select("c", "tokens"), "c").select("block", "c", "tokens")
+    held = asked.join(sets.select("c", "tokens"), "c").select(F.col("block").alias("of_block"), "c", "tokens")
 
     def checked(pairs: pa.Table, held: pa.Table) -> pa.Table:
         tokens = {c: np.frombuffer(t.as_buffer(), np.uint64) for c, t in zip(held.column("c").to_pylist(), held.column("tokens"), strict=True)}
@@ -242,7 +241,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
             keep.append(ok)
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return placed.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(checked, "a long, b long")
+    return placed.groupBy("block").cogroup(held.groupBy("of_block")).applyInArrow(checked, "a long, b long")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -298,10 +297,10 @@ def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame
     largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where(
         "parts > 1").select("token", "most")
     open_ = cut(placed.join(largest, "token"))
-    other = open_.select("token", *[F.col(c).alias(f"_{c}") for c in ("c", "n", "u", "first", "comp")])
+    other = open_.select(*[F.col(c).alias(f"_{c}") for c in ("token", "c", "n", "u", "first", "comp")])
     found_before = F.coalesce(F.array_min(F.array_intersect("first", "_first")) < F.col("token"), F.lit(False))
     rest = open_.where("comp <> most").join(
-        other, (open_.token == other.token) & (F.col("comp") != F.col("_comp")) & ((F.col("_comp") == F.col("most")) | (F.col("c") < F.col("_c")))
+        other, (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & ((F.col("_comp") == F.col("most")) | (F.col("c") < F.col("_c")))
         & _may_link(bounds, F.col("n"), F.col("u"), F.col("_n"), F.col("_u")) & ~found_before).select(*_pair("c", "_c")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     links = cut(links.unionByName(_verified(rest, sets, bounds)))
