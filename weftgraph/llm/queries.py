@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, jaccard, langid, mix, pages, place, quality, tokens
+from weftgraph.llm import chat, jaccard, langid, mix, pages, place, quality, suffix, tokens
 from weftgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,11 @@ def op2_language_id(spark, d):
     return langid.predict(docs, model).select("doc_id", aside.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op3_long_repeats(spark, d):
+    return suffix.repeats(table(spark, d, "documents")).drop("kept")
+
+
 @query
 def op4_main_text(spark, d):
     return pages.main_text(table(spark, d, "pages"))
