@@ -36,6 +36,7 @@ CACHE = 200_000  # different pieces, and words, remembered by a worker; past it
 FILE_SCHEMA = "part int, file int, first long, n_docs long, n_ids long, image binary"
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # not white space by any definition in use
+SPACE = "\u0120"  # how the vocabulary writes a space
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # the tokenizer's pattern for texts of these characters; others go through the library's own splitter
 COMMON = re.compile(rf"[\t\n\x20-\x7e{LETTERS}]*")
@@ -67,9 +68,14 @@ class Pieces:
         self.pool, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _ids(self, piece: str) -> list[int]:
+        words = self.words
+        if piece.isascii() and (piece[1:] if piece[:1] == " " else piece).isalpha():  # one word
+            if piece not in words:
+                words[piece] = [t.id for t in self.model.tokenize(piece.replace(" ", SPACE))]
+            return words[piece]
         if not COMMON.fullmatch(piece):
             return [t.id for mapped, _ in self.splitter.pre_tokenize_str(piece) for t in self.model.tokenize(mapped)]
-        words, found = self.words, WORDS.findall(piece)
+        found = WORDS.findall(piece)
         for word in found:
             if word not in words:
                 words[word] = [t.id for t in self.model.tokenize(word.translate(self.letters))]
