@@ -60,10 +60,10 @@ TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the number of words before each text (one more at the end)."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~IS_SPACE[data]
+    inside[1:-1] = ~breaks[data]
     step = inside[1:] != inside[:-1]
     # two texts that touch without white space are still two words
     edge = offsets[1:-1]

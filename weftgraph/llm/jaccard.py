@@ -10,15 +10,16 @@ tokens, their prefixes of lengths x - ceil(t x) + l and y - ceil(t y) + l share
 2. Order B is another hash order, asked the same of those that stayed. In the third order the tokens that only one class has come
    first: a class with u of them shares at most n - u tokens, and with more than the threshold allows it goes.
 3. What is left is listed under the prefix tokens of order C with l = 1. Candidates under a token would be all pairs, so links are found in
-   two steps. Each class is first compared with at most two others, those with the fewest tokens of their own under most of its
+   two steps. Each class is first compared with at most two hubs, those with the fewest tokens of their own under most of its
    tokens; the links found join classes to components. Then the pairs under a token that lie in different components are
-   compared. Pairs inside a component need no look, since only components are asked for: groups of near copies cost a few
-   comparisons each.
+   compared. Pairs inside a component need no look, since only components are asked for. Of two classes compared with one
+   hub, what each shares with it and has beside it bounds what they share with each other. So groups of near copies
+   cost a few comparisons each.
 4. Sets are compared in blocks of classes, so a set travels once to a block however many of its pairs are there, and in full only if
    the two share a prefix token in A and in B too.
 
-The sets of the classes that stayed after order A are made again from the texts, chosen by a bit table of fixed size; what it
-lets through by chance is sorted out by a join. Classes are named by 64 bits of a digest of their set.
+The sets of the classes that stayed after order A are made again from the texts. They are chosen by a bit table of fixed size, as
+are those that stay later; what it lets through by chance is sorted out by a join. Classes are named by 64 bits of a digest of their set.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ WORDS, PERCENT = 5, 80
 BITS = 1 << 26  # of the bit table, 8 MB
 PLACES = 3
 BLOCK = 1500  # classes on either side of a block of comparisons
-FIRST = 8  # tokens by which a pair is found under its first common token
+FIRST = 12  # tokens by which a pair is found under its first common token
 ORDER_B, ORDER_C = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 
 
@@ -174,13 +175,24 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 keys = np.fromiter(map(_row_key, classes, piece.column(0).to_pylist()), np.int64, len(sets))
                 kept = np.flatnonzero(_is_marked(table.value, keys))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([classes[i] for i in kept], pa.int64()), pa.array(keys[kept]),
-                     pa.array([len(sets[i]) for i in kept], pa.int64()),
-                     pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=["c", "row_key", "n", "tokens"])
+                    [pa.array([classes[i] for i in kept], pa.int64()), pa.array([len(sets[i]) for i in kept], pa.int64()),
+                     pa.array([sets[i].tobytes() for i in kept], pa.binary())], names=["c", "n", "tokens"])
 
-    made = docs.select("doc_id", "text").mapInArrow(built, "c long, row_key long, n long, tokens binary")
-    # a row that stands in the table twice has its set twice
-    return made.join(wanted, ["c", "row_key"], "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+    made = docs.select("doc_id", "text").mapInArrow(built, "c long, n long, tokens binary")
+    # copies that got through, and rows that stand in the table twice, have the same set
+    return made.join(wanted.select("c"), "c", "left_semi").groupBy("c").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+
+
+def _only(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The sets of ``classes`` (c), and a few others by chance, without a shuffle."""
+    table = sets.sparkSession.sparkContext.broadcast(_marked(classes.select(F.shiftrightunsigned("c", 1).alias("row_key"))))
+
+    def chosen(batches):
+        for batch in batches:
+            keys = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(1)).view(np.int64)
+            yield batch.filter(pa.array(_is_marked(table.value, keys)))
+
+    return sets.mapInArrow(chosen, sets.schema)
 
 
 def _prefixes(sets: DataFrame, change, length) -> DataFrame:
@@ -209,15 +221,15 @@ def _sharing(sets: DataFrame, bounds: Bounds) -> DataFrame:
         F.col("n") - F.col("u") >= F.ceil(bounds.percent * F.col("n") / 100)).select("c", "u")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
-    """The (a, b) among ``pairs`` that meet the threshold."""
+def _compared(pairs: DataFrame, sets: DataFrame, bounds: Bounds, every: bool) -> DataFrame:
+    """(a, b, overlap, linked) of the ``pairs`` (a, b), all of them or only those that share prefix tokens in A and in B."""
     groups = max(1, -(-sets.count() // BLOCK))
     side = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
     placed = pairs.withColumn("block", side("a") * groups + side("b"))
-    asked = placed.select("block", F.explode(F.array("a", "b")).alias("c")).distinct()
+    asked = placed.select("block", F.col("a").alias("c")).unionByName(placed.select("block", F.col("b").alias("c"))).distinct()
     held = asked.join(sets.select("c", "tokens"), "c").select(F.col("block").alias("of_block"), "c", "tokens")
 
-    def checked(pairs: pa.Table, held: pa.Table) -> pa.Table:
+    def compare(pairs: pa.Table, held: pa.Table) -> pa.Table:
         tokens = {c: np.frombuffer(t.as_buffer(), np.uint64) for c, t in zip(held.column("c").to_pylist(), held.column("tokens"), strict=True)}
         second: dict = {}
 
@@ -228,20 +240,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, bounds: Bounds) -> DataFrame:
                 second[c] = np.partition(z, s)[:s] if s < len(z) else z
             return second[c]
 
-        keep = []
+        def worth(a, b, x, y):
+            if not bounds.linked(min(len(x), len(y)), len(x), len(y)):
+                return False
+            if not len(np.intersect1d(x[: bounds.own(len(x))], y[: bounds.own(len(y))], assume_unique=True)):
+                return False
+            # for small sets the overlap itself is as cheap
+            return min(len(x), len(y)) <= 64 or len(np.intersect1d(in_b(a), in_b(b), assume_unique=True)) > 0
+
+        rows = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
-            x, y = sorted((tokens[a], tokens[b]), key=len)
-            ok = bounds.linked(len(x), len(x), len(y)) and len(
-                np.intersect1d(x[: bounds.own(len(x))], y[: bounds.own(len(y))], assume_unique=True)) > 0
-            if ok and len(x) > 64:  # for small sets the overlap itself is as cheap
-                ok = len(np.intersect1d(in_b(a), in_b(b), assume_unique=True)) > 0
-            if ok:
+            x, y = tokens[a], tokens[b]
+            if every or worth(a, b, x, y):
                 at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                ok = bounds.linked(int((y[at] == x).sum()), len(x), len(y))
-            keep.append(ok)
-        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                overlap = int((y[at] == x).sum())
+                rows.append((a, b, overlap, bounds.linked(overlap, len(x), len(y))))
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["a", "b", "overlap", "linked"])
 
-    return placed.groupBy("block").cogroup(held.groupBy("of_block")).applyInArrow(checked, "a long, b long")
+    return placed.groupBy("block").cogroup(held.groupBy("of_block")).applyInArrow(compare, "a long, b long, overlap long, linked boolean")
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -255,9 +273,14 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
+def _need(bounds: Bounds, n, m):
+    """The overlap that links sets of n and m tokens."""
+    return F.ceil(bounds.percent * (n + m) / (100 + bounds.percent))
+
+
 def _may_link(bounds: Bounds, n, u, m, v):
     """Whether sets of n and m tokens, u and v of them nobody else's, are near enough in size and share enough."""
-    overlap = F.ceil(bounds.percent * (n + m) / (100 + bounds.percent))
+    overlap = _need(bounds, n, m)
     return ((100 * n >= bounds.percent * m) & (100 * m >= bounds.percent * n) & (n - u >= overlap) & (m - v >= overlap))
 
 
@@ -268,13 +291,12 @@ def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame
     stay = _meeting(base, bounds).select("c")
     wanted = cut(base.groupBy("c").agg(F.min("row_key").alias("row_key")).join(stay, "c", "left_semi"))
     sets = cut(_whole_sets(docs, wanted, k))
-    both = _meeting(_prefixes(sets, lambda t: mixed(t ^ ORDER_B), bounds.emitted), bounds).select("c").join(
-        _sharing(sets, bounds).select("c"), "c")
-    sets = cut(sets.join(both, "c", "left_semi"))
-    sets = cut(sets.join(_sharing(sets, bounds), "c"))  # once more, now that others have gone
+    sets = _only(sets, cut(_meeting(_prefixes(sets, lambda t: mixed(t ^ ORDER_B), bounds.emitted), bounds)))
+    sharing = cut(_sharing(sets, bounds))
+    sets = cut(_only(sets, sharing))
 
     postings = _prefixes(sets, lambda t: mixed(t ^ ORDER_C) >> np.uint64(1), lambda n: n - bounds.need(n) + 1).join(
-        sets.select("c", "u"), "c").select("c", "n", "u", F.slice("prefix", 1, FIRST).alias("first"), F.explode("prefix").alias("token"))
+        sharing, "c").select("c", "n", "u", F.slice("prefix", 1, FIRST).alias("first"), F.explode("prefix").alias("token"))
     postings = cut(postings)
     met = postings.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     listed = cut(postings.join(met, "token", "left_semi"))
@@ -285,25 +307,36 @@ def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame
     centre = banded.groupBy("token", "band").agg(
         F.min(F.struct((F.col("u") / F.col("n")).alias("r"), "c", "n", "u")).alias("s"))
     stars = banded.join(centre, ["token", "band"]).where(F.col("c") != F.col("s.c")).where(
-        _may_link(bounds, F.col("n"), F.col("u"), F.col("s.n"), F.col("s.u"))).select("c", F.col("s.c").alias("star"))
-    most = Window.partitionBy("c").orderBy(F.desc("times"), "star")
-    tested = cut(stars.groupBy("c", "star").agg(F.count(F.lit(1)).alias("times")).withColumn("r", F.row_number().over(most))
-                 .where("r <= 2").select(*_pair("c", "star")).distinct())
-    links = cut(_verified(tested, sets, bounds))
+        _may_link(bounds, F.col("n"), F.col("u"), F.col("s.n"), F.col("s.u"))).select("c", F.col("s.c").alias("hub"))
+    most = Window.partitionBy("c").orderBy(F.desc("times"), "hub")
+    chosen = cut(stars.groupBy("c", "hub").agg(F.count(F.lit(1)).alias("times")).withColumn("r", F.row_number().over(most))
+                 .where("r <= 2").select("c", "hub", *_pair("c", "hub")))
+    tested = cut(_compared(chosen.select("a", "b").distinct(), sets, bounds, every=True))
+    near = chosen.join(tested, ["a", "b"]).select("c", "hub", "overlap").unionByName(
+        sets.join(chosen.select(F.col("hub").alias("c")), "c", "left_semi").select("c", F.col("c").alias("hub"), F.col("n").alias("overlap")))
+    hubs = near.groupBy("c").agg(F.collect_list(F.struct("hub", "overlap")).alias("hubs"))  # two, and itself
 
     # one end of every other pair lies outside the component that has most classes under their token
-    placed = listed.join(_components(links), "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    comps = _components(tested.where("linked"))
+    placed = listed.join(comps, "c", "left").join(hubs, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
+    placed = cut(placed)
     sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("most"), F.count(F.lit(1)).alias("parts")).where(
         "parts > 1").select("token", "most")
     open_ = cut(placed.join(largest, "token"))
-    other = open_.select(*[F.col(c).alias(f"_{c}") for c in ("token", "c", "n", "u", "first", "comp")])
+    other = open_.select(*[F.col(c).alias(f"_{c}") for c in ("token", "c", "n", "u", "first", "comp", "hubs")])
     found_before = F.coalesce(F.array_min(F.array_intersect("first", "_first")) < F.col("token"), F.lit(False))
+    need = _need(bounds, F.col("n"), F.col("_n"))
+    # shared inside the hub, and outside it among the tokens that are not one class's alone
+    reach = lambda x, y: F.least(x["overlap"], y["overlap"]) + F.least(
+        F.col("n") - F.col("u") - x["overlap"], F.col("_n") - F.col("_u") - y["overlap"])
+    too_far = F.coalesce(F.exists("hubs", lambda x: F.exists("_hubs", lambda y: (x["hub"] == y["hub"]) & (reach(x, y) < need))), F.lit(False))
     rest = open_.where("comp <> most").join(
         other, (F.col("token") == F.col("_token")) & (F.col("comp") != F.col("_comp")) & ((F.col("_comp") == F.col("most")) | (F.col("c") < F.col("_c")))
-        & _may_link(bounds, F.col("n"), F.col("u"), F.col("_n"), F.col("_u")) & ~found_before).select(*_pair("c", "_c")).distinct()
+        & _may_link(bounds, F.col("n"), F.col("u"), F.col("_n"), F.col("_u")) & ~found_before & ~too_far).select(*_pair("c", "_c")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
-    links = cut(links.unionByName(_verified(rest, sets, bounds)))
+    links = cut(tested.where("linked").select("a", "b").unionByName(
+        _compared(rest, sets, bounds, every=False).where("linked").select("a", "b")))
     return base.select("doc_id", "n", "c"), cut(_components(links))
 
 

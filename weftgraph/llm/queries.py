@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, jaccard, langid, mix, pages, place, quality, suffix, tokens
+from weftgraph.llm import chat, jaccard, langid, leaks, mix, pages, place, quality, suffix, tokens
 from weftgraph.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,6 +63,11 @@ def op7_quality_rules(spark, d):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@query
+def op8_benchmark_leaks(spark, d):
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 def tokenizer() -> str:
     """The tokenizer's file; PUBLIC_TOKENIZER names another place for it."""
     if named := os.environ.get("PUBLIC_TOKENIZER"):
