@@ -3,12 +3,64 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weftgraph.llm import jaccard, leaks, mix, quality, tokens
 from weftgraph.llm.common import table
+from weftgraph.llm.queries import tokenizer
 from weftgraph.session import cut
 
-STAGES: list = []
-ORACLE_SQL = None
+USED = ("doc_id", "text", "lang", "source")
+ORACLE_SQL = None  # perplexity, latent retrieval and tokenisation are beyond SQL; tests hold the rows against plain Python
+
+
+def _apart(stage):
+    """Columns that a stage does not use go through it under names of their own, so that none can clash."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = {c: c if c in USED else f"_carried{i}" for i, c in enumerate(docs.columns)}
+        out = stage(spark, docs.withColumnsRenamed(names), sf_dir)
+        return out.select(*[F.col(now).alias(c) for c, now in names.items()])
+
+    return run_stage
+
+
+@_apart
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return quality.verdicts(docs).where("kept")
+
+
+@_apart
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents linked by 0.8 similar sets of five-word shingles, the one with the smallest id stays."""
+    return jaccard.representatives(docs)
+
+
+@_apart
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return leaks.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+@_apart
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Whole documents, as often as the mix takes them: not at all, once or twice."""
+    return mix.repeated(docs)
+
+
+def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files; (doc_id, start, n_tokens, ids_crc32) of every document in them."""
+    return tokens.token_files(docs, tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", source_mix),
+    ("token-ID / binary output", token_output),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

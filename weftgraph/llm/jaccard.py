@@ -354,3 +354,17 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
     return named.join(smallest, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents without near copies: of each component the one with the smallest doc_id stays, nulls last.
+
+    Of repeated ids the text with the smallest hash goes first, and of repeated rows one stays. Every text without words stays.
+    """
+    place = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(2**63 - 1).cast("decimal(20,0)")).cast("string"), 20, "0")
+    key = F.concat_ws("-", F.coalesce(place, F.lit("null")), F.hex(F.xxhash64("text")))
+    keyed = docs.withColumn("_key", key)
+    found = components(keyed.select(F.col("_key").alias("doc_id"), "text"), words, percent)
+    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    again = Window.partitionBy("_key").orderBy("_key")
+    return keyed.join(stay, "_key", "left_semi").withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns)

@@ -300,6 +300,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    held = leaks(docs, benchmark).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_held")), "left_anti")
+    """The documents that hold no benchmark item, with all their columns."""
+    key = F.xxhash64("doc_id", "text")
+    held = leaks(docs.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_held")).distinct()
+    return docs.join(held, key == F.col("_held"), "left_anti")

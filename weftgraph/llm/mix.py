@@ -137,3 +137,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
         .otherwise(F.lit(0)).cast("bigint"),
     })
     return added(docs, ["size", "source_size", "target", "taken", "copies"], placed)
+
+
+def repeated(docs: DataFrame, **settings) -> DataFrame:
+    """The mix as whole documents: each row as often as ``copies`` says."""
+    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
+    taken = mix(docs.select(*own), **settings)
+    return taken.select(*own, F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))).select(*own)
