@@ -66,8 +66,8 @@ class Vocabulary:
         return out
 
     def weigh(self, counts: np.ndarray, passages: int) -> None:
-        self.weight = np.log1p(passages / np.maximum(counts, 1))
-        self.outside = float(np.log1p(passages))
+        self.weight = np.log1p(max(passages, 1) / np.maximum(counts, 1))
+        self.outside = float(np.log1p(max(passages, 1)))
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the words that are in the vocabulary, their numbers)."""
@@ -121,16 +121,16 @@ def _gram(known: Vocabulary, hashes: np.ndarray, firsts: np.ndarray, size: int)
     norm = known.norms(at, number, group, np.bincount(passage, minlength=begin[-1]).astype(float))
     value = known.weight[number] / norm[group]
     dims = known.dims[number]
-    out = np.zeros(DIMS * DIMS)
+    codes, values = [np.zeros(0, np.int64)], [np.zeros(0)]
     n = np.bincount(group, minlength=begin[-1])
     ahead = np.cumsum(n)[group] - np.arange(len(group)) - 1  # found words of the passage that follow
     step, live = 0, np.arange(len(group))
     while len(live):  # each word with the step-th after it
-        pair = value[live] * value[live + step] * (1.0 if step == 0 else 2.0)
-        out += np.bincount(dims[live] * DIMS + dims[live + step], pair, DIMS * DIMS)
+        values.append(value[live] * value[live + step] * (1.0 if step == 0 else 2.0))
+        codes.append(dims[live] * DIMS + dims[live + step])
         step += 1
         live = live[ahead[live] >= step]
-    out = out.reshape(DIMS, DIMS)
+    out = np.bincount(np.concatenate(codes), np.concatenate(values), DIMS * DIMS).reshape(DIMS, DIMS)
     return ((out + out.T) / 2).astype(np.float32)
 
 

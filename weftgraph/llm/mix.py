@@ -39,7 +39,7 @@ def apportion(parties: DataFrame, group: list[str], weight: str, seats: str, ord
     Ties go to the first by ``order``. Parties of weight 0 get none.
     """
     within = Window.partitionBy(*group)
-    rate = lambda side: F.greatest(F.lit(0.0), (F.col(seats) + side * F.col("_n")) / F.col("_w"))
+    rate = lambda side: F.greatest(F.lit(0.0), F.try_divide(F.col(seats) + side * F.col("_n"), F.col("_w")))
     known = (
         parties.withColumns({"_w": F.sum(F.col(weight).cast("double")).over(within),
                              "_n": F.sum((F.col(weight) > 0).cast("int")).over(within)})
@@ -123,7 +123,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
     ))
     running = Window.partitionBy("source_key", "shard").orderBy("_order", "row.doc_id", "size").rowsBetween(
         Window.unboundedPreceding, 0)
-    spread = lambda b: F.floor((b * F.col("quota") + F.col("_from")) / F.col("blocks"))
+    spread = lambda b: F.floor(F.try_divide(b * F.col("quota") + F.col("_from"), F.col("blocks")))
 
     def taken_before(x: Column) -> Column:
         b = F.floor(x / block)
