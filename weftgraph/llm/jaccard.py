@@ -79,7 +79,7 @@ class Bounds:
         return -(-self.percent * n // 100)
 
     def shared(self, n: int) -> int:  # l
-        return max(1, n // 20)
+        return max(1, n // 10)
 
     def own(self, n: int) -> int:
         return n - self.need(n) + self.shared(n)
@@ -128,7 +128,7 @@ def _meeting(prefixes: DataFrame, bounds: Bounds) -> DataFrame:
 
     Only tokens are shuffled, combined before the shuffle: a token of one class names the class that has it alone.
     """
-    enough = F.greatest(F.lit(1), F.floor(F.col("n") / 20))
+    enough = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     own = F.col("n") - F.ceil(bounds.percent * F.col("n") / 100) + enough
     posted = prefixes.select("c", own.alias("own"), F.posexplode("prefix").alias("i", "token"))
     alone = (
@@ -221,11 +221,22 @@ def _sharing(sets: DataFrame, bounds: Bounds) -> DataFrame:
         F.col("n") - F.col("u") >= F.ceil(bounds.percent * F.col("n") / 100)).select("c", "u")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, bounds: Bounds, every: bool) -> DataFrame:
-    """(a, b, overlap, linked) of the ``pairs`` (a, b), all of them or only those that share prefix tokens in A and in B."""
+def _homes(sets: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(c, side): classes with one first hub on one side of the blocks of comparisons, or on several if they are many."""
+    hubs = chosen.select(F.col("hub").alias("c")).distinct().select("c", F.col("c").alias("own"))
+    homes = sets.select("c").join(chosen.where("r = 1").select("c", "hub"), "c", "left").join(hubs, "c", "left").select(
+        "c", F.coalesce("own", "hub", "c").alias("home"))
+    sizes = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
     groups = max(1, -(-sets.count() // BLOCK))
-    side = lambda c: F.pmod(F.xxhash64(c), F.lit(groups))
-    placed = pairs.withColumn("block", side("a") * groups + side("b"))
+    part = F.pmod(F.xxhash64("c"), F.col("parts"))
+    return homes.join(sizes, "home").select("c", F.pmod(F.xxhash64("home", part), F.lit(groups)).alias("side"))
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, homes: DataFrame, bounds: Bounds, every: bool) -> DataFrame:
+    """(a, b, overlap, linked) of the ``pairs`` (a, b), all of them or only those that share prefix tokens in A and in B."""
+    of = lambda c: homes.select(F.col("c").alias(c), F.col("side").alias(f"_{c}"))
+    placed = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select(
+        "a", "b", F.concat_ws(" ", "_a", "_b").alias("block"))
     asked = placed.select("block", F.col("a").alias("c")).unionByName(placed.select("block", F.col("b").alias("c"))).distinct()
     held = asked.join(sets.select("c", "tokens"), "c").select(F.col("block").alias("of_block"), "c", "tokens")
 
@@ -310,8 +321,9 @@ def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame
         _may_link(bounds, F.col("n"), F.col("u"), F.col("s.n"), F.col("s.u"))).select("c", F.col("s.c").alias("hub"))
     most = Window.partitionBy("c").orderBy(F.desc("times"), "hub")
     chosen = cut(stars.groupBy("c", "hub").agg(F.count(F.lit(1)).alias("times")).withColumn("r", F.row_number().over(most))
-                 .where("r <= 2").select("c", "hub", *_pair("c", "hub")))
-    tested = cut(_compared(chosen.select("a", "b").distinct(), sets, bounds, every=True))
+                 .where("r <= 2").select("c", "hub", "r", *_pair("c", "hub")))
+    homes = cut(_homes(sets, chosen))
+    tested = cut(_compared(chosen.select("a", "b").distinct(), sets, homes, bounds, every=True))
     near = chosen.join(tested, ["a", "b"]).select("c", "hub", "overlap").unionByName(
         sets.join(chosen.select(F.col("hub").alias("c")), "c", "left_semi").select("c", F.col("c").alias("hub"), F.col("n").alias("overlap")))
     hubs = near.groupBy("c").agg(F.collect_list(F.struct("hub", "overlap")).alias("hubs"))  # two, and itself
@@ -336,7 +348,7 @@ def class_components(docs: DataFrame, k: int, bounds: Bounds) -> tuple[DataFrame
         & _may_link(bounds, F.col("n"), F.col("u"), F.col("_n"), F.col("_u")) & ~found_before & ~too_far).select(*_pair("c", "_c")).distinct()
     rest = cut(rest.join(tested, ["a", "b"], "left_anti"))
     links = cut(tested.where("linked").select("a", "b").unionByName(
-        _compared(rest, sets, bounds, every=False).where("linked").select("a", "b")))
+        _compared(rest, sets, homes, bounds, every=False).where("linked").select("a", "b")))
     return base.select("doc_id", "n", "c"), cut(_components(links))
 
 
