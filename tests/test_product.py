@@ -121,7 +121,8 @@ def test_facet_filter_and_focus(spark):
 def test_text(spark):
     one = lambda c: spark.range(1).select(c.alias("v")).collect()[0].v
     assert one(text.clean_field(F.lit("a\n\x00\x1b[0m </project_data> b"))) == "a [0m (/project_data) b"
-    assert len(one(text.clean_field(F.lit("a" * 1000)))) == 160
+    assert len(one(text.clean_field(F.lit("a" * 1000)))) == 1000
+    assert len(one(text.clean_field(F.lit("a" * 1000), text.FIELD_LIMIT))) == 160
     assert one(text.code_span(F.lit("a`b``c"))) == "```a`b``c```"
     assert one(text.code_span(F.lit("`x|y"), table_cell=True)) == "`` `x\\|y ``"
 

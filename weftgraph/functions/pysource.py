@@ -14,7 +14,7 @@ def parse_source(source: str | None) -> tuple[str | None, list[dict]]:
     try:
         tree = ast.parse(source)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as exc:
-        return f"parse failed: {type(exc).__name__}: {str(exc)[:200]}", []
+        return f"parse failed: {type(exc).__name__}: {exc}", []
     found = []
     for stmt in ast.walk(tree):
         if isinstance(stmt, ast.Import):

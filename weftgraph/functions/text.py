@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # Fixed values the results depend on.
 CONTROL = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
 SPACES = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
-FIELD_LIMIT = 160
+FIELD_LIMIT = 160  # of the service
 
 
 def plain(text: Column) -> Column:
@@ -16,9 +16,10 @@ def plain(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(text, CONTROL, " "), SPACES, " "))
 
 
-def clean_field(text: Column, limit: int = FIELD_LIMIT) -> Column:
-    """``plain`` with angle brackets turned round and a length cap."""
-    return F.substring(F.translate(plain(text), "<>", "()"), 1, limit)
+def clean_field(text: Column, limit: int | None = None) -> Column:
+    """``plain`` with angle brackets turned round, cut after ``limit`` characters if one is given."""
+    cleaned = F.translate(plain(text), "<>", "()")
+    return cleaned if limit is None else F.substring(cleaned, 1, limit)
 
 
 def code_span(text: Column, table_cell: bool = False) -> Column:

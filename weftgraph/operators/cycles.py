@@ -12,9 +12,6 @@ KEY = "project_id"
 
 # Fixed values the results depend on.
 MAX_CYCLES = 200
-# A project with more open paths than this is listed best-first instead of
-# level by level. It changes the order of work, never the result.
-PATH_BUDGET = 20_000
 
 
 def _inner_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
@@ -26,64 +23,13 @@ def _inner_edges(edges: DataFrame, scc: DataFrame) -> DataFrame:
     ).select(KEY, "source", "target")
 
 
-def _extend(paths: DataFrame, step: DataFrame) -> DataFrame:
-    """Open paths extended by one edge that closes them or stays above their start."""
-    closed = F.col("next") == F.col("start")
-    return (
-        paths.join(step, [KEY, "last"])
-        .where(closed | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))))
-        .select(
-            KEY, "start",
-            F.when(closed, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
-            F.col("next").alias("last"), closed.alias("closed"),
-        )
-    )
-
-
-def _over_cap(found: DataFrame) -> DataFrame:
-    return found.groupBy(KEY).count().where(F.col("count") > MAX_CYCLES).select(KEY)
+def all_cycles(edges: DataFrame, scc: DataFrame, limit: int | None = MAX_CYCLES) -> DataFrame:
+    """(project_id, len, path): every cycle, or with a ``limit`` enough of the shortest to list that many and to tell that there are more.
 
-
-def all_cycles(edges: DataFrame, scc: DataFrame) -> DataFrame:
-    """(project_id, len, path): every cycle until a project has more than the cap.
-
-    A cycle is found once, from its smallest node, so it is already in
-    canonical rotation; levels come in order of length, so the shortest are
-    complete when a project is dropped for having enough.
+    A cycle is found once, from its smallest node, so it is already in canonical rotation.
     """
     inner = cut(_inner_edges(edges, scc))
-    step = inner.select(KEY, F.col("source").alias("last"), F.col("target").alias("next"))
-    frontier = inner.select(KEY, F.col("source").alias("start")).distinct().select(
-        KEY, "start", F.array("start").alias("path"), F.col("start").alias("last")
-    )
-    found, hard = None, None
-    frontier = frontier.withColumn("closed", F.lit(False))
-    while True:
-        # Two levels per job; what closed on the first is carried through the second.
-        once = _extend(frontier, step)
-        grown, seen = cut_measure(
-            _extend(once.where(~F.col("closed")), step).unionByName(once.where("closed")),
-            closed=F.count_if("closed"), open=F.count_if(~F.col("closed")),
-        )
-        if seen["closed"]:
-            new = grown.where("closed").select(KEY, F.size("path").alias("len"), "path")
-            found = new if found is None else found.unionByName(new)
-        if not seen["open"]:
-            break
-        frontier = grown.where(~F.col("closed"))
-        if found is not None:
-            frontier = frontier.join(_over_cap(found), KEY, "left_anti")
-        if seen["open"] > PATH_BUDGET:
-            crowded, n = cut_count(
-                frontier.groupBy(KEY).count().where(F.col("count") > PATH_BUDGET).select(KEY)
-            )
-            if n:
-                hard = crowded if hard is None else hard.unionByName(crowded)
-                frontier = frontier.join(crowded, KEY, "left_anti")
-    if hard is not None:
-        easy = found.join(hard, KEY, "left_anti") if found is not None else None
-        best = _best_first(inner.join(hard, KEY, "left_semi"))
-        found = best if easy is None else easy.unionByName(best)
+    found = _best_first(inner, limit)
     if found is None:
         found = inner.select(KEY, F.lit(0).alias("len"), F.array("source").alias("path")).limit(0)
     return found
@@ -109,13 +55,12 @@ def _way_back(inner: DataFrame) -> DataFrame:
         seen = seen.unionByName(frontier.withColumn("back", F.lit(dist)))
 
 
-def _best_first(inner: DataFrame) -> DataFrame:
-    """Cycles of crowded projects: always extend the paths that can close soonest.
+def _best_first(inner: DataFrame, limit: int | None) -> DataFrame | None:
+    """Always extend the paths that can close soonest.
 
     ``bound`` = length so far + steps back to the start, so a path is touched
     only when its shortest possible cycle is due.
     """
-    inner = cut(inner)
     back = cut(_way_back(inner))
     step = inner.select(KEY, F.col("source").alias("last"), F.col("target").alias("next")).join(
         back.select(KEY, "start", F.col("last").alias("next"), "back"), [KEY, "next"]
@@ -147,15 +92,15 @@ def _best_first(inner: DataFrame) -> DataFrame:
             new = rows.where("closed").select(KEY, F.size("path").alias("len"), "path")
             found = new if found is None else found.unionByName(new)
         pool = rows.where(~F.col("closed")).drop("closed")
-        if found is not None:
+        if found is not None and limit is not None:
             # a project may stop once its (cap + 1)th cycle is no longer than what is still due
             w = Window.partitionBy(KEY).orderBy("len")
-            limit = (
-                found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= MAX_CYCLES + 1)
+            done = (
+                found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit + 1)
                 .groupBy(KEY).agg(F.max("len").alias("enough"), F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") > MAX_CYCLES).drop("n")
+                .where(F.col("n") > limit).drop("n")
             )
-            pool = pool.join(limit, KEY, "left").where(
+            pool = pool.join(done, KEY, "left").where(
                 F.col("enough").isNull() | (F.col("bound") <= F.col("enough"))
             ).drop("enough")
         pool, n = cut_count(pool)
@@ -164,7 +109,7 @@ def _best_first(inner: DataFrame) -> DataFrame:
 
 
 def listed_cycles(found: DataFrame, limit: int = MAX_CYCLES) -> DataFrame:
-    """(project_id, cycle_id, len, chain): the shortest ``limit``, chain closed."""
+    """(project_id, cycle_id, len, chain): the shortest ``limit`` of cycles found with that limit or a higher one, chain closed."""
     w = Window.partitionBy(KEY).orderBy("len", "path")
     return (
         found.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= limit)

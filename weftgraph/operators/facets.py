@@ -61,7 +61,7 @@ def facet_filter(
 
 def search(nodes: DataFrame, text: str) -> DataFrame:
     """Case-insensitive substring of the path."""
-    return nodes.where(F.contains(F.lower("node_id"), F.lower(F.trim(F.lit(text))))).orderBy(KEY, "node_id")
+    return nodes.where(F.contains(F.lower("node_id"), F.lower(F.trim(F.lit(text)))))
 
 
 def folder_tree(nodes: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from weftgraph.operators.components import component_sizes
 from weftgraph.session import cut, cut_count
 
 KEY = "project_id"
-BETWEENNESS_LIMIT = 1500  # fixed value: larger projects get NULL
+BETWEENNESS_LIMIT = 1500  # fixed value of the service: larger projects are marked as skipped there
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -43,14 +43,14 @@ def degree_centrality(degree: DataFrame) -> DataFrame:
     return degree.join(node_counts(degree), KEY).withColumn("degree_centrality", value).drop("n")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = BETWEENNESS_LIMIT) -> DataFrame:
-    """(project_id, node_id, betweenness): shortest-path betweenness, NULL above ``limit`` nodes.
+def betweenness(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(project_id, node_id, betweenness): shortest-path betweenness, NULL above ``limit`` nodes if one is given.
 
     Shortest paths of all sources advance together, one level per job, and the
     dependencies are then summed level by level from the far end.
     """
     sizes = node_counts(nodes)
-    small = sizes.where(F.col("n") <= limit)
+    small = sizes if limit is None else sizes.where(F.col("n") <= limit)
     # loops and isolated files lie on no shortest path
     links = cut(
         edges.where(F.col("source") != F.col("target")).join(small, KEY, "left_semi")
@@ -98,7 +98,7 @@ def betweenness(nodes: DataFrame, edges: DataFrame, limit: int = BETWEENNESS_LIM
         base = base.join(sums, [KEY, "node_id"], "left")
         raw = F.coalesce("raw", F.lit(0.0))
     scaled = F.when(F.col("n") > 2, raw / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(raw)
-    return base.select(KEY, "node_id", F.when(F.col("n") <= limit, scaled).alias("betweenness"))
+    return base.select(KEY, "node_id", (scaled if limit is None else F.when(F.col("n") <= limit, scaled)).alias("betweenness"))
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:

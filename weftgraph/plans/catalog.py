@@ -30,25 +30,25 @@ def _joined(column: str, sep: str = ",") -> F.Column:
     return F.array_join(column, sep).alias(column)
 
 
-def _build(spark, d, threshold, style="plain"):
+def _build(spark, d, ranges, style="plain"):
     aliased = style == "aliased"
     return pipeline.build(
-        corpus.files(spark, d, threshold, style), corpus.known(spark, d, aliased), with_aliases=aliased
+        corpus.files(spark, d, ranges, style), corpus.known(spark, d, aliased), with_aliases=aliased
     )
 
 
-def _graph(spark, d, threshold):
-    nodes, edges = corpus.graph(spark, d, threshold)
+def _graph(spark, d, ranges):
+    nodes, edges = corpus.graph(spark, d, ranges)
     return nodes, cut(edges)
 
 
-def _scc(spark, d, threshold):
-    nodes, edges = _graph(spark, d, threshold)
+def _scc(spark, d, ranges):
+    nodes, edges = _graph(spark, d, ranges)
     return nodes, edges, components.strong_components(edges)
 
 
-def _wide(spark, d, threshold=corpus.CLEAN):
-    nodes, edges, scc = _scc(spark, d, threshold)
+def _wide(spark, d, ranges=corpus.CLEAN):
+    nodes, edges, scc = _scc(spark, d, ranges)
     return metrics.node_table(nodes, edges, scc), edges, scc
 
 
@@ -76,11 +76,14 @@ def scan_status_counts(spark, d):
 
 @query
 def project_ceiling(spark, d):
+    """The ceiling is the mean size of the corpus's projects."""
     listing = corpus.messy_files(spark, d)
-    admitted = scan.kept(scan.admit_projects(listing, 20)).groupBy(KEY).agg(
+    sizes = scan.kept(listing).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+    ceiling = int(sizes.agg(F.floor(F.avg("n")).alias("n")).first().n)
+    admitted = scan.kept(scan.admit_projects(listing, ceiling)).groupBy(KEY).agg(
         F.count(F.lit(1)).alias("kept_files"), F.lit("admitted").alias("status")
     )
-    rejected = scan.rejected_projects(listing, 20).withColumn("status", F.lit("rejected"))
+    rejected = scan.rejected_projects(listing, ceiling).withColumn("status", F.lit("rejected"))
     return admitted.unionByName(rejected)
 
 
@@ -129,7 +132,13 @@ def repo_addresses(spark, d):
 
 
 def _admission(spark, d):
-    return manifest.admit(corpus.manifest(spark, d), max_entries=2010, max_unpacked=2_330_000_000, max_wanted=850)
+    """Budgets a little over the mean archive, whatever the scale."""
+    listing = corpus.manifest(spark, d)
+    wanted = manifest.wanted_member(F.col("name"), F.col("type")) & (F.col("size") <= manifest.MAX_MEMBER_BYTES)
+    sums = listing.groupBy("archive").agg(
+        F.count(F.lit(1)).alias("e"), F.sum("size").alias("u"), F.count_if(wanted).alias("t"))
+    mean = sums.agg(*[F.floor(F.avg(c) * 1.005).alias(c) for c in ("e", "u", "t")]).first()
+    return manifest.admit(listing, max_entries=int(mean.e), max_unpacked=int(mean.u), max_wanted=int(mean.t))
 
 
 @query
@@ -234,8 +243,8 @@ def edges_merged(spark, d):
     )
     sym = lambda c: F.concat(F.lit("s"), c.cast("string"))
     resolved = w.select(
-        KEY, F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string"), F.lit(".js")).alias("path"),
-        F.concat(F.lit("m"), (F.col("l_partkey") % 20).cast("string"), F.lit(".js")).alias("target"),
+        KEY, F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".js")).alias("path"),
+        F.concat(F.lit("m"), (F.col("l_partkey") % 3).cast("string"), F.lit(".js")).alias("target"),
         F.lit("local").alias("kind"),
         F.struct(
             F.lit(0).alias("late"),
@@ -337,8 +346,8 @@ def nodes_in_cycles(spark, d):
     return nodes.join(scc.select(KEY, "node_id"), [KEY, "node_id"], "left_semi").select(KEY, "node_id")
 
 
-def _listed(spark, d, threshold):
-    _, edges, scc = _scc(spark, d, threshold)
+def _listed(spark, d, ranges):
+    _, edges, scc = _scc(spark, d, ranges)
     found = cut(cycles.all_cycles(edges, scc))
     return cycles.listed_cycles(found), cycles.truncated_projects(found), scc
 
@@ -403,7 +412,7 @@ def khop2(spark, d):
 @query
 def khop_clamped(spark, d):
     nodes, edges = _graph(spark, d, corpus.CLEAN)
-    found = reach.neighbourhood(edges, nodes.select(KEY, F.col("node_id").alias("root")), 9)
+    found = reach.neighbourhood(edges, nodes.select(KEY, F.col("node_id").alias("root")), 9, most=reach.MAX_HOPS)
     return found.groupBy(KEY, "root").agg(F.count(F.lit(1)).alias("reached"))
 
 
@@ -509,8 +518,8 @@ def imports_panel(spark, d):
 def snapshot_read(spark, d):
     """Two analyses stored, one read back."""
     path = scratch_path(spark, "snapshots")
-    for name, threshold in (("clean", corpus.CLEAN), ("knotted", corpus.KNOTTED)):
-        nodes, edges = corpus.graph(spark, d, threshold)
+    for name, ranges in (("clean", corpus.CLEAN), ("knotted", corpus.KNOTTED)):
+        nodes, edges = corpus.graph(spark, d, ranges)
         snapshots.write_snapshot({"nodes": nodes, "edges": edges}, path, name)
     return _edge_rows(snapshots.read_snapshot(spark, path, "edges", "knotted"))
 
@@ -529,8 +538,8 @@ def snapshot_evolution(spark, d):
     return snapshots.read_evolved(spark, path, new.schema, {"lines_of_code": 0, "truncated": False})
 
 
-def _baseline(spark, d, threshold):
-    nodes, edges, scc = _scc(spark, d, threshold)
+def _baseline(spark, d, ranges):
+    nodes, edges, scc = _scc(spark, d, ranges)
     found = cut(cycles.all_cycles(edges, scc))
     totals = nodes.groupBy(KEY).agg(F.count(F.lit(1)).alias("file_count")).join(
         edges.groupBy(KEY).agg(F.count(F.lit(1)).alias("edge_count")), KEY, "left"
@@ -706,8 +715,8 @@ def throttle_by_bucket(spark, d):
 
 # --- guided tour -------------------------------------------------------------
 
-def _stage(spark, d, threshold=corpus.CLEAN):
-    wide, edges, scc = _wide(spark, d, threshold)
+def _stage(spark, d, ranges=corpus.CLEAN):
+    wide, edges, scc = _wide(spark, d, ranges)
     return tour.prepare(wide, edges), edges, scc
 
 

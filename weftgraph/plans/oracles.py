@@ -22,13 +22,15 @@ parts as (select *, bn % 2 = 1 is_py,
          else 'src/' || folder || '/m' || p || suffix end path from parts0)"""
 
 
-def _edges(threshold: int, name: str = "edges") -> str:
+def _edges(ranges: int, name: str = "edges") -> str:
     return f"""
-{name}_l as (select project_id, p a, l_quantity q,
-    lead(p) over (partition by l_orderkey, project_id order by l_linenumber, p, l_quantity) b
+{name}_l as (select project_id, p a0, lead(p) over (partition by l_orderkey, project_id order by l_linenumber, p, l_quantity) b0
     from lineitem join parts on l_partkey = p),
-{name} as (select distinct e.project_id, a, b, x.path source, y.path target
-    from {name}_l e join parts x on x.p = a join parts y on y.p = b where q >= {threshold} and a <> b)"""
+{name}_u as (select *, a0 * {ranges} // (select count(*) from part) < b0 * {ranges} // (select count(*) from part) up
+    from {name}_l where a0 <> b0),
+{name}_o as (select distinct project_id, case when up then b0 else a0 end a, case when up then a0 else b0 end b from {name}_u),
+{name} as (select o.project_id, a, b, x.path source, y.path target
+    from {name}_o o join parts x on x.p = a join parts y on y.p = b)"""
 
 
 def _nodes(edges: str = "edges", name: str = "nodes") -> str:
@@ -70,10 +72,10 @@ def _category(path: str) -> str:
     return "case " + " ".join(whens) + " else 'Unknown' end"
 
 
-def _wide(threshold: int) -> tuple[str, ...]:
+def _wide(ranges: int) -> tuple[str, ...]:
     """CTEs up to ``wide``: the per-file table."""
     return (
-        _edges(threshold), _nodes(), _reach(), _scc(),
+        _edges(ranges), _nodes(), _reach(), _scc(),
         """deg as (select n.project_id, n.node_id, n.lines_of_code,
     cast(coalesce(i, 0) as int) in_degree, cast(coalesce(o, 0) as int) out_degree from nodes n
     left join (select project_id, target node_id, count(*) i from edges group by all) using (project_id, node_id)
@@ -97,11 +99,11 @@ def _wide(threshold: int) -> tuple[str, ...]:
     )
 
 
-def _cycles(threshold: int, suffix: str = "", limit_len: int = 100) -> tuple[str, ...]:
+def _cycles(ranges: int, suffix: str = "", limit_len: int = 100) -> tuple[str, ...]:
     """CTEs up to ``listed{suffix}``: elementary cycles by path growth from the smallest node."""
     s = suffix
     return (
-        _edges(threshold, f"edges{s}"), _reach(f"edges{s}", f"walk{s}"), _scc(f"walk{s}", f"scc{s}"),
+        _edges(ranges, f"edges{s}"), _reach(f"edges{s}", f"walk{s}"), _scc(f"walk{s}", f"scc{s}"),
         f"""inr{s} as (select e.project_id, e.source, e.target from edges{s} e
     join scc{s} x on x.project_id = e.project_id and x.node_id = e.source
     join scc{s} y on y.project_id = e.project_id and y.node_id = e.target and x.component_id = y.component_id)""",
@@ -137,7 +139,8 @@ _MESSY = """messy as (select p_brand project_id, case p_partkey % 9
 _add("scan_status", f"with {_MESSY} select * from messy")
 _add("scan_status_counts", f"with {_MESSY} select project_id, scan_status, count(*) files from messy group by all")
 _add("project_ceiling", f"""with {_MESSY} select project_id, count(*) kept_files,
-    case when count(*) > 20 then 'rejected' else 'admitted' end status from messy where scan_status = 'kept' group by all""")
+    case when count(*) > (select floor(avg(n)) from (select count(*) n from messy where scan_status = 'kept' group by project_id))
+      then 'rejected' else 'admitted' end status from messy where scan_status = 'kept' group by all""")
 _add("node_ids", "select p_brand project_id, p_partkey p, 'src/m' || p_partkey || '.js' node_id from part")
 _add("config_files", """select p_brand project_id, 'pkg' || p_partkey || '/' ||
     list_extract(['tsconfig.json', 'TSConfig.App.json', 'jsconfig.json', 'vite.config.mts'], cast(p_partkey % 7 as int) + 1) path
@@ -156,8 +159,10 @@ r as (select *, sum(1) over w entries, sum(size) over w unpacked from m window w
 t as (select *, (event_id_ok and size <= 2097152) take from (select *,
     seq % 13 <> 0 and not unsafe and seq % 6 in (0, 3, 5) event_id_ok from r)),
 k as (select *, sum(cast(take as int)) over (partition by archive order by seq) taken from t),
-f as (select archive, seq, case when unsafe then 'unsafe_path' when entries > 2010 or unpacked > 2330000000 then 'too_large'
-    when take and taken > 850 then 'too_many_files' end reason from k),
+g as (select floor(avg(e) * 1.005) me, floor(avg(u) * 1.005) mu, floor(avg(t) * 1.005) mt from (
+    select max(entries) e, max(unpacked) u, max(taken) t from k group by archive)),
+f as (select archive, seq, case when unsafe then 'unsafe_path' when entries > (select me from g) or unpacked > (select mu from g) then 'too_large'
+    when take and taken > (select mt from g) then 'too_many_files' end reason from k),
 rej as (select archive, arg_min(reason, seq + case when reason = 'too_many_files' then 1000000000000 else 0 end) reason,
     arg_min(seq, seq + case when reason = 'too_many_files' then 1000000000000 else 0 end) seq from f where reason is not null group by archive)"""
 _add("manifest_rejected", f"with {_MANIFEST} select archive, reason, seq from rej")
@@ -205,7 +210,7 @@ _add("alias_rules", _with() + """select * from (
       case when bn % 3 = 2 then '@' else '@/' end as prefix, '' as suffix, bn % 3 <> 2 as wildcard,
       case when bn % 3 = 2 then 'src' else 'src/*' end as targets, true as is_local from parts where not is_py
     union all select distinct project_id, '', 2, 'base', '', '', true, '', true from parts where not is_py and bn % 3 = 0)""")
-_add("edges_merged", """with w as (select p_brand project_id, 'o' || (l_orderkey % 50) || '.js' source, 'm' || (l_partkey % 20) || '.js' target,
+_add("edges_merged", """with w as (select p_brand project_id, 'o' || l_orderkey || '.js' source, 'm' || (l_partkey % 3) || '.js' target,
     l_orderkey * 1000 + l_linenumber * 100 + l_quantity ord, case l_returnflag when 'A' then 'import' when 'N' then 'require' else 're-export' end ty,
     ['s' || l_linenumber, 's' || (l_suppkey % 4), 's' || (l_suppkey % 4)] sy from lineitem join part on l_partkey = p_partkey)
   select project_id, source, target, arg_min(ty, (ord, ty)) as "type",
@@ -390,7 +395,7 @@ _add("report_json", _with(*_GATE) + """select project_id, 0 as "section", 0 sort
     union all select project_id, 1, 0, cast(to_json({'newCycle': string_split(members, ' > ')}) as varchar) from tangles
     union all select project_id, 2, -score, cast(to_json({'file': node_id, 'score': score}) as varchar) from wide where score >= 50""")
 _PLAIN = r"""trim(regexp_replace(regexp_replace({0}, '[\x00-\x1f\x7f-\x{{9f}}\x{{2028}}\x{{2029}}]', ' ', 'g'), '[\s\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"""
-_add("clean_fields", f"""select doc_id, substring(translate({_PLAIN.format('"text"')}, '<>', '()'), 1, 160) cleaned from documents""")
+_add("clean_fields", f"""select doc_id, translate({_PLAIN.format('"text"')}, '<>', '()') cleaned from documents""")
 _add("plain_text", f"select page_id, {_PLAIN.format('html')} as plain from pages")
 _add("code_spans", """with m as (select page_id, repeat('`', cast(page_id % 4 as int)) || url || '|a``b' t from pages),
     k as (select *, repeat('`', case when page_id % 4 = 3 then 4 else 3 end) f, case when page_id % 4 > 0 then ' ' else '' end pad from m)

@@ -37,7 +37,7 @@ def build(
     files: DataFrame, known: DataFrame | None = None, with_aliases: bool = True,
     ceiling: int | None = None,
 ) -> Build:
-    """Source text is read and parsed once; what follows works on the small parse table.
+    """Source text is parsed once; what follows works on the small parse table, and on imports resolved once.
 
     ``known(project_id, path)`` lists every existing file, scanned or not; by
     default it is read off ``files``. ``ceiling`` applies the per-project file
@@ -47,6 +47,6 @@ def build(
         files = scan.admit_projects(files, ceiling)
     known = files.select("project_id", "path") if known is None else known
     parsed = cut(extract.parse(scan.kept(files)))
-    rule_table = alias.rules(files) if with_aliases else None
-    resolved = resolve.resolve(extract.imports(parsed), known, rule_table)
+    rule_table = cut(alias.rules(files)) if with_aliases else None
+    resolved = cut(resolve.resolve(extract.imports(parsed), known, rule_table))
     return Build(parsed, resolved, graph.edges(resolved))

@@ -15,7 +15,9 @@ FOLDERS = (
     "config", "utils", "lib", "tests", "core",
 )
 SUFFIXES = (".js", ".jsx", ".ts", ".tsx")
-CLEAN, KNOTTED, TANGLED = 35, 25, 1  # minimum l_quantity of an edge's source line
+# Number of key ranges of a corpus. Edges between two ranges run from the higher one to the lower one, edges within a range
+# keep the direction of their line items: the more ranges, the fewer cycles.
+CLEAN, KNOTTED, TANGLED = 4, 2, 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +47,8 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def part_edges(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
-    """(project_id, a, b): each line item of an order to the next one of the same brand."""
+def part_edges(spark: SparkSession, sf_dir: str, ranges: int) -> DataFrame:
+    """(project_id, a, b): each line item of an order to the next one of the same brand, turned by the key ranges."""
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("project_id")
     )
@@ -54,12 +56,15 @@ def part_edges(spark: SparkSession, sf_dir: str, threshold: int) -> DataFrame:
         "l_orderkey", "l_partkey", "l_linenumber", "l_quantity"
     )
     w = Window.partitionBy("l_orderkey", "project_id").orderBy("l_linenumber", "l_partkey", "l_quantity")
+    n = table(spark, sf_dir, "part").count()  # from the file footers
+    at = lambda key: F.floor(F.col(key) * ranges / n)  # keys run from 0
+    up = at("a") < at("b")
     return (
         line.join(part, "l_partkey")
-        .select("project_id", F.col("l_partkey").alias("a"), "l_quantity",
-                F.lead("l_partkey").over(w).alias("b"))
-        .where((F.col("l_quantity") >= threshold) & (F.col("a") != F.col("b")))
-        .select("project_id", "a", "b").distinct()
+        .select("project_id", F.col("l_partkey").alias("a"), F.lead("l_partkey").over(w).alias("b"))
+        .where(F.col("a") != F.col("b"))
+        .select("project_id", F.when(up, F.col("b")).otherwise(F.col("a")).alias("a"),
+                F.when(up, F.col("a")).otherwise(F.col("b")).alias("b")).distinct()
     )
 
 
@@ -88,7 +93,7 @@ def _varied_line(name: Column) -> Column:
     return F.when(F.col("is_py"), py).otherwise(js)
 
 
-def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, style: str) -> DataFrame:
+def _import_lines(spark: SparkSession, sf_dir: str, ranges: int, style: str) -> DataFrame:
     """(project_id, p, lines): import statements of each importing file, by target key."""
     targets = parts(spark, sf_dir).select(
         "project_id", F.col("p").alias("b"), "folder", "is_py"
@@ -103,7 +108,7 @@ def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, style: str)
         F.concat(F.lit("import { s"), name, F.lit(" } from '"), prefix, "folder", F.lit("/m"), name, F.lit("';\n"))
     )
     return (
-        part_edges(spark, sf_dir, threshold).join(targets, ["project_id", "b"])
+        part_edges(spark, sf_dir, ranges).join(targets, ["project_id", "b"])
         .select("project_id", F.col("a").alias("p"), "b",
                 (_varied_line(name) if style == "varied" else line).alias("line"))
         .groupBy("project_id", "p")
@@ -113,10 +118,10 @@ def _import_lines(spark: SparkSession, sf_dir: str, threshold: int, style: str)
     )
 
 
-def files(spark: SparkSession, sf_dir: str, threshold: int, style: str = "plain") -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, ranges: int, style: str = "plain") -> DataFrame:
     """The ``files`` table: generated source text of every part."""
     base = parts(spark, sf_dir)
-    lines = _import_lines(spark, sf_dir, threshold, style)
+    lines = _import_lines(spark, sf_dir, ranges, style)
     p = F.col("p").cast("string")
     none = F.lit("")
     external = F.when(
@@ -167,14 +172,14 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def graph(spark: SparkSession, sf_dir: str, threshold: int) -> tuple[DataFrame, DataFrame]:
+def graph(spark: SparkSession, sf_dir: str, ranges: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the same corpus straight from the tables, without the text.
 
     ``edges_clean`` and ``edges_tangled`` check that reading the text back
     gives exactly these edges.
     """
     base = parts(spark, sf_dir)
-    pairs = part_edges(spark, sf_dir, threshold)
+    pairs = part_edges(spark, sf_dir, ranges)
     degree = pairs.groupBy("project_id", F.col("a").alias("p")).agg(
         F.count(F.lit(1)).cast("int").alias("n_edges")
     )
