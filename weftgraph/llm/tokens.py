@@ -31,8 +31,8 @@ from weftgraph.session import scratch_path
 
 END_ID = 0
 FILE_IDS = 1 << 20
-SLICE = 4 << 20
-CACHE = 200_000  # different pieces, and words, remembered by a worker; past it the memory starts anew
+SLICE = 2 << 20
+CACHE = 100_000  # different pieces, and words, remembered by a worker; past it the memory starts anew
 FILE_SCHEMA = "part int, file int, first long, n_docs long, n_ids long, image binary"
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # not white space by any definition in use
