@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-SLICE_BYTES = 4 << 20  # text that one vectorised step looks at, whatever the batch holds
+SLICE_BYTES = 1 << 20  # text that one vectorised step looks at, whatever the batch holds
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
