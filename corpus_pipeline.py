@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,14 @@ def _apart(stage):
 
 @_apart
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.verdicts(docs).where("kept")
+    """Documents that the rules reject go; a corpus without a table of labels is judged without them."""
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality.verdicts(docs, labels=labels).where("kept")
 
 
 @_apart

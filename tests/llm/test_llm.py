@@ -337,6 +337,33 @@ def test_perplexity(spark, rows_per_slice):
     assert got[12] is None and got[13] == pytest.approx(-plain_kneser_ney(["ab"])(texts[13]) / len(texts[13]), rel=1e-4)
 
 
+def test_verdicts_follow_labels(spark):
+    """Junk like the labelled junk goes, labelled or not, though a third of the corpus is made of it; good documents stay."""
+    rng = random.Random(12)
+    marks = ("%%%", "***", "$$$", "###")
+    rows, labels, junk = [], [], set()
+    for i in range(150):
+        text = sentence(rng, rng.choice([40, 80, 150]))
+        if i % 3 == 0:
+            text = " | ".join(text.split(" ")) if i % 2 else " ".join(w + rng.choice(marks) for w in text.split(" "))
+            junk.add(i)
+        rows.append((i, text, "ab", "s"))
+        if i % 5 < 3:
+            labels.append((i, int(i not in junk), 0))
+    frame = spark.createDataFrame(rows, DOCS)
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    kept = {r.doc_id for r in quality.verdicts(frame, labels=known).where("kept").collect()}
+    assert not kept & junk and len(kept) >= 97
+    assert quality.verdicts(frame.limit(0), labels=known).count() == 0
+    assert quality.verdicts(frame, labels=known.limit(0)).count() == 150
+
+
+def test_edges():
+    off, good = np.array([-9.0, -2, -1, 0, 1, 2, 3, 7]), np.array([False, True, True, True, False, True, True, False])
+    assert quality.edges(off, good) == (-5.5, 4.5)
+    assert quality.edges(off[:4], np.array([True] * 4)) == (-9.0, 4.5)
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(6)
     items = [(i, sentence(rng, n)) for i, n in enumerate([12, 18, 25, 40, 60])] + [(9, None), (10, ""), (11, "short one here")]

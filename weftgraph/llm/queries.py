@@ -59,7 +59,7 @@ def op6_mix_sources(spark, d):
 
 @query
 def op7_quality_rules(spark, d):
-    return quality.verdicts(table(spark, d, "documents"), keep=["doc_id"]).select(
+    return quality.verdicts(table(spark, d, "documents"), keep=["doc_id"], labels=table(spark, d, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
