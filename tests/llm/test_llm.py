@@ -439,6 +439,24 @@ def test_token_files(spark, docs, none, rows):
     assert tokens.token_files(none, path).count() == 0
 
 
+def test_added_tokens(spark):
+    """An added token is matched in the text, as the library's encoding does it."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_or_skip()
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n y  z", None, "", "<|ENDOFTEXT|> <|endoftext", "é <|endoftext|>\u3000日本"]
+    ids, counts = tokens.Pieces(path).encode(pa.array(texts))
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    found = tokens.token_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path).orderBy("doc_id").collect()
+    start = 0
+    for row, expected in zip(found, want, strict=True):
+        assert tuple(row)[1:] == (start, len(expected) + 1, zlib.crc32(np.array([*expected, 0], "<u4").tobytes()))
+        start += len(expected) + 1
+
+
 def test_place(spark, docs, none):
     shards = [f"n{i}" for i in range(7)]
     owner = place.fill(shards, 1009)

@@ -8,7 +8,8 @@ document in the whole stream; the table of parts has one row per task and is lef
 A text is tokenised as pieces that start at single spaces between two characters which are not white space. The
 tokenizer's pattern always ends a match there, so pieces can be encoded alone, each different one once
 per cache, and put together by gathering. A piece goes through the tokenizer's own steps: its pattern cuts it into
-words, and its model encodes each different word once.
+words, and its model encodes each different word once. The tokenizer's added tokens are matched before its pattern and may take white
+space with them, so a text that holds one is encoded whole by the library.
 """
 
 from __future__ import annotations
@@ -59,7 +60,10 @@ class Pieces:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        self.model, self.splitter, self.letters = tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
+        self.whole, self.model, self.splitter, self.letters = tokenizer, tokenizer.model, tokenizer.pre_tokenizer, _byte_letters()
+        # what may be an added token; the library decides
+        contents = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.added = "(?i)" + "|".join(contents) if contents else None
         self.words: dict[str, list[int]] = {}
         self.clear()
 
@@ -101,11 +105,21 @@ class Pieces:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if self.added is None or not (held := pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)).any():
+            return self._plain(texts)
+        ids, counts = self._plain(pc.if_else(pa.array(held), pa.scalar("", pa.large_string()), texts))
+        parts = np.split(ids, np.cumsum(counts)[:-1])
+        for i in np.flatnonzero(held):
+            parts[i] = np.array(self.whole.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without an added token; no text is null."""
         if len(self.known) > CACHE:
             self.clear()
         if len(self.words) > CACHE:
             self.words = {}
-        texts = pc.fill_null(texts, "").cast(pa.large_string())
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
