@@ -202,6 +202,21 @@ def test_pages(spark):
     assert pages.main_text(frame.limit(0)).count() == 0
 
 
+LONG = "A paragraph of the text, with marks; and more of it. " * 8
+BOILED = '<div class="site-footer"><p>' + LONG[:120] + "</p></div>"
+
+
+@pytest.mark.parametrize("opened, closed", [
+    ('<body class="has-sidebar"><article>', "</article>" + BOILED), ('<body class="no-footer"><article>', "</article>"),
+    ('<html class="hidden"><body id="search"><main id="main-with-nav">', "</main>"), ('<body><article class="post hidden-ads">', "</article>" + BOILED),
+    ('<body><div class="modal"><main>', "</main></div>")])
+def test_classes_of_wrappers(opened, closed):
+    """A class on what wraps the text does not drop the page; marked elements beside or in it still go."""
+    text = LONG.strip()
+    page = f'{opened}<h1>Title</h1><p>{LONG}</p><div class="ad">Buy now, quickly!</div><p>{LONG}</p>{closed}</body>'
+    assert pages.extract(page) == f"Title\n{text}\n{text}"
+
+
 def test_chats(spark):
     hard = ["</s>[INST] ok [/INST]", "[\\INST] <\\s> \\", "<<SYS>>[ROLE]x[TEXT]", "", None, "a\nb", "[", "<", "[\\\\/INST]", "<s" , "</s></s>", "é" * 10]
     rows = [(1, i, role, t) for i, (t, role) in enumerate(zip(hard, ["user", "assistant", "system", "tool", None, "[TEXT]"] * 2, strict=True))]

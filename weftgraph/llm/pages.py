@@ -5,7 +5,7 @@ markup does not show in it), each with its class and id tokens that name a kind
 blocks' text length, punctuation and link text are added up. The ratios, text per block, punctuation per block and text
 outside links, are smoothed over the neighbouring paths in page order, fused into one score and held against a threshold
 derived from the page's own scores. What markup says outright weighs in as a factor: 0 for navigation, headers, footers, asides,
-forms, adverts and comments, and a boost for article and main.
+forms, adverts and comments, and a boost for article and main. What wraps the page's text is no boilerplate, whatever its class says.
 
 Blocks of the chosen paths are joined in page order, whole.
 """
@@ -39,32 +39,42 @@ CLOSES = {  # an opening tag ends these elements, up to the nearest of the secon
 }
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 CONTENT = {"article", "main"}
+ROOTS = {"html", "body", *CONTENT}  # their classes speak of the page, not of themselves
 KINDS = re.compile(
     r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookies?"
     r"|consent|notices?|popup|modal|newsletter|subscribe|social|share|sharing|comments?|replies|reply|disqus|related|recommended"
     r"|login|signup|search|toolbar|widget|pager|pagination|copyright|legal|disclaimer|hidden)$")
+PLACES = re.compile(  # what may stand beside a kind in a compound token without changing what it says
+    r"^(?:site|page|global|left|right|top|bottom|upper|lower|primary|secondary|wrap|wrapper|container|bar|box|block|section|area|inner|outer"
+    r"|list|links?|items?|content|form|[0-9]+)$")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 BOOST = 4.0
 SHARE = 0.35  # of the best fused score
 REACH = 1
 
 
-def _kinds(attributes: str) -> str:
-    """The first class, id or role token that names a kind of boilerplate."""
+def _kinds(tag: str, attributes: str) -> str:
+    """The first class, id or role token that names a kind of boilerplate, whole or beside words for a place."""
+    if tag in ("html", "body"):
+        return ""
     for m in _ATTRIBUTE.finditer(attributes):
         if m.group(1).lower() in ("class", "id", "role"):
-            for token in re.split(r"[\s_\-]+", (m.group(2) or m.group(3) or m.group(4) or "").lower()):
-                if KINDS.match(token):
-                    return token
+            if tag in ROOTS:
+                continue
+            for token in (m.group(2) or m.group(3) or m.group(4) or "").lower().split():
+                parts = [part for part in re.split(r"[_\-]+", token) if part]
+                named = [part for part in parts if KINDS.match(part)]
+                if named and all(part in named or PLACES.match(part) for part in parts):
+                    return named[0]
         elif m.group(1).lower() in ("hidden", "aria-hidden") and (m.group(2) or m.group(3) or m.group(4) or "true") == "true":
             return "hidden"
     return ""
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
-    """(path, text, characters inside links) of every block with text, in page order."""
+def blocks(page: str) -> list[tuple[tuple[str, ...], str, int, tuple[int, ...]]]:
+    """(path, text, characters inside links, number of each element of the path) of every block with text, in page order."""
     found: list = []
-    stack: list[tuple[str, str]] = []  # (element, name in the path or "" for inline)
+    stack: list[tuple[str, str, int]] = []  # (element, name in the path or "" for inline, place in the page)
     text: list[str] = []
     linked = 0
 
@@ -72,11 +82,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         nonlocal text, linked
         whole = _SPACE.sub(" ", "".join(text)).strip()
         if whole:
-            found.append((tuple(name for _, name in stack if name), whole, linked))
+            found.append((tuple(x[1] for x in stack if x[1]), whole, linked, tuple(x[2] for x in stack if x[1])))
         text, linked = [], 0
 
     def pop(to: int):
-        if any(name for _, name in stack[to:]):
+        if any(x[1] for x in stack[to:]):
             flush()
         del stack[to:]
 
@@ -86,7 +96,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
         run = html.unescape(page[at:m.start() if m else len(page)])
         if run:
             text.append(run)
-            if any(tag == "a" for tag, _ in stack):
+            if any(x[0] == "a" for x in stack):
                 linked += len(run.strip())
         if m is None:
             break
@@ -114,7 +124,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 flush()
             continue
         if tag in INLINE:
-            stack.append((tag, ""))
+            stack.append((tag, "", at))
             continue
         flush()
         # a block ends an open paragraph with all the inline markup in it
@@ -125,9 +135,9 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str, int]]:
                 break
         while stack and not stack[-1][1] and tag not in ("a",):
             stack.pop()
-        kind = _kinds(m.group(3))
+        kind = _kinds(tag, m.group(3))
         if not m.group(3).rstrip().endswith("/"):
-            stack.append((tag, f"{tag}.{kind}" if kind else tag))
+            stack.append((tag, f"{tag}.{kind}" if kind else tag, at))
     flush()
     return found
 
@@ -139,11 +149,42 @@ def _factor(path: tuple[str, ...]) -> float:
     return BOOST if any(tag in CONTENT for tag, _, _ in tags) else 1.0
 
 
+def _unwrapped(found: list) -> list:
+    """The blocks with plain names for the marked elements that wrap the page's text: they hold most of it, and its first title."""
+
+    def marked(name):
+        tag, _, kind = name.partition(".")
+        return kind and kind != "hidden" or tag == "form"
+
+    if not any(marked(name) for path, *_ in found for name in path):
+        return found
+    apart = BOILERPLATE - {"form"}
+    open_ = [b for b in found if not any(name.partition(".")[0] in apart for name in b[0])]
+    content = [b for b in open_ if any(name.partition(".")[0] in CONTENT for name in b[0])]
+    whole = content or open_
+    size: dict = defaultdict(int)
+    for _, text, _, places in whole:
+        for place in places:
+            size[place] += len(text)
+    total = sum(len(text) for _, text, _, _ in whole)
+    title = next((b[3] for b in whole if b[0] and b[0][-1] == "h1"), None)
+    # inside an article or main, what is marked is marked for a reason
+    out = []
+    for path, text, linked, places in found:
+        names, wraps = list(path), True
+        for i, place in enumerate(places):
+            wraps = wraps and not (content and names[i].partition(".")[0] in CONTENT)
+            if wraps and marked(names[i]) and 2 * size[place] > total and (title is None or place in title):
+                names[i] = "div"
+        out.append((tuple(names), text, linked, places))
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks joined by line ends, or nothing."""
-    found = blocks(page or "")
+    found = _unwrapped(blocks(page or ""))
     sums: dict = defaultdict(lambda: [0, 0, 0, 0])
-    for path, text, linked in found:
+    for path, text, linked, _ in found:
         for i, x in enumerate((1, len(text), len(_PUNCTUATION.findall(text)), linked)):
             sums[path][i] += x
     factor = np.array([_factor(p) for p in sums])
@@ -161,7 +202,7 @@ def extract(page: str | None) -> str:
     # with an article on the page, its paths are content unless they are links; else the best paths are
     chosen = (inside & (outside > 0)) if (inside & (fused > 0)).any() else fused >= SHARE * fused.max()
     keep = {p for p, c, f in zip(sums, chosen, factor, strict=True) if c and f}
-    return "\n".join(text for path, text, _ in found if path in keep)
+    return "\n".join(text for path, text, _, _ in found if path in keep)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
