@@ -209,7 +209,7 @@ BOILED = '<div class="site-footer"><p>' + LONG[:120] + "</p></div>"
 @pytest.mark.parametrize("opened, closed", [
     ('<body class="has-sidebar"><article>', "</article>" + BOILED), ('<body class="no-footer"><article>', "</article>"),
     ('<html class="hidden"><body id="search"><main id="main-with-nav">', "</main>"), ('<body><article class="post hidden-ads">', "</article>" + BOILED),
-    ('<body><div class="modal"><main>', "</main></div>")])
+    ('<body><div class="modal"><main>', "</main></div>"), ('<body><div class="widget">', "</div>" + BOILED), ("<body><form>", "</form>" + BOILED)])
 def test_classes_of_wrappers(opened, closed):
     """A class on what wraps the text does not drop the page; marked elements beside or in it still go."""
     text = LONG.strip()
@@ -217,6 +217,18 @@ def test_classes_of_wrappers(opened, closed):
     assert pages.extract(page) == f"Title\n{text}\n{text}"
 
 
+def test_pages_without_article():
+    """Headings, lists, quotes and code of a text in plain containers stay; links, footers and comments go."""
+    text = LONG.strip()
+    body = f"<h1>Title</h1>{f'<p>{LONG}</p>' * 5}<h2>Part</h2>{f'<p>{LONG}</p>' * 5}<ul><li>One</li><li>Two</li></ul><blockquote>Short</blockquote><pre>x = 1</pre>"
+    want = "\n".join(["Title", *[text] * 5, "Part", *[text] * 5, "One", "Two", "Short", "x = 1"])
+    around = '<div><a href="/">Home</a></div>', '<div>Imprint</div><div class="comments"><p>First, of all!</p></div><footer>me</footer>'
+    assert pages.extract(f"<body>{around[0]}<div>{body}</div>{around[1]}</body>") == want
+    assert pages.extract(f"<div>{body}</div>") == want and pages.extract(body) == want
+    halves = body.replace("<h2>", "</div><div><h2>")
+    assert pages.extract(f"<body>{around[0]}<section><div>{halves}</div></section>{around[1]}</body>") == want
+
+
 def test_chats(spark):
     hard = ["</s>[INST] ok [/INST]", "[\\INST] <\\s> \\", "<<SYS>>[ROLE]x[TEXT]", "", None, "a\nb", "[", "<", "[\\\\/INST]", "<s" , "</s></s>", "é" * 10]
     rows = [(1, i, role, t) for i, (t, role) in enumerate(zip(hard, ["user", "assistant", "system", "tool", None, "[TEXT]"] * 2, strict=True))]

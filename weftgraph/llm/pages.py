@@ -7,7 +7,8 @@ outside links, are smoothed over the neighbouring paths in page order, fused int
 derived from the page's own scores. What markup says outright weighs in as a factor: 0 for navigation, headers, footers, asides,
 forms, adverts and comments, and a boost for article and main. What wraps the page's text is no boilerplate, whatever its class says.
 
-Blocks of the chosen paths are joined in page order, whole.
+With an article or main on the page, its blocks are the text. Without, the scores are added up the paths, and the deepest container that
+holds most of the score is taken with all that stands in it. Blocks are joined in page order, whole.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ CLOSES = {  # an opening tag ends these elements, up to the nearest of the secon
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 CONTENT = {"article", "main"}
 ROOTS = {"html", "body", *CONTENT}  # their classes speak of the page, not of themselves
+LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "caption",
+          "table", "thead", "tbody", "tfoot", "tr", "th", "address", "details", "summary", "hgroup", "fieldset"}  # parts of a text, not containers
 KINDS = re.compile(
     r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|side|footer|header|masthead|cookies?"
     r"|consent|notices?|popup|modal|newsletter|subscribe|social|share|sharing|comments?|replies|reply|disqus|related|recommended"
@@ -180,6 +183,20 @@ def _unwrapped(found: list) -> list:
     return out
 
 
+def _container(found: list, score: dict) -> set[tuple[str, ...]]:
+    """Paths and places of the blocks in the deepest container that holds most of the score."""
+    sums: dict = defaultdict(float)
+    for path, *_ in found:
+        for k in range(len(path) + 1):
+            if not k or path[k - 1].partition(".")[0] not in LEAVES:
+                sums[path[:k]] += score[path]
+    deepest = max((p for p, x in sums.items() if 2 * x > sums[()]), key=len)
+    # of the elements with this path, those that hold a block among the best
+    depth, best = len(deepest), SHARE * max(score.values())
+    full = {places[:depth] for path, _, _, places in found if path[:depth] == deepest and score[path] >= best}
+    return {(path, places) for path, _, _, places in found if path[:depth] == deepest and places[:depth] in full}
+
+
 def extract(page: str | None) -> str:
     """The main text: blocks joined by line ends, or nothing."""
     found = _unwrapped(blocks(page or ""))
@@ -199,10 +216,14 @@ def extract(page: str | None) -> str:
     outside = np.maximum(chars - linked, 0) / chars
     fused = smooth(chars / n) * np.log1p(smooth(marks / n) + 1) * outside * factor
     inside = factor >= BOOST
-    # with an article on the page, its paths are content unless they are links; else the best paths are
-    chosen = (inside & (outside > 0)) if (inside & (fused > 0)).any() else fused >= SHARE * fused.max()
-    keep = {p for p, c, f in zip(sums, chosen, factor, strict=True) if c and f}
-    return "\n".join(text for path, text, _, _ in found if path in keep)
+    # with an article on the page, its paths are content unless they are links
+    whole = bool((inside & (fused > 0)).any())
+    chosen = inside if whole else factor > 0
+    if fused.max() > 0:
+        chosen = chosen & (outside > 0)
+    keep = {p for p, c in zip(sums, chosen, strict=True) if c}
+    held = None if whole or not fused.max() > 0 else _container(found, dict(zip(sums, fused, strict=True)))
+    return "\n".join(text for path, text, _, places in found if path in keep and (held is None or (path, places) in held))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
