@@ -412,6 +412,29 @@ def test_leaks(spark, docs, none):
     assert leaks.leaks(none, bench).count() == leaks.leaks(frame, bench.limit(0)).count() == 0
 
 
+def test_leaks_at_any_size(spark, monkeypatch):
+    """Items with 40 % of their words changed, and a long one, are found among words of their own as if the corpus were 300 times as large."""
+    rng = random.Random(21)
+    items = [(i, sentence(rng, n)) for i, n in enumerate([20, 24, 32, 48, 400, 20, 24, 32])]
+    rows, want, common = [], set(), []
+    for key, text in items:
+        held = text.split(" ")
+        for k in range(len(held)):
+            if k % 5 in (1, 3):  # common words elsewhere, so that the answer stays
+                common += [held[k]] * 3
+                held[k] = sentence(rng, 1, "zx") + "q"
+        for j, words in enumerate((held, text.split(" "))):
+            around = sentence(rng, 150, "zx").split(" ")
+            rows.append((100 * key + j, " ".join(around[:37 + 5 * key] + words + around[37 + 5 * key:])))
+            want.add((100 * key + j, key))
+    rng.shuffle(common)
+    rows += [(5000 + i, " ".join(common[i::10])) for i in range(10)]
+    counts = leaks._counts
+    monkeypatch.setattr(leaks, "_counts", lambda docs, known: tuple(300 * x for x in counts(docs, known)))
+    found = leaks.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in found.collect()} == want
+
+
 def test_common_subsequence():
     rng = random.Random(8)
     for _ in range(100):

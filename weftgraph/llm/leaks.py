@@ -6,11 +6,15 @@ singular value decomposition of the passages of the corpus and of the benchmark,
 A'A W over its passages for one random matrix W, the sums are added by blocks of rows, and the driver orthonormalises
 the DIMS x RANK result.
 
-Then every passage, at steps of half a passage, is compared with every item by the cosine in that space. Candidates are verified in the words
+Then every passage, at steps of half a passage, is compared in that space with every piece of PIECE words of every item: by how much of
+the piece it holds, the product of the two over the piece's own square. Neither what stands around a leak nor the length of the item lowers that.
+The threshold is the item's own: the least part of its weight that a text can hold and pass the verification. A leak holds as large a part
+of at least one of its pieces, and a piece that is there word by word lies whole in some passage. Candidates are verified in the words
 around the passage: the longest common subsequence must hold most of the item, and, as an answer check, most of
 the item's rarest words. Rewording inside an item lowers the share but does not hide it.
 
-The benchmark is the query set; it is taken in blocks of ITEMS, so what is broadcast is bounded by a block. Nothing but sums
+The benchmark is the query set; it is taken in blocks of PIECES pieces, fewer than the space has dimensions, so what is broadcast is
+bounded by a block, or by its longest item. Nothing but sums
 of counts is shuffled.
 """
 
@@ -26,8 +30,9 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import IS_SPACE, TO_LOWER, slices, span_hashes, text_bytes, words
 
 PASSAGE = 32
-DIMS, RANK, ITEMS = 2048, 256, 224
-COSINE = 0.35  # of what the space keeps of an item
+PIECE = PASSAGE // 2
+DIMS, RANK, PIECES = 2048, 768, 672
+SLACK = 0.8  # of the threshold: words put between, and what the space blurs
 SHARE, ANSWER = 0.55, 0.5
 SHORT = 8  # an item with fewer words must be there in full
 ROWS = 64  # of the sketch, in one shuffled value
@@ -202,6 +207,18 @@ class Item:
                 self.common(self.answer, self.rare, text) / self.rare)
 
 
+def least_held(weight: np.ndarray) -> float:
+    """The least part of an item's squared weight that words can hold which pass the verification."""
+    n = len(weight)
+    square = np.sort(weight**2)
+    rare = max(1, n // 3)
+    need = n if n < SHORT else int(np.ceil(SHARE * n - 1e-9))
+    answer = int(np.ceil(ANSWER * rare - 1e-9))
+    low, high = square[:n - rare], square[n - rare:]
+    rest = np.sort(np.append(low, high[answer:]))[:max(0, need - answer)]
+    return float((high[:answer].sum() + rest.sum()) / square.sum())
+
+
 def _space(corpus: tuple[np.ndarray, float], own: tuple[np.ndarray, float]) -> np.ndarray:
     total = sum(part / energy for part, energy in (corpus, own) if energy > 0)
     return np.linalg.qr(total)[0]
@@ -212,25 +229,28 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     hashes, firsts = _words(pa.array([t for _, t in items], pa.string()))
     vocabulary = Vocabulary(hashes)
     vocabulary.weigh(*_counts(docs, vocabulary))
-    longest = int(np.diff(firsts).max())
-    own = _gram(vocabulary, hashes, firsts, longest)  # an item is one passage
+    own = _gram(vocabulary, hashes, firsts, PIECE)  # a piece is one passage
     space = _space(_sketch(docs, vocabulary), (own @ _random(), float(np.trace(own))))
     known = [(key, hashes[a:z]) for (key, _), a, z in zip(items, firsts[:-1], firsts[1:], strict=True)]
-    vectors = np.zeros((len(items), DIMS))
+    begin, piece = _passages(firsts, PIECE)
+    owner = np.repeat(np.arange(len(items)), np.diff(begin))
+    vectors = np.zeros((int(begin[-1]), DIMS))
     at, number = vocabulary.find(hashes)
-    np.add.at(vectors, (np.repeat(np.arange(len(items)), np.diff(firsts))[at], vocabulary.dims[number]), vocabulary.weight[number])
+    np.add.at(vectors, (piece[at], vocabulary.dims[number]), vocabulary.weight[number])
+    weight = vocabulary.weight[number]
+    least = SLACK * np.array([least_held(weight[a:z]) for a, z in zip(firsts[:-1], firsts[1:], strict=True)])[owner]
     latent = vectors @ space
-    kept = np.linalg.norm(latent, axis=1)
-    # score of a word for each item: its part of the cosine, over what the space keeps of the item
-    ratio = kept / np.linalg.norm(vectors, axis=1)
-    towards = (space @ (latent / np.maximum(kept * ratio, 1e-12)[:, None]).T)[vocabulary.dims] * vocabulary.weight[:, None]
-    model = (vocabulary.plain(), towards.astype(np.float32), np.maximum(towards, 0).max(axis=1), known)
+    # score of a word for each piece: the part of the piece that it holds, of what the space keeps of it, over the threshold
+    square = np.maximum((latent**2).sum(axis=1), 1e-12)
+    towards = (space @ (latent / (square * least)[:, None]).T)[vocabulary.dims] * vocabulary.weight[:, None]
+    model = (vocabulary.plain(), towards.astype(np.float32), np.maximum(towards, 0).max(axis=1), known,
+             owner, least * np.linalg.norm(vectors, axis=1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def searched(batches):
-        plain, towards, most, known = shared.value
+        plain, towards, most, known, owner, scale = shared.value
         words_of = Vocabulary.of(plain)
-        model = words_of, towards, most, [Item(key, held, words_of) for key, held in known]
+        model = words_of, towards, most, [Item(key, held, words_of) for key, held in known], owner, scale
         for batch in batches:
             for piece in slices(batch, most=SLICE):
                 yield _search(piece, model)
@@ -240,7 +260,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
 
 def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
-    vocabulary, towards, most, items = model
+    vocabulary, towards, most, items, owner, scale = model
     hashes, firsts = _words(piece.column(1))
     half = PASSAGE // 2
     begin, segment = _passages(firsts, half)
@@ -254,14 +274,18 @@ def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
     follows = np.append(text[1:] == text[:-1], False)  # the next segment belongs to the same text
     after = lambda x: np.where(follows, np.append(x[1:], 0), 0)
     length = np.sqrt(np.maximum(squares + after(squares), 1e-12))
-    open_ = np.flatnonzero((bound + after(bound)) / length >= COSINE)
+    open_ = np.flatnonzero(bound + after(bound) >= 1)
     best: dict = {}
     if len(open_):
         first_found = np.searchsorted(group, np.arange(segments + 1))
         for w in open_:
             a, z = first_found[w], first_found[w + (2 if follows[w] else 1)]
-            cosine = towards[number[a:z]].sum(axis=0) / length[w]
-            for i in np.flatnonzero(cosine >= COSINE):
+            score = towards[number[a:z]].sum(axis=0)
+            hit = np.flatnonzero(score >= 1)
+            cosines: dict = {}  # of the nearest piece of each item
+            for i, c in zip(owner[hit].tolist(), (score[hit] * scale[hit] / length[w]).tolist(), strict=True):
+                cosines[i] = max(cosines.get(i, 0.0), c)
+            for i, cosine in cosines.items():
                 doc, item = text[w], items[i]
                 n = len(item.words)
                 low = firsts[doc] + max(0, (w - begin[doc]) * half - n)
@@ -269,7 +293,7 @@ def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
                 share, answer = item.shares(hashes[low:high].tolist())
                 if share >= (SHARE if n >= SHORT else 1.0) and answer >= ANSWER:
                     key = (int(doc), int(i))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, float(cosine[i])))
+                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, cosine))
     keys = piece.column(0)
     rows = sorted(best)
     return pa.RecordBatch.from_arrays(
@@ -288,11 +312,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, cosine double, share double, answer double")
     block: list = []
+    held = 0
     for row in benchmark.select(F.col("item_id").cast("bigint"), "text").toLocalIterator():
-        if row.text and len(_words(pa.array([row.text]))[0]):
+        pieces = -(-len(_words(pa.array([row.text]))[0]) // PIECE) if row.text else 0
+        if block and held + pieces > PIECES:
+            out, block, held = out.unionByName(_block(docs, block)), [], 0
+        if pieces:
             block.append((row.item_id, row.text))
-        if len(block) == ITEMS:
-            out, block = out.unionByName(_block(docs, block)), []
+            held += pieces
     if block:
         out = out.unionByName(_block(docs, block))
     return out.groupBy("doc_id", "item_id").agg(
