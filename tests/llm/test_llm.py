@@ -247,6 +247,26 @@ def test_chats(spark):
         list(chat.parse("[INST] open"))
 
 
+def test_chat_blocks(spark, monkeypatch):
+    """A conversation longer than a block is several rows, none much longer than a block, and reads back as one."""
+    assert chat.BLOCK <= 1 << 24
+    monkeypatch.setattr(chat, "BLOCK", 100)
+    rng = random.Random(5)
+    rows = [(conv, i, rng.choice(["user", "assistant", "tool"]), rng.choice(["</s> x", "é" * 30, "", sentence(rng, 4)])) for conv in (1, None) for i in range(200)]
+    rows.append((2, 0, "assistant", "y" * 500))
+    chats = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))
+    blocks = chats.collect()
+    assert len(blocks) > 50 and max(len(b.formatted) for b in blocks if b.conv_id != 2) <= 100
+    out = {r.conv_id: r for r in chat.read_chats(chats).collect()}
+    for conv in (1, 2, None):
+        mine = [r for r in rows if r[0] == conv]
+        whole = "".join(b.formatted for b in sorted((b for b in blocks if b.conv_id == conv), key=lambda b: b.block))
+        turns = "".join(f"{role}\n{text}\n" for _, _, role, text in mine)
+        loss = "".join(text for _, _, role, text in mine if role == "assistant")
+        assert [t[:2] for t in chat.parse(whole)] == [r[2:] for r in mine]
+        assert out[conv][1:] == (len(mine), hashlib.sha256(turns.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(whole))
+
+
 def plain_targets(sizes):
     keys = sorted(k for k in sizes if k is not None) + [None] * (None in sizes)
     weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(keys)}
