@@ -208,8 +208,8 @@ def test_toxicity(spark):
     rows += [(600, None, 0), (601, "", 0), (602, "word", None), (603, "!!! ...", 0), rows[4], rows[4], (None, rows[0][1], 1)]
     labelled = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, toxic int, score double")
     aside = toxicity.held_out(F.col("doc_id"))
-    model = toxicity.fit(labelled.where(~aside))
-    assert toxicity.fit(labelled.where(~aside).repartition(2)) == model
+    model = toxicity.fit(labelled, labelled.where(~aside))
+    assert toxicity.fit(labelled.repartition(2), labelled.where(~aside).repartition(2)) == model
     found = {r.doc_id: r for r in toxicity.score(labelled, model).collect()}
     assert toxicity.score(labelled, model).count() == len(rows)
     wrong = [i for i, _, t in rows if t is not None and i is not None and found[i].predicted != t]
@@ -217,9 +217,10 @@ def test_toxicity(spark):
     assert found[600].score == found[601].score == found[603].score < 0.5 and found[600].n_clauses == 0
     assert found[None].predicted == 1 and any(k.startswith("zwolt") for k in model.entries)
     for few in (labelled.limit(0), labelled.where("toxic = 1"), labelled.where("toxic IS NULL")):
-        assert toxicity.fit(few) == toxicity.Model()
+        assert toxicity.fit(labelled, few) == toxicity.Model()
+    assert toxicity.fit(labelled.limit(0), labelled) == toxicity.Model()
     texts = spark.createDataFrame([(1, "you are a worthless idiot. you stupid moron"), (2, "a fine day"), (3, "nobody said idiot, never")], "doc_id int, text string")
     assert [r.predicted for r in toxicity.score(texts, toxicity.Model()).orderBy("doc_id").collect()] == [1, 0, 0]
     assert toxicity.score(texts.limit(0), model).count() == 0
-    small = toxicity.fit(labelled.where(~aside), sample=200)
+    small = toxicity.fit(labelled, labelled.where(~aside), sample=200)
     assert sum(r.predicted != dict((x[0], x[2]) for x in rows).get(r.doc_id) for r in toxicity.score(labelled.where("doc_id < 500"), small).collect()) <= 25

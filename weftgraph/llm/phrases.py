@@ -11,9 +11,9 @@ Each round reads the texts twice.
 2. Counts. The survivors are marked in a bit table of fixed size, where a partition owns a range of bits. The second reading counts
    the n-grams that the table lets through, by their text; what got through by chance stays below ``least`` and is dropped.
 
-The first round finds the words, the second the n-grams of frequent words only, as others cannot be frequent. If the
-survivors outgrow the table it lets more through, which costs shuffle and never a result. Counts and what
-follows are joins and sums keyed by language and phrase. The highest scores of a language are taken within salts first.
+There are three rounds: words, pairs of frequent words, and longer n-grams whose pairs are all frequent, as others cannot be. If the
+survivors outgrow the table it lets more through, which costs shuffle and never a result. What follows the counts are joins and sums
+keyed by language and phrase. The highest scores of a language are taken within salts first.
 """
 
 from __future__ import annotations
@@ -32,10 +32,11 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 FACTOR = 1000
 UNKNOWN = "und"
 TABLE_BITS = 26  # 8 MB
-HELD = 1 << 20  # occurrences that a task gathers before it writes them as counts
+HELD = 1 << 21  # occurrences that a task gathers before it writes them as counts
 KNOWN = 1 << 17  # different phrases that a task of the second reading holds
 PART_MASS = 1 << 26  # occurrences of a hash partition aimed at
-MOST_PARTS = 17  # bits
+MOST_PARTS = 16  # bits
+KEY_BYTES = 6  # of a hash, beside the bits that its partition says; those that agree in all of them survive together
 SALTS = 256
 
 IS_BREAK = np.zeros(256, bool)
@@ -92,11 +93,14 @@ def _marked(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Grams:
-    """The words of a slice of texts and the hashes of their n-grams, each of one piece and one language."""
+    """The words of a slice of texts and the hashes of their n-grams, each of one piece and one language.
 
-    def __init__(self, texts: pa.Array, langs: pa.Array, common: np.ndarray | None, bits: int):
+    ``common`` holds the tables of frequent n-grams of 1, 2, ... words; an n-gram is left out if one of its parts is not in its table.
+    """
+
+    def __init__(self, texts: pa.Array, langs: pa.Array, common: list[np.ndarray], bits: int):
         data, offsets = text_bytes(texts)
-        self.data = TO_LOWER[data]
+        self.data, self.common, self.bits = TO_LOWER[data], common, bits
         self.starts, self.ends, firsts = words(self.data, offsets, BETWEEN)
         coded = langs.fill_null(UNKNOWN).dictionary_encode()
         self.names = coded.dictionary.to_pylist()
@@ -111,22 +115,24 @@ class Grams:
             self.linked[:-1] = breaks[self.starts[1:]] == breaks[self.ends[:-1]]
             last = firsts[1:] - 1
             self.linked[last[last >= 0]] = False
-            if common is not None:
-                known = _marked(common, self.first, bits)
-                self.linked[:-1] &= known[1:] & known[:-1]
 
     def of(self, longest: int):
         """(number of words, first word of every n-gram, its hash) for each length up to ``longest``."""
         at, h = np.arange(len(self.starts)), self.first
         yield 1, at, h
         for size in range(2, longest + 1):
-            on = self.linked[at + size - 2] if len(at) else np.zeros(0, bool)
+            if size - 2 < len(self.common):
+                on = _marked(self.common[size - 2], h, self.bits)
+                at, h = at[on], h[on]
+            here = np.zeros(len(self.starts) + 1, bool)
+            here[at] = True
+            on = here[at + 1] & self.linked[at]
             at, h = at[on], h[on]
             h = mixed(h * ODD + self.word[at + size - 1])
             yield size, at, h
 
-    def text(self, at: int, size: int) -> bytes:
-        return b" ".join(self.data[self.starts[i]:self.ends[i]].tobytes() for i in range(at, at + size))
+    def text(self, at: int, size: int) -> str:
+        return b" ".join(self.data[self.starts[i]:self.ends[i]].tobytes() for i in range(at, at + size)).decode()
 
 
 def hash_of(name: str) -> int:
@@ -134,6 +140,18 @@ def hash_of(name: str) -> int:
     return int(span_hashes(data, np.array([0]), np.array([len(data)]))[0])
 
 
+def _packed(keys: np.ndarray, part_bits: int) -> bytes:
+    low = (keys << np.uint64(part_bits)) >> np.uint64(64 - 8 * KEY_BYTES)
+    return low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def _unpacked(packed: bytes, part: int, part_bits: int) -> np.ndarray:
+    wide = np.zeros((len(packed) // KEY_BYTES, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(packed, np.uint8).reshape(-1, KEY_BYTES)
+    low = wide.reshape(-1).view("<u8").astype(np.uint64) << np.uint64(64 - 8 * KEY_BYTES)
+    return low >> np.uint64(part_bits) | np.uint64(part << (64 - part_bits))
+
+
 def _counted(batches, sizes, common, bits, part_bits):
     """First reading: (part, mass) rows, and (part, keys, counts) rows of what a task has gathered."""
     held, n, masses = [], 0, np.zeros(1 << part_bits, np.int64)
@@ -146,7 +164,7 @@ def _counted(batches, sizes, common, bits, part_bits):
         used = np.flatnonzero(np.diff(edges))
         yield pa.RecordBatch.from_arrays(
             [pa.array(used, pa.int64()), pa.nulls(len(used), pa.int64()),
-             pa.array([keys[edges[p]:edges[p + 1]].tobytes() for p in used], pa.binary()),
+             pa.array([_packed(keys[edges[p]:edges[p + 1]], part_bits) for p in used], pa.binary()),
              pa.array([counts[edges[p]:edges[p + 1]].astype(np.uint32).tobytes() for p in used], pa.binary())],
             names=["part", "mass", "keys", "counts"])
 
@@ -189,19 +207,25 @@ def _merged(batches, least, bits, part_bits):
                 mass += m
                 continue
             summary = summary or Summary(mass // least + 1)
-            summary.add(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32).astype(np.int64))
+            summary.add(_unpacked(keys, part, part_bits), np.frombuffer(counts, np.uint32).astype(np.int64))
     if summary is not None:
         yield written()
 
 
-def survivors(texts: DataFrame, sizes: tuple[int, ...], least: int, mass: int, common=None, bits: int = TABLE_BITS) -> np.ndarray:
-    """The bit table of every n-gram of ``sizes`` that may occur ``least`` times in its language; ``mass`` is at least the number of occurrences."""
-    spark = texts.sparkSession
-    reducers = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    part_bits = min(max(reducers - 1, mass // PART_MASS, 1).bit_length(), MOST_PARTS, bits - 3)
+def _part_bits(texts: DataFrame, mass: int, bits: int) -> int:
+    reducers = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(reducers - 1, mass // PART_MASS, 1).bit_length(), MOST_PARTS, bits - 3)
+
+
+def survivors(texts: DataFrame, sizes: tuple[int, ...], least: int, mass: int, common=(), bits: int = TABLE_BITS) -> np.ndarray:
+    """The bit table of every n-gram of ``sizes`` that may occur ``least`` times in its language; ``mass`` is at least the number of occurrences.
+
+    ``common`` has broadcasts of the tables of shorter n-grams. The driver receives the table, whose size is fixed.
+    """
+    part_bits = _part_bits(texts, mass, bits)
 
     def counted(batches):
-        return _counted(batches, sizes, None if common is None else common.value, bits, part_bits)
+        return _counted(batches, sizes, [t.value for t in common], bits, part_bits)
 
     counts = texts.mapInArrow(counted, "part long, mass long, keys binary, counts binary")
     dealt = counts.repartition("part").sortWithinPartitions("part", F.col("mass").isNull())
@@ -213,75 +237,112 @@ def survivors(texts: DataFrame, sizes: tuple[int, ...], least: int, mass: int, c
     return table
 
 
-def counts(texts: DataFrame, sizes: tuple[int, ...], least: int, table, common=None, bits: int = TABLE_BITS) -> DataFrame:
+_PACKED = "part long, langs array<string>, sizes array<int>, phrases array<string>, n array<long>"
+
+
+def _tallied(batches, sizes, table, common, bits, part_bits):
+    """Second reading: for each hash partition the phrases that the table lets through, counted by a task, and words by language as size 0."""
+    known, held = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    place = np.zeros(0, np.int64)  # of each known key in ``what``
+    what: list[tuple[str, int, str]] = []
+    totals: dict[str, int] = {}
+
+    def written(rows):
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64())), strict=True)],
+            names=["part", "langs", "sizes", "phrases", "n"])
+
+    def parts():
+        edges = np.searchsorted(known >> np.uint64(64 - part_bits), np.arange((1 << part_bits) + 1, dtype=np.uint64))
+        for p in np.flatnonzero(np.diff(edges)).tolist():
+            mine = range(edges[p], edges[p + 1])
+            langs, lengths, texts = zip(*[what[place[i]] for i in mine], strict=True)
+            yield p, langs, lengths, texts, held[edges[p]:edges[p + 1]].tolist()
+
+    for batch in batches:
+        for piece in slices(batch):
+            grams = Grams(piece.column(0), piece.column(1), common, bits)
+            if 1 in sizes:
+                for name, n in zip(grams.names, np.bincount(grams.code, minlength=len(grams.names)).tolist(), strict=True):
+                    totals[name] = totals.get(name, 0) + n
+            for size, at, h in grams.of(max(sizes)):
+                if size not in sizes:
+                    continue
+                on = _marked(table, h, bits)
+                h, first, n = np.unique(h[on], return_index=True, return_counts=True)
+                at = at[on][first]
+                spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                old = known[spot] == h if len(known) else np.zeros(len(h), bool)
+                held[spot[old]] += n[old]
+                fresh = ~old
+                if fresh.any():
+                    place = np.concatenate([place, np.arange(len(what), len(what) + int(fresh.sum()))])
+                    what += [(grams.names[grams.code[i]], size, grams.text(i, size)) for i in at[fresh].tolist()]
+                    known, held = np.concatenate([known, h[fresh]]), np.concatenate([held, n[fresh]])
+                    order = np.argsort(known, kind="stable")
+                    known, held, place = known[order], held[order], place[order]
+            if len(known) > KNOWN:
+                yield written(parts())
+                known, held, place, what = known[:0], held[:0], place[:0], []
+    yield written(parts())
+    if totals:
+        yield written([(0, list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()))])
+
+
+def _added_up(batches, least):
+    """Rows by part: the phrases of one partition at a time, those with ``least`` occurrences and the totals."""
+    part, held = None, {}
+
+    def written():
+        rows = [(*k, n) for k, n in held.items() if n >= least or not k[1]]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "phrase", "f"])
+
+    for batch in batches:
+        for i in range(batch.num_rows):
+            p, *lists = (c[i].as_py() for c in batch.columns)
+            if p != part:
+                if held:
+                    yield written()
+                part, held = p, {}
+            for lang, size, phrase, n in zip(*lists, strict=True):
+                held[lang, size, phrase] = held.get((lang, size, phrase), 0) + n
+    if held:
+        yield written()
+
+
+def counts(texts: DataFrame, sizes: tuple[int, ...], least: int, mass: int, table, common=(), bits: int = TABLE_BITS) -> DataFrame:
     """(lang, size, phrase, f): exact counts of the n-grams of ``sizes`` with at least ``least`` occurrences.
 
     With size 1 among them, a row of size 0 holds a language's number of words. Phrases in one task are told apart by 64
     bits of their hash, between tasks by their text.
     """
+    part_bits = _part_bits(texts, mass, bits)
 
-    def counted(batches):
-        known = np.zeros(0, np.uint64)
-        held = np.zeros(0, np.int64)
-        what: list[tuple] = []  # (lang, size, phrase) of each known key, by place
-        place = np.zeros(0, np.int64)
-        totals: dict[str, int] = {}
-
-        def written():
-            f = np.zeros(len(what), np.int64)
-            f[place] = held
-            langs, lengths, phrases = zip(*what, strict=True) if what else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(lengths, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(f, pa.int64())],
-                names=["lang", "size", "phrase", "f"])
-
-        for batch in batches:
-            for piece in slices(batch):
-                grams = Grams(piece.column(0), piece.column(1), None if common is None else common.value, bits)
-                if 1 in sizes:
-                    for name, n in zip(grams.names, np.bincount(grams.code, minlength=len(grams.names)).tolist(), strict=True):
-                        totals[name] = totals.get(name, 0) + n
-                for size, at, h in grams.of(max(sizes)):
-                    if size not in sizes:
-                        continue
-                    on = _marked(table.value, h, bits)
-                    h, first, n = np.unique(h[on], return_index=True, return_counts=True)
-                    at = at[on][first]
-                    spot = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                    old = known[spot] == h if len(known) else np.zeros(len(h), bool)
-                    held[spot[old]] += n[old]
-                    fresh = ~old
-                    if fresh.any():
-                        place = np.concatenate([place, np.arange(len(what), len(what) + int(fresh.sum()))])
-                        what += [(grams.names[grams.code[i]], size, grams.text(i, size)) for i in at[fresh].tolist()]
-                        known, held = np.concatenate([known, h[fresh]]), np.concatenate([held, n[fresh]])
-                        order = np.argsort(known, kind="stable")
-                        known, held, place = known[order], held[order], place[order]
-                if len(known) > KNOWN:
-                    yield written()
-                    known, held, place, what = known[:0], held[:0], place[:0], []
-        yield written()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(totals, pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals), pa.string()),
-             pa.array(totals.values(), pa.int64())], names=["lang", "size", "phrase", "f"])
+    def tallied(batches):
+        return _tallied(batches, sizes, table.value, [t.value for t in common], bits, part_bits)
 
-    rows = texts.mapInArrow(counted, "lang string, size int, phrase string, f long")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("size") == 0) | (F.col("f") >= least))
+    dealt = texts.mapInArrow(tallied, _PACKED).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(partial(_added_up, least=least), "lang string, size int, phrase string, f long")
 
 
 def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = TABLE_BITS) -> DataFrame:
     """(lang, size, phrase, f) of every n-gram of up to ``longest`` words with ``least`` occurrences, and the totals as size 0."""
-    spark = docs.sparkSession
     texts = docs.select("text", F.col("lang").cast("string").alias("lang"))
-    context = spark.sparkContext
     length = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
-    mass = texts.agg(F.sum((length + 1) / 2)).first()[0] or 0
-    one = context.broadcast(survivors(texts, (1,), least, int(mass), bits=bits))
-    words_found = cut(counts(texts, (1,), least, one, bits=bits))
-    longer = tuple(range(2, longest + 1))
-    inside = words_found.where("size = 1").agg(F.sum("f")).first()[0] or 0
-    many = context.broadcast(survivors(texts, longer, least, inside * len(longer), one, bits))
-    return words_found.unionByName(cut(counts(texts, longer, least, many, one, bits)))
+    mass = int(texts.agg(F.sum((length + 1) / 2)).first()[0] or 0)
+    found, tables = None, []
+    for sizes in ((1,), (2,), tuple(range(3, longest + 1))):
+        if not sizes or sizes[0] > longest:
+            continue
+        table = docs.sparkSession.sparkContext.broadcast(survivors(texts, sizes, least, mass * len(sizes), tables, bits))
+        more = cut(counts(texts, sizes, least, mass * len(sizes), table, tables, bits))
+        found = more if found is None else found.unionByName(more)
+        tables.append(table)
+        mass = more.where("size > 0").agg(F.sum("f")).first()[0] or 0  # no more longer ones than these
+    return found
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:

@@ -136,8 +136,7 @@ FROM ranked WHERE rank <= 2000
 def op12_toxicity(spark, d):
     docs = table(spark, d, "documents")
     aside = toxicity.held_out(F.col("doc_id"))
-    labels = table(spark, d, "labels").where(~aside).select("doc_id", "toxic")
-    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.fit(docs, table(spark, d, "labels").where(~aside))
     return toxicity.score(docs, model).select("doc_id", aside.alias("held_out"), "score", "predicted")
 
 

@@ -249,21 +249,24 @@ def _fitted(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, tuple[f
     return float(beta[0]), tuple((beta[1:] / scale).tolist())
 
 
-def fit(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from rows (key, text, toxic); null labels are left out, null texts are empty.
-
-    Of each class at most about ``sample`` / 2 rows are taken, chosen by a hash of the key, and rows of a
-    thinned class weigh more, so the rate of toxic rows stays right. Of copies and near copies of one class one is learned from, or the words
-    they share would seem to make them toxic. Without rows of both classes the model is the one that the known words give.
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model:
+    """A model from the texts of ``docs`` (key, text) whose keys are in ``labels`` (key, toxic); null labels are left out, null texts are empty.
+
+    Of each class at most about ``sample`` / 2 keys are taken, chosen by their hash, and rows of a
+    thinned class weigh more, so the rate of toxic rows stays right. The chosen labels are broadcast, which ``sample`` bounds, so texts that
+    are not learned from stay where they are. Of copies and near copies of one class one is learned from, or the words
+    they share would seem to make them toxic. A key with both labels is learned as both. Without rows of both classes the model is the one that the
+    known words give.
     """
-    known = labelled.where(F.col("toxic").isNotNull()).select(
-        F.col(key).cast("string").alias("key"), "text", (F.col("toxic") > 0).alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).cast("string").alias("key"), (F.col("toxic") > 0).alias("toxic")).distinct()
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model()
     share = {t: min(1.0, sample / 2 / n) for t, n in sizes.items()}
     draw = hashed(F.lit("toxicity"), F.col("key"))
-    taken = known.where(draw < F.when(F.col("toxic"), share[True] * 2**32).otherwise(share[False] * 2**32))
+    few = known.where(draw < F.when(F.col("toxic"), share[True] * 2**32).otherwise(share[False] * 2**32))
+    taken = docs.select(F.col(key).cast("string").alias("key"), "text").join(F.broadcast(few), "key").select("key", "text", "toxic")
 
     def alike(batches):
         for batch in batches:
@@ -308,7 +311,7 @@ def fit(labelled: DataFrame, key: str = "doc_id", sample: int = SAMPLE) -> Model
         pick = lambda t, name: {token: r[name] - less(r, t) for token, r in found.items()}
         return weights(pick(1, "toxic"), pick(0, "other"), total["toxic"] - less(total, 1), total["other"] - less(total, 0))
 
-    shared = labelled.sparkSession.sparkContext.broadcast([lexicon(k) for k in range(FOLDS)])
+    shared = docs.sparkSession.sparkContext.broadcast([lexicon(k) for k in range(FOLDS)])
 
     def seen(batches):
         machine, lexicons = grammar(), [Lexicon(entries) for entries in shared.value]
