@@ -489,7 +489,6 @@ def plain_tokens(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(tokenizer_or_skip())
-    tok.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = tok.encode(text or "", add_special_tokens=False).ids + [0]

@@ -104,8 +104,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
         shard_docs: int = SHARD_DOCS, seed: int = SEED) -> DataFrame:
     """The documents with size, source_size, target, taken (words the mix takes) and copies.
 
-    ``copies`` says how often the block that holds a document's first word is taken: repeating whole documents so often
-    also meets the targets, to within about a document for each cell. Size is the number of words, 0 for a null text. A null source
+    ``copies`` is for whole documents: the running sum of taken / size, rounded down, over a cell's documents by size. So
+    repeating whole documents meets the targets to within the largest document of each cell. Size is the number of words, 0 for a null text. A null source
     is a source of its own, last in order. Repeated rows and ids are documents of their own. Input columns with the new
     names are replaced. An empty table gives an empty one.
     """
@@ -131,11 +131,14 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = R
 
     start = F.col("_end") - F.col("size")
     full = F.col("cell_size") > 0
-    placed = keyed.withColumn("_end", F.sum("size").over(running)).join(cell, ["source_key", "shard"]).withColumns({
-        "taken": F.when(full, taken_before(F.col("_end")) - taken_before(start)).otherwise(F.lit(0)).cast("bigint"),
-        "copies": F.when(F.col("size") > 0, spread(F.floor(start / block) + 1) - spread(F.floor(start / block)))
-        .otherwise(F.lit(0)).cast("bigint"),
-    })
+    by_size = Window.partitionBy("source_key", "shard").orderBy("size", "_order", "row.doc_id", F.xxhash64("row.text")).rowsBetween(
+        Window.unboundedPreceding, 0)
+    share_of = F.coalesce(F.try_divide(F.col("taken"), F.col("size")), F.lit(0.0))
+    offset = hashed(F.lit(seed), F.lit("copies"), F.col("source_key"), F.col("shard")) / 2**32
+    placed = keyed.withColumn("_end", F.sum("size").over(running)).join(cell, ["source_key", "shard"]).withColumn(
+        "taken", F.when(full, taken_before(F.col("_end")) - taken_before(start)).otherwise(F.lit(0)).cast("bigint")
+    ).withColumn("_due", F.sum(share_of).over(by_size) + offset + 1e-9).withColumn(
+        "copies", (F.floor("_due") - F.floor(F.col("_due") - share_of)).cast("bigint"))
     return added(docs, ["size", "source_size", "target", "taken", "copies"], placed)
 
 
