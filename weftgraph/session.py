@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +28,37 @@ def shared_dir(spark: SparkSession) -> str:
     return named or context.getCheckpointDir()
 
 
+_scopes: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder, for a written intermediate table."""
-    return f"{shared_dir(spark).rstrip('/')}/weftgraph/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/weftgraph/{label}-{uuid.uuid4().hex}"
+    for made in _scopes:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope() -> Iterator[list[str]]:
+    """The list of scratch paths made inside, to be given to ``drop_scratch`` when nothing reads them any more."""
+    made: list[str] = []
+    _scopes.append(made)
+    try:
+        yield made
+    finally:
+        _scopes[:] = [s for s in _scopes if s is not made]
+
+
+def drop_scratch(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables through the file system that holds them; only paths that ``scratch_path`` made are accepted."""
+    base = f"{shared_dir(spark).rstrip('/')}/weftgraph/"
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        if not path.startswith(base):
+            raise ValueError(f"not a scratch path: {path}")
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
