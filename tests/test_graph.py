@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import schema
-from weftgraph.operators import components, cycles, gate, layering, metrics, reach
+from weftgraph.operators import components, condense, cycles, gate, layering, metrics, reach
 from weftgraph.session import cut
 
 
@@ -218,3 +218,66 @@ def test_gate_diffs(spark, make_graph):
     assert [r.members for r in gate.new_cycles(now, cyc([["a", "b", "c", "a"]])).collect()] == [["x", "y"]]
     rebuilt = cycles.components_of_cycles(cyc([["a", "b", "a"], ["b", "c", "b"]]))
     assert {(r.component_id, r.node_id) for r in rebuilt.collect()} == {("a", "a"), ("a", "b"), ("a", "c")}
+
+
+def plain_reach(graph):
+    adj = adjacency(graph)
+    return {n: set(bfs(adj, n)) - {n} for n in graph[0]}
+
+
+def test_reach_sets(world, scc):
+    """Sizes of reach sets, both ways, and the files behind the bits, against a walk from every file."""
+    graphs, nodes, edges = world
+    graph = condense.condensed(nodes, edges, scc)
+    got = {(r.project_id, r.node_id): r.reach for r in condense.reach_sizes(graph).collect()}
+    back = {(r.project_id, r.node_id): r.reach for r in condense.reach_sizes(graph.flipped()).collect()}
+    sets, numbered = condense.reach_sets(graph)
+    at = {(r.b, r.p): r.node_id for r in numbered.selectExpr("bitmap_bucket_number(id) b", "bitmap_bit_position(id) p", "node_id").collect()}
+    reached = defaultdict(set)
+    for r in sets.collect():
+        bits = int.from_bytes(r.bits, "little")
+        reached[r.project_id, r.c] |= {at[r.bucket, i] for i in range(bits.bit_length()) if bits >> i & 1}
+    home = {(r.project_id, r.node_id): r.c for r in graph.members.collect()}
+    for p, g in graphs.items():
+        want = plain_reach(g)
+        flipped = plain_reach((g[0], {(b, a) for a, b in g[1]}))
+        for n in g[0]:
+            assert got[p, n] == len(want[n]) and back[p, n] == len(flipped[n])
+            assert reached[p, home[p, n]] - {n} == want[n]
+    counts = {(r.project_id, r.file): (r.direct, r.indirect, r.total) for r in reach.impact_counts(
+        edges, nodes.select("project_id", F.col("node_id").alias("file"))).collect()}
+    for p, g in graphs.items():
+        flipped = plain_reach((g[0], {(b, a) for a, b in g[1]}))
+        for n in g[0]:
+            direct = {a for a, b in g[1] if b == n}
+            total = flipped[n] | (direct & {n})
+            assert counts[p, n] == (len(direct), len(total) - len(direct), len(total))
+
+
+def test_change_impact(spark, world):
+    graphs, nodes, edges = world
+    changed = nodes.where("substring(node_id, -1) in ('0', '3', 'a', 'x')").select("project_id", F.col("node_id").alias("file"))
+    got = {(r.project_id, r.affected): r.distance for r in reach.change_impact(edges, changed).collect()}
+    want = {}
+    for p, g in graphs.items():
+        adj = adjacency((g[0], {(b, a) for a, b in g[1]}))
+        start = [n for n in g[0] if n[-1] in "03ax"]
+        for root in start:
+            for n, dist in bfs(adj, root).items():
+                if n not in start:
+                    want[p, n] = min(dist, want.get((p, n), dist))
+    assert got == want
+    assert reach.change_impact(edges, changed.limit(0)).count() == 0 and reach.change_impact(edges.limit(0), changed).count() == 0
+
+
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    """A chain of 10,000 files: rounds go by the logarithm of its length."""
+    n, rounds = 10_000, []
+    measure = condense.cut_measure
+    monkeypatch.setattr(condense, "cut_measure", lambda *a, **k: rounds.append(1) or measure(*a, **k))
+    line = spark.range(n - 1).selectExpr("'p' project_id", "format_string('c%05d', id) source", "format_string('c%05d', id + 1) target")
+    names = spark.range(n).selectExpr("'p' project_id", "format_string('c%05d', id) node_id")
+    none = spark.createDataFrame([], "project_id string, component_id string, node_id string")
+    rows = components.dependency_depth(names, line, none).collect()
+    assert {(r.node_id, r.depth) for r in rows} == {(f"c{i:05d}", n - 1 - i) for i in range(n)}
+    assert len(rounds) <= 16

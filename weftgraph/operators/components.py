@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.operators import condense
 from weftgraph.session import cut, cut_count, cut_measure
 
 KEY = "project_id"
@@ -198,34 +199,9 @@ def component_summary(scc: DataFrame) -> DataFrame:
 def dependency_depth(nodes: DataFrame, edges: DataFrame, scc: DataFrame) -> DataFrame:
     """(project_id, node_id, depth): longest chain of dependencies, cycles count as one stop.
 
-    A component has depth ≥ k+1 iff some edge leads from it to one with
-    depth ≥ k, so each round keeps the edges whose target still has an edge.
+    Links settle and chains halve together, see ``condense``; a component is as deep as its longest chain of components.
     """
-    mapping = scc.select(KEY, F.col("node_id").alias("c"), F.col("component_id").alias("m"))
-    links = _relabel(
-        _relabel(edges.select(KEY, "source", "target"), "source", mapping), "target", mapping
-    ).where(F.col("source") != F.col("target")).distinct()
-    links, left = cut_count(links)
-    levels = []
-
-    def next_level(df):
-        sources = df.select(KEY, "source").distinct()
-        levels.append(sources)
-        return df.join(sources.withColumnRenamed("source", "target"), [KEY, "target"], "left_semi")
-
-    for _ in range(ROUND_LIMIT):
-        if not left:
-            break
-        links, left = cut_count(next_level(next_level(links)).select(KEY, "source", "target"))
-    if left:
-        raise RuntimeError(f"chains longer than {ROUND_LIMIT}")
-    base = _relabel(nodes.select(KEY, "node_id", F.col("node_id").alias("c")), "c", mapping)
-    if not levels:
-        return base.select(KEY, "node_id", F.lit(0).alias("depth"))
-    hits = levels[0].withColumn("k", F.lit(1))
-    for k, level in enumerate(levels[1:], start=2):
-        hits = hits.unionByName(level.withColumn("k", F.lit(k)))
-    reach = hits.groupBy(KEY, F.col("source").alias("c")).agg(F.max("k").alias("depth"))
-    return base.join(reach, [KEY, "c"], "left").select(
-        KEY, "node_id", F.coalesce("depth", F.lit(0)).cast("int").alias("depth")
-    )
+    graph = condense.condensed(nodes, edges, scc)
+    lengths = condense.chain_lengths(cut(graph.links))
+    return graph.members.join(lengths, [KEY, "c"], "left").select(
+        KEY, "node_id", F.coalesce("depth", F.lit(0)).cast("int").alias("depth"))

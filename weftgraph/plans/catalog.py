@@ -393,6 +393,14 @@ def impact_files(spark, d):
     return reach.impact(edges, _as_files(nodes))
 
 
+@query
+def change_impact(spark, d):
+    """A change set of every tenth part's file: what it affects, and over how many imports."""
+    nodes, edges = _graph(spark, d, corpus.CLEAN)
+    number = F.regexp_extract("node_id", r"m(\d+)\.", 1).cast("bigint")
+    return reach.change_impact(edges, _as_files(nodes.where(number % 10 == 0)))
+
+
 @query
 def file_dependencies(spark, d):
     return reach.dependencies(_graph(spark, d, corpus.CLEAN)[1])

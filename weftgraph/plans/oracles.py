@@ -281,6 +281,9 @@ _add("impact_counts", _with(_edges(CLEAN), _nodes(), _reach()) + """, hit as (se
     from nodes n left join hit on hit.project_id = n.project_id and hit.file = n.node_id group by n.project_id, n.node_id""")
 _add("impact_files", _with(_edges(CLEAN), _reach()) + """select w.project_id, w.t file, w.s affected, e.source is not null is_direct
     from walk w left join edges e on e.project_id = w.project_id and e.source = w.s and e.target = w.t where w.s <> w.t""")
+_add("change_impact", _with(_edges(CLEAN), _nodes(), """spread as (select project_id, node_id node, 0 d from nodes where p % 10 = 0
+    union select s.project_id, e.source, s.d + 1 from spread s join edges e on e.project_id = s.project_id and e.target = s.node where s.d < 60)""")
+    + """select project_id, node affected, cast(min(d) as int) distance from spread group by all having min(d) > 0""")
 _add("file_dependencies", _with(_edges(CLEAN)) + "select project_id, source file, target dependency from edges")
 _add("file_dependents", _with(_edges(CLEAN)) + "select project_id, target file, source dependent from edges")
 _HOP = ("und as (select project_id, source s, target t from edges union select project_id, target, source from edges)",)
