@@ -1,11 +1,13 @@
+import pytest
 from pyspark.sql import functions as F
 
+from weftgraph.functions import jssource
 from weftgraph.operators import extract, scan
 
 
 def js(spark, text):
     df = spark.createDataFrame([(text,)], "c string")
-    rows = df.select(F.explode(extract.js_imports(F.col("c"))).alias("r")).select("r.*").collect()
+    rows = df.select(F.explode(extract.js_parse(F.col("c"))["imports"]).alias("r")).select("r.*").collect()
     return [(r.specifier, r.type, r.symbols) for r in rows]
 
 
@@ -46,6 +48,68 @@ import ''; require(''); export {x}; import.meta.url;
     ]
 
 
+def found(text):
+    error, records = jssource.parse_source(text)
+    assert error is None, error
+    return [(r["specifier"], r["type"], r["symbols"]) for r in records]
+
+
+def test_js_regular_expressions():
+    """A slash begins one by the token before it; quotes and brackets in it are text."""
+    text = r"""const r = /`/; import a from './a';
+const s = x.replace(/["'`/]/g, "'"), t = a / b; const u = require('./u'); if (ok) /'/.test(y); import('./v');
+const w = (1 + 2) / 3 / arr[0] / 'import("no")'.length; function f() { return /[/'"]\/(/ } export * from './z';
+const o = { a: 1 } / 2, p = [1] / 2, q = i++ / 2; require('./q'); x = y.in / 2; z = "/"; require('./s');
+"""
+    assert [s for s, _, _ in found(text)] == ["./a", "./u", "./v", "./z", "./q", "./s"]
+
+
+def test_js_quoted_names():
+    assert found("import { 'a-b' as c, type \"d e\" as f, type as g, type h } from './s'") == [("./s", "import", ["a-b", "d e", "type", "h"])]
+    assert found("export { 'x-y' as z, default as w } from './t'; import type from './u'; import type, { v } from './v'") == [
+        ("./t", "re-export", ["x-y", "default"]), ("./u", "import", ["default"]), ("./v", "import", ["default", "v"])]
+    assert found(r"import './a\u0062\x63'; require('d\
+e')") == [("./abc", "import", []), ("de", "require", [])]
+
+
+def test_jsx_text():
+    """Text of an element may hold quotes, backticks and what looks like an import; its braces are code."""
+    text = """const A = () => <p className="it's" title={`t ${require('./t')}`}>don't `do` import x from 'no1' // {import('./b')} <B/> it's
+  <C.D {...props} render={() => <i>require('no2')</i>}>{ok && <></>}</C.D></p>;
+import e from './e'; const g = <T,>(x: T) => x; const h = <U extends V>(x: U) => import('./h');
+const i = a < b, j = c > d; const k = f<W>('no3'); class K<X> extends L<M<X>> { n?: O<'no4'>; }
+return <Q<R> s='require("no5")' /> ; export { l } from './l';
+"""
+    assert [s for s, _, _ in found(text)] == ["./t", "./b", "./e", "./h", "./l"]
+
+
+def test_js_templates_and_bindings():
+    text = """const a = `x ${ {b: `y ${import('./in')}`} } import('no') \\` z`, c = require('./c'); var d: Map<string, E> = require('./d'), f = 1;
+const { g, 'h-i': j, [k]: l, m = { n: 1 }, ...o } = require('./g'); const [p] = require('./p'); q = require('./q');
+const r = require('./r').s, t = require('./t')(), u = require('./u') as V, w = require('./w');
+for (const x of require('./x')) {} foo(y, z = require('./z')); import A = require('no1'); new require('no2'); b.require('no3'); b.import('no4');
+let B: import('./type').C; const D = await import('./D'); const E = import.meta.url; function F(G = require('./G')) {}
+"""
+    assert found(text) == [
+        ("./in", "import", []), ("./c", "require", ["c"]), ("./d", "require", ["d"]), ("./g", "require", ["g", "h-i", "k", "m"]),
+        ("./p", "require", []), ("./q", "require", []), ("./r", "require", []), ("./t", "require", []), ("./u", "require", []),
+        ("./w", "require", ["w"]), ("./x", "require", []), ("./z", "require", []), ("./type", "import", []), ("./D", "import", []), ("./G", "require", [])]
+
+
+@pytest.mark.parametrize("text", [
+    "import { a from './a'", "f(1, [2)", "}", "const s = 'open", "const s = `open ${x", "/* open", "const a = <p>text", "const a = <p b={1>", "x = `a${b]`", "`\\"])
+def test_js_syntax_errors(text):
+    """A file that does not parse has an error and no imports, whatever stands before."""
+    error, records = jssource.parse_source("import z from './z';\n" + text)
+    assert error.startswith("parse failed: SyntaxError: ") and records == []
+    assert "(2:" in error
+
+
+def test_js_without_errors():
+    for text in ["", "#!/usr/bin/env node\n'x'", "a = b / c; d = /[(]/; // )", "x = { '}': ']' }", "\u00e9t\u00e9 = `)`", "class A { #b = 1; static { c(); } }", "label: for (;;) {}"]:
+        assert jssource.parse_source(text)[0] is None
+
+
 def test_js_large_inputs_do_not_overflow(spark):
     text = '"' + '\\"x' * 200_000 + '"; /*' + "*a" * 200_000 + "*/ import z from './z';`" + "a\n" * 100_000 + "`"
     assert js(spark, text) == [("./z", "import", ["default"])]
@@ -70,14 +134,14 @@ def test_python_forms_and_order(spark, make_files):
 def test_lines_and_errors(make_files):
     tree = {
         "ok.py": "import json\n", "cr.py": "a=1\rb=2\r\nc=3", "bad.py": "def (\n\n", "gone.py": None,
-        "deep.py": "x = " + "1+" * 200_000 + "1", "nul.py": "x=1\0", "e.js": "", "cr.js": "a\rb\n", "gone.js": None,
+        "deep.py": "x = " + "1+" * 200_000 + "1", "nul.py": "x=1\0", "e.js": "", "cr.js": "a\rb\n", "gone.js": None, "bad.ts": "import a from './a';\nf({",
     }
     rows = {r.path: r for r in parsed(make_files, tree).collect()}
     loc = {k: r.lines_of_code for k, r in rows.items()}
     assert loc == {"ok.py": 2, "cr.py": 3, "bad.py": 3, "gone.py": 0, "deep.py": 1, "nul.py": 1,
-                   "e.js": 1, "cr.js": 2, "gone.js": 0}
+                   "e.js": 1, "cr.js": 2, "gone.js": 0, "bad.ts": 2}
     failed = {k for k, r in rows.items() if r.error}
-    assert failed == {"bad.py", "gone.py", "deep.py", "nul.py", "gone.js"}
+    assert failed == {"bad.py", "gone.py", "deep.py", "nul.py", "gone.js", "bad.ts"}
     assert rows["ok.py"].imports[0].specifier == "json"
 
 

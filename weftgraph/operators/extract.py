@@ -1,144 +1,33 @@
-"""Import extraction: one regex pass for JS/TS in the JVM, ``ast`` batches for Python."""
+"""Import extraction: Arrow batches of both languages through a scanner for JS/TS and ``ast`` for Python, in one pass over the text."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions import pysource
+from weftgraph.functions import jssource, pysource
 from weftgraph.operators import scan
 
 IMPORTS_TYPE = "array<struct<specifier:string,level:int,type:string,symbols:array<string>>>"
 
-# --- JavaScript / TypeScript -------------------------------------------------
-# One alternation, scanned left to right. Comments, template literals and plain
-# strings are consumed whole so that text inside them is never taken for an
-# import; only the import forms fill group 1. Long spans repeat a single
-# character class, which the JVM matcher runs without recursion, so a 2 MiB
-# bundle cannot exhaust the stack.
-_EVEN = r"(?<!(?<!\\)(?:\\\\){0,10}\\%s)"
-_COMMENT = r"/\*[\s\S]*?(?:\*/|\z)|//[^\n]*+"
-_QUOTED = (
-    r'(?>"[^\n]*?"' + _EVEN % '"' + r"|'[^\n]*?'" + _EVEN % "'" + ")"
-)
-_TEMPLATE = r"(?>`[\s\S]*?`" + _EVEN % "`" + ")"
-_CLAUSE = rf"[^'\"`;=()/]*+(?:(?:{_COMMENT})[^'\"`;=()/]*+)*+"
-_START = r"(?<![\w$])(?<!(?<!\.\.)\.)"
-_NOT_CONTINUED = r"(?!\s*+(?:[.(\[`+\-*%&|^<>=?!]|/(?![/*])|(?:as|satisfies|instanceof|in)\b))"
-_PATTERN = r"\{[^{}]*+(?:\{[^{}]*+\}[^{}]*+)*+\}"
-_BOUND = (
-    rf"(?:(?:\b(?:const|let|var)\s|,)\s*+(?:[\w$]++|{_PATTERN})(?:\s*+:[^=\n;,(]*+)?\s*+=\s*+)?+"
-    rf"{_START}require\s*+\(\s*+{_QUOTED}\s*+(?:\)|(?=,))"
-)
-_JS_IMPORTS = (
-    rf"(?=[/`'\"iecvlr,])(?:(?:{_COMMENT})|{_TEMPLATE}"
-    rf"|{_START}import\s++[\w$]++\s*+=\s*+require\s*+\(\s*+{_QUOTED}"
-    rf"|({_START}import(?![\w$]){_CLAUSE}{_QUOTED}"
-    rf"|{_START}export\s*+(?:type(?![\w$])\s*+)?(?:\{{[^}}]*+\}}|\*\s*+(?:as\s++[\w$]++)?)\s*+from\s*+{_QUOTED}"
-    rf"|(?<!typeof\s){_START}import\s*+\(\s*+(?:(?:{_COMMENT})\s*+)*+{_QUOTED}\s*+[,)]"
-    rf"|{_BOUND}{_NOT_CONTINUED}|{_START}require\s*+\(\s*+{_QUOTED}\s*+[,)])"
-    rf"|{_QUOTED})"
-)
-_LAST_QUOTED = rf"({_QUOTED})[\s,)]*$"
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
-def _quoted_value(token: Column) -> Column:
-    raw = F.regexp_extract(token, _LAST_QUOTED, 1)
-    return F.substr(raw, F.lit(2), F.length(raw) - 2)
-
-
-def _names(block: Column) -> Column:
-    """Source-side names of a ``{a, b as c, type d}`` block's inside."""
-    items = F.transform(
-        F.split(block, ","), lambda s: F.regexp_replace(_strip(s), r"^type\s+(?!as\b|$)", "")
-    )
-    named = F.transform(items, lambda s: F.regexp_replace(s, r"(?s)\s+as\s.*$", ""))
-    return F.transform(
-        F.filter(named, lambda s: s != ""), lambda s: F.regexp_replace(s, r"""^['"]|['"]$""", "")
-    )
-
-
-def _import_symbols(clause: Column) -> Column:
-    """Symbols of an import clause, in the order default, then namespace or named."""
-    text = F.regexp_replace(clause, r"^\s*type\s++(?!from\b|,|$)", " ")
-    block = F.regexp_extract(text, r"\{([^}]*)\}", 1)
-    outside = F.regexp_replace(text, r"\{[^}]*\}", "")
-    default = F.regexp_extract(outside, r"^\s*([^\s,*{}]+)", 1)
-    none = F.array().cast("array<string>")
-    return F.concat(
-        F.when(default != "", F.array(F.lit("default"))).otherwise(none),
-        F.when(outside.rlike(r"\*\s*as\s"), F.array(F.lit("*"))).otherwise(none),
-        _names(block),
-    )
+PARSED_TYPE = f"struct<error:string,imports:{IMPORTS_TYPE}>"
 
 
-def _bound_symbols(token: Column) -> Column:
-    """Names a require() result is bound to."""
-    none = F.array().cast("array<string>")
-    single = F.regexp_extract(token, r"^(?:const|let|var|,)\s*([\w$]+)\s*(?::[^=]*)?=", 1)
-    inside = F.regexp_extract(token, r"(?s)^(?:const|let|var|,)\s*\{(.*)\}\s*(?::[^=]*)?=\s*require", 1)
-    flat = F.regexp_replace(inside, r"\{[^{}]*\}", "")
-    keys = F.transform(
-        F.split(flat, ","),
-        lambda s: F.regexp_replace(
-            _strip(F.regexp_replace(s, r"(?s)[:=].*$", "")), r"""^[\['"]|[\]'"]$""", ""
-        ),
-    )
-    return (
-        F.when(single != "", F.array(single))
-        .when(inside != "", F.filter(keys, lambda s: (s != "") & ~s.startswith("...")))
-        .otherwise(none)
-    )
+def js_parse(content: Column) -> Column:
+    """Arrow batches of JS/TS text in, error and ordered import records out."""
+    return F.pandas_udf(jssource.parse_batch, PARSED_TYPE)(content)
 
 
-def _js_record(token: Column) -> Column:
-    value = _quoted_value(token)
-    bare = F.regexp_replace(token, _COMMENT, " ")
-    clause = F.regexp_extract(bare, r"(?s)^import(.*?)\bfrom\s*['\"]", 1)
-    block = F.regexp_extract(bare, r"(?s)^export[^{]*\{([^}]*)\}", 1)
-    none = F.array().cast("array<string>")
-    kind = (
-        F.when(token.startswith("export"), "re-export")
-        .when(bare.rlike(r"^import\s*\("), "import")
-        .when(token.startswith("import"), "import")
-        .otherwise("require")
-    )
-    symbols = (
-        F.when(bare.rlike(r"^export\s*(?:type\s*)?\*"), F.array(F.lit("*")))
-        .when(kind == "re-export", _names(block))
-        .when(kind == "require", _bound_symbols(bare))
-        .when(clause != "", _import_symbols(clause))
-        .otherwise(none)
-    )
-    return F.struct(
-        value.alias("specifier"), F.lit(0).alias("level"),
-        kind.alias("type"), symbols.alias("symbols"),
-    )
-
-
-def _is_record(token: Column) -> Column:
-    """Drop what only looked like a statement, and declarations with an empty source."""
-    statement = token.rlike(r"^(?:import|export)(?!\s*\()")
-    shaped = token.rlike(r"""(?s)^import\s*['"]|\bfrom\s*['"][^\n]*$|^export""")
-    return (token != "") & (~statement | (shaped & (_quoted_value(token) != "")))
-
-
-def js_imports(content: Column) -> Column:
-    """Ordered import records of one JS/TS source text."""
-    tokens = F.regexp_extract_all(content, F.lit(_JS_IMPORTS), F.lit(1))
-    return F.transform(F.filter(tokens, _is_record), _js_record)
-
+def python_parse(content: Column) -> Column:
+    """Arrow batches of Python text in, error and ordered import records out."""
+    return F.pandas_udf(pysource.parse_batch, PARSED_TYPE)(content)
 
-# --- Python ------------------------------------------------------------------
 
-def python_parse(content: Column) -> Column:
-    """Arrow batches of source text in, error and ordered import records out."""
-    parse = F.pandas_udf(pysource.parse_batch, f"struct<error:string,imports:{IMPORTS_TYPE}>")
-    return parse(content)
+def _parse_batch(content: pd.Series, language: pd.Series) -> pd.DataFrame:
+    parsers = {"javascript": jssource.parse_source, "python": pysource.parse_source}
+    rows = [parsers[x](text) for text, x in zip(content, language, strict=True)]
+    return pd.DataFrame({"error": [r[0] for r in rows], "imports": [r[1] for r in rows]})
 
 
 # --- per-file result ---------------------------------------------------------
@@ -155,18 +44,10 @@ def parse(files: DataFrame) -> DataFrame:
     base = files.select(
         "project_id", "path", scan.language(F.col("path")).alias("language"), "content"
     ).withColumn("lines_of_code", lines_of_code(F.col("content"), F.col("language")))
+    parsed = F.pandas_udf(_parse_batch, PARSED_TYPE)(F.col("content"), F.col("language"))
     head = ["project_id", "path", "language", "lines_of_code"]
-    js = base.where(F.col("language") == "javascript").select(
-        *head,
-        F.when(F.col("content").isNull(), F.lit("read failed")).alias("error"),
-        F.coalesce(js_imports(F.col("content")), F.array().cast(IMPORTS_TYPE)).alias("imports"),
-    )
-    py = (
-        base.where(F.col("language") == "python")
-        .select(*head, python_parse(F.col("content")).alias("p"))
-        .select(*head, "p.error", "p.imports")
-    )
-    return js.unionByName(py)
+    return base.where(F.col("language").isin("javascript", "python")).select(*head, parsed.alias("p")).select(
+        *head, "p.error", "p.imports")
 
 
 def imports(parsed: DataFrame) -> DataFrame:

@@ -185,10 +185,11 @@ def import_records(spark, d):
 
 @query
 def parse_errors(spark, d):
-    """Every 17th file's broken import line is cut off in the middle."""
-    files = corpus.files(spark, d, corpus.CLEAN).where(F.endswith("path", F.lit(".py")))
-    broken = files.withColumn("content", F.regexp_replace("content", r"(from \.missing\d+ import) x", "$1 ("))
-    return extract.parse_errors(extract.parse(scan.kept(broken))).select(
+    """Every 17th file's broken import line is cut off in the middle, or opens a brace that nothing closes."""
+    files = corpus.files(spark, d, corpus.CLEAN)
+    cut_off = F.regexp_replace("content", r"(from \.missing\d+ import) x", "$1 (")
+    opened = F.regexp_replace(cut_off, r"import x (from '\./missing)", "import { x $1")
+    return extract.parse_errors(extract.parse(scan.kept(files.withColumn("content", opened)))).select(
         KEY, "file", F.substring_index("error", ":", 2).alias("error")
     )
 

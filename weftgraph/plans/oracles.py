@@ -195,7 +195,7 @@ _add("import_records", _with(_edges(CLEAN), _IMPORTS) + """select project_id, pa
 _add("language_split", _with(_edges(CLEAN), _IMPORTS) + """select p.project_id, case when is_py then 'python' else 'javascript' end as "language",
     count(*) files, cast(sum(coalesce(n, 0)) as bigint) imports from parts p
     left join (select path, count(*) n from recs group by path) using (path) group by all""")
-_add("parse_errors", _with() + """select project_id, path file, 'parse failed: SyntaxError' as error from parts where is_py and p % 17 = 0""")
+_add("parse_errors", _with() + """select project_id, path file, 'parse failed: SyntaxError' as error from parts where p % 17 = 0""")
 _add("top_dependents", _with(_edges(CLEAN)) + """select project_id, rank, node_id, in_degree from (
     select project_id, target node_id, cast(count(*) as int) in_degree,
     cast(row_number() over (partition by project_id order by count(*) desc, target) as int) rank from edges group by project_id, target) where rank <= 5""")

@@ -77,9 +77,9 @@ def _varied_line(name: Column) -> Column:
     text = lambda *bits: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
     folder, suffix = F.col("folder"), _pick(SUFFIXES, F.col("b") % 4)
     js = (
-        F.when(k == 0, text("import { s", name, " as x", name, " } from '../", folder, "/m", name, "';\n"))
+        F.when(k == 0, text("import { 's", name, "' as x", name, " } from '../", folder, "/m", name, "';\n"))
         .when(k == 1, text("export { s", name, " as y", name, " } from '../", folder, "/m", name, suffix, "';\n"))
-        .when(k == 2, text("const { s", name, ": z", name, " } = require('../", folder, "/m", name, "');\n"))
+        .when(k == 2, text("const q", name, " = /[`'\"/]`/g; const { s", name, ": z", name, " } = require('../", folder, "/m", name, "');\n"))
         .when(k == 3, text('export * from "../', folder, "/m", name, '";\n'))
         .otherwise(text("const l", name, " = () => import('../", folder, "/m", name, "');\n"))
     )
