@@ -281,3 +281,29 @@ def test_long_chain_in_few_rounds(spark, monkeypatch):
     rows = components.dependency_depth(names, line, none).collect()
     assert {(r.node_id, r.depth) for r in rows} == {(f"c{i:05d}", n - 1 - i) for i in range(n)}
     assert len(rounds) <= 16
+
+
+def test_betweenness_in_batches(spark, world, monkeypatch):
+    """Batches of roots give the same values, and no batch holds more than its roots times the nodes they can reach."""
+    graphs, nodes, edges = world
+    value = lambda df: {(r.project_id, r.node_id): round(r.betweenness, 9) for r in df.collect()}
+    want = value(metrics.betweenness(nodes, edges))
+    batches, paths = [], []
+    flows, scratch = metrics._flows, metrics.scratch_path
+    monkeypatch.setattr(metrics, "_flows", lambda links, roots: batches.append(roots.count()) or flows(links, roots))
+    monkeypatch.setattr(metrics, "scratch_path", lambda s, label: paths.append((label, scratch(s, label))) or paths[-1][1])
+    assert value(metrics.betweenness(nodes, edges, batch_rows=600)) == want
+    largest = max(len(g[0]) for g in graphs.values())
+    held = [spark.read.parquet(f"{path}/*").count() for label, path in paths if label == "levels"]
+    assert len(held) == len(batches) > 2 and all(rows <= n * largest for rows, n in zip(held, batches, strict=True))
+
+
+def test_way_back_grows_as_asked(world, scc, monkeypatch):
+    """Distances back are followed no further than the lengths in question and only where cycles are still looked for."""
+    _, _, edges = world
+    asked = []
+    extend = cycles._WayBack.extend
+    monkeypatch.setattr(cycles._WayBack, "extend", lambda self, distance, projects: asked.append(distance) or extend(self, distance, projects))
+    only = edges.where("project_id = 'k9'")
+    found = cycles.listed_cycles(cycles.all_cycles(only, scc, 30), 30)
+    assert found.count() == 30 and max(asked) <= 2 + 2 * cycles.AHEAD

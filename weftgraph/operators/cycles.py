@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from weftgraph.operators.components import strong_components
-from weftgraph.session import cut, cut_count, cut_measure
+from weftgraph.session import cut, scratch_path
 
 KEY = "project_id"
 
@@ -29,73 +29,80 @@ def all_cycles(edges: DataFrame, scc: DataFrame, limit: int | None = MAX_CYCLES)
 
     A cycle is found once, from its smallest node, so it is already in canonical rotation.
     """
-    inner = cut(_inner_edges(edges, scc))
-    found = _best_first(inner, limit)
-    if found is None:
-        found = inner.select(KEY, F.lit(0).alias("len"), F.array("source").alias("path")).limit(0)
-    return found
-
-
-def _way_back(inner: DataFrame) -> DataFrame:
-    """(project_id, start, last, back): steps from ``last`` to ``start`` through nodes above it."""
-    into = inner.select(KEY, F.col("target").alias("last"), F.col("source").alias("prev"))
-    frontier = inner.select(KEY, F.col("source").alias("start")).distinct().withColumn(
-        "last", F.col("start")
-    )
-    seen = frontier.withColumn("back", F.lit(0))
-    dist = 0
-    while True:
-        dist += 1
-        frontier, n = cut_count(
-            frontier.join(into, [KEY, "last"]).where(F.col("prev") > F.col("start"))
-            .select(KEY, "start", F.col("prev").alias("last")).distinct()
-            .join(seen, [KEY, "start", "last"], "left_anti")
-        )
-        if not n:
-            return seen
-        seen = seen.unionByName(frontier.withColumn("back", F.lit(dist)))
+    return _best_first(cut(_inner_edges(edges, scc)), limit)
+
+
+class _WayBack:
+    """(project_id, start, last, back): steps from ``last`` to ``start`` through nodes above it, as far as they have been asked for.
+
+    Every distance is a table of its own below one path, so they are read by one scan. ``reached`` is the distance up to which all rows are
+    there; ``ended`` says that there are none beyond. Only the projects given to ``extend`` are followed further.
+    """
+
+    _ROW = f"{KEY} string, start string, last string, back int"
+
+    def __init__(self, inner: DataFrame):
+        self.spark, self.path = inner.sparkSession, scratch_path(inner.sparkSession, "way-back")
+        self.into = inner.select(KEY, F.col("target").alias("last"), F.col("source").alias("prev"))
+        starts = inner.select(KEY, F.col("source").alias("start")).distinct()
+        starts.select(KEY, "start", F.col("start").alias("last"), F.lit(0).alias("back")).write.parquet(f"{self.path}/0")
+        self.reached, self.ended = 0, False
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self._ROW).parquet(f"{self.path}/*")
+
+    def extend(self, distance: int, projects: DataFrame) -> None:
+        while self.reached < distance and not self.ended:
+            edge = self.spark.read.schema(self._ROW).parquet(f"{self.path}/{self.reached}").join(projects, KEY, "left_semi")
+            further = (
+                edge.join(self.into, [KEY, "last"]).where(F.col("prev") > F.col("start"))
+                .select(KEY, "start", F.col("prev").alias("last")).distinct()
+                .join(self.rows(), [KEY, "start", "last"], "left_anti")
+            )
+            self.reached += 1
+            count = Observation()
+            further.withColumn("back", F.lit(self.reached)).observe(count, F.count(F.lit(1)).alias("n")).write.parquet(
+                f"{self.path}/{self.reached}")
+            self.ended = not count.get["n"]
 
 
-def _best_first(inner: DataFrame, limit: int | None) -> DataFrame | None:
+def _best_first(inner: DataFrame, limit: int | None) -> DataFrame:
     """Always extend the paths that can close soonest.
 
-    ``bound`` = length so far + steps back to the start, so a path is touched
-    only when its shortest possible cycle is due.
+    ``bound`` = length so far + steps back to the start, so a path is touched only when its shortest possible cycle is due. Where the steps
+    back are not known yet they are more than the known distance, which bounds them too; distances are grown only to the lengths that are due, and
+    only in projects that still look for cycles.
     """
-    back = cut(_way_back(inner))
-    step = inner.select(KEY, F.col("source").alias("last"), F.col("target").alias("next")).join(
-        back.select(KEY, "start", F.col("last").alias("next"), "back"), [KEY, "next"]
-    )
+    spark, path = inner.sparkSession, scratch_path(inner.sparkSession, "paths")
+    row = f"{KEY} string, start string, path array<string>, last string, bound int, closed boolean"
+    back = _WayBack(inner)
     pool = inner.select(KEY, F.col("source").alias("start")).distinct().select(
-        KEY, "start", F.array("start").alias("path"), F.col("start").alias("last"), F.lit(1).alias("bound")
-    )
-    found = None
-    while True:
-        due = pool.groupBy(KEY).agg(F.min("bound").alias("due"))
-        marked = pool.join(due, KEY)
+        KEY, "start", F.array("start").alias("path"), F.col("start").alias("last"), F.lit(2).alias("bound"), F.lit(False).alias("closed"))
+    found = pool.select(KEY, F.size("path").alias("len"), "path").limit(0)
+    rounds, due = 0, 2
+    while due is not None:
+        back.extend(due + AHEAD, pool.select(KEY).distinct())
         # a few lengths ahead at once: fewer rounds, the same cycles
-        soon = F.col("bound") <= F.col("due") + AHEAD
-        now = marked.where(soon).drop("due", "bound")
-        later = marked.where(~soon).drop("due")
-        grown = now.join(step, [KEY, "last", "start"]).where(
-            (F.col("next") == F.col("start")) | ~F.array_contains("path", F.col("next"))
-        )
+        soon = F.col("bound") <= due + AHEAD
+        grown = pool.where(soon).join(
+            inner.select(KEY, F.col("source").alias("last"), F.col("target").alias("next")), [KEY, "last"]
+        ).where((F.col("next") == F.col("start")) | ((F.col("next") > F.col("start")) & ~F.array_contains("path", F.col("next"))))
+        steps = back.rows().select(KEY, "start", F.col("last").alias("next"), "back")
+        beyond = F.lit(None).cast("int") if back.ended else F.lit(back.reached + 1)
         closed = F.col("next") == F.col("start")
-        rows = grown.select(
-            KEY, "start",
-            F.when(closed, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
-            F.col("next").alias("last"),
-            (F.size("path") + F.col("back")).alias("bound"),
-            closed.alias("closed"),
-        ).unionByName(later.withColumn("closed", F.lit(False)))
-        rows, seen = cut_measure(
-            rows, closed=F.count_if("closed"), open=F.count_if(~F.col("closed"))
-        )
-        if seen["closed"]:
-            new = rows.where("closed").select(KEY, F.size("path").alias("len"), "path")
-            found = new if found is None else found.unionByName(new)
-        pool = rows.where(~F.col("closed")).drop("closed")
-        if found is not None and limit is not None:
+        bounded = grown.join(steps, [KEY, "start", "next"], "left").select(
+            KEY, "start", F.when(closed, F.col("path")).otherwise(F.array_append("path", F.col("next"))).alias("path"),
+            F.col("next").alias("last"), (F.size("path") + F.coalesce("back", beyond)).alias("bound"), closed.alias("closed"),
+        ).where("bound IS NOT NULL")
+        seen = Observation()
+        rows = bounded.unionByName(pool.where(~soon))
+        rows.observe(seen, F.min(F.when(~F.col("closed"), F.col("bound"))).alias("due"), F.count_if("closed").alias("closed")).write.parquet(
+            f"{path}/{rounds}")
+        due = seen.get["due"]
+        pool = spark.read.schema(row).parquet(f"{path}/{rounds}").where("NOT closed")
+        rounds += 1
+        if limit is not None and due is not None:
+            found = spark.read.schema(row).parquet(f"{path}/*").where("closed").select(KEY, F.size("path").alias("len"), "path")
             # a project may stop once its (cap + 1)th cycle is no longer than what is still due
             w = Window.partitionBy(KEY).orderBy("len")
             done = (
@@ -103,12 +110,8 @@ def _best_first(inner: DataFrame, limit: int | None) -> DataFrame | None:
                 .groupBy(KEY).agg(F.max("len").alias("enough"), F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") > limit).drop("n")
             )
-            pool = pool.join(done, KEY, "left").where(
-                F.col("enough").isNull() | (F.col("bound") <= F.col("enough"))
-            ).drop("enough")
-        pool, n = cut_count(pool)
-        if not n:
-            return found
+            pool = pool.join(done, KEY, "left").where(F.col("enough").isNull() | (F.col("bound") <= F.col("enough"))).drop("enough")
+    return spark.read.schema(row).parquet(f"{path}/*").where("closed").select(KEY, F.size("path").alias("len"), "path") if rounds else found
 
 
 def listed_cycles(found: DataFrame, limit: int = MAX_CYCLES) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftgraph.functions import architecture, risk
 from weftgraph.operators.components import component_sizes
-from weftgraph.session import cut, cut_count
+from weftgraph.session import cut, scratch_path
 
 KEY = "project_id"
 BETWEENNESS_LIMIT = 1500  # fixed value of the service: larger projects are marked as skipped there
@@ -43,62 +45,78 @@ def degree_centrality(degree: DataFrame) -> DataFrame:
     return degree.join(node_counts(degree), KEY).withColumn("degree_centrality", value).drop("n")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, limit: int | None = None) -> DataFrame:
+BATCH_ROWS = 50_000_000  # (root, node) rows that one batch of roots may hold
+
+
+def _appended(spark, path: str, schema: str) -> DataFrame:
+    """All tables written below ``path``: one scan, however many there are."""
+    return spark.read.schema(schema).parquet(f"{path}/*")
+
+
+def _flows(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, flow): what shortest paths from ``roots(root)`` add to each node between their ends; ``links(node, target)``.
+
+    Paths of all roots advance together, one level per job, and their shares are then summed level by level from the far end.
+    """
+    spark = links.sparkSession
+    path, row = scratch_path(spark, "levels"), "root bigint, node bigint, sigma double"
+    level = lambda k: spark.read.schema(row).parquet(f"{path}/level={k}")
+    roots.select("root", F.col("root").alias("node"), F.lit(1.0).alias("sigma")).write.parquet(f"{path}/level=0")
+    depth = 0
+    while True:
+        count = Observation()
+        fresh = (
+            level(depth).join(links, "node").groupBy("root", F.col("target").alias("node")).agg(F.sum("sigma").alias("sigma"))
+            .join(_appended(spark, path, row).select("root", "node"), ["root", "node"], "left_anti")
+        )
+        fresh.observe(count, F.count(F.lit(1)).alias("n")).write.parquet(f"{path}/level={depth + 1}")
+        if not count.get["n"]:
+            break
+        depth += 1
+    shares, given = scratch_path(spark, "shares"), "root bigint, node bigint, sigma double, delta double"
+    level(depth).withColumn("delta", F.lit(0.0)).write.parquet(f"{shares}/level={depth}")  # the deepest level passes nothing on
+    for k in range(depth - 1, 0, -1):
+        back = spark.read.schema(given).parquet(f"{shares}/level={k + 1}").select(
+            "root", F.col("node").alias("target"), ((1 + F.col("delta")) / F.col("sigma")).alias("share"))
+        summed = level(k).join(links, "node").join(back, ["root", "target"]).groupBy("root", "node").agg(
+            F.sum(F.col("sigma") * F.col("share")).alias("delta"))
+        level(k).join(summed, ["root", "node"], "left").select(
+            "root", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta")).write.parquet(f"{shares}/level={k}")
+    return _appended(spark, shares, given).where(F.col("node") != F.col("root")).groupBy("node").agg(F.sum("delta").alias("flow"))
+
+
+def betweenness(nodes: DataFrame, edges: DataFrame, limit: int | None = None, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """(project_id, node_id, betweenness): shortest-path betweenness, NULL above ``limit`` nodes if one is given.
 
-    Shortest paths of all sources advance together, one level per job, and the
-    dependencies are then summed level by level from the far end.
+    Files are numbered, and roots go in batches dealt by a hash, as many as keep the (root, node) rows of a batch at about ``batch_rows`` if every
+    root reached all of its project. A batch leaves one row per file.
     """
     sizes = node_counts(nodes)
     small = sizes if limit is None else sizes.where(F.col("n") <= limit)
     # loops and isolated files lie on no shortest path
-    links = cut(
+    named = cut(
         edges.where(F.col("source") != F.col("target")).join(small, KEY, "left_semi")
         .select(KEY, "source", "target").distinct()
     )
-    step = links.withColumnRenamed("source", "node")
-    level = links.select(KEY, F.col("source").alias("root")).distinct().select(
-        KEY, "root", F.col("root").alias("node"), F.lit(1.0).alias("sigma")
-    )
-    seen = level.select(KEY, "root", "node")
-    levels = []
-    while True:
-        fresh = (
-            level.join(step, [KEY, "node"])
-            .groupBy(KEY, "root", F.col("target").alias("node")).agg(F.sum("sigma").alias("sigma"))
-            .join(seen, [KEY, "root", "node"], "left_anti")
-        )
-        fresh, n = cut_count(fresh.select(KEY, "root", "node", "sigma"))
-        if not n:
-            break
-        levels.append(level)
-        level = fresh
-        seen = seen.unionByName(fresh.select(KEY, "root", "node"))
-    total = None
-    back = level.withColumn("delta", F.lit(0.0))  # the deepest level passes nothing on
-    for k in range(len(levels) - 1, 0, -1):
-        near = levels[k]
-        flow = back.select(
-            KEY, "root", F.col("node").alias("target"), ((1 + F.col("delta")) / F.col("sigma")).alias("share")
-        )
-        summed = (
-            near.join(step, [KEY, "node"]).join(flow, [KEY, "root", "target"])
-            .groupBy(KEY, "root", "node").agg(F.sum(F.col("sigma") * F.col("share")).alias("delta"))
-        )
-        back = cut(
-            near.join(summed, [KEY, "root", "node"], "left")
-            .select(KEY, "root", "node", "sigma", F.coalesce("delta", F.lit(0.0)).alias("delta"))
-        )
-        total = back if total is None else total.unionByName(back)
-    base = nodes.select(KEY, "node_id").join(sizes, KEY)
-    if total is None:
-        raw = F.lit(0.0)
-    else:
-        sums = total.groupBy(KEY, F.col("node").alias("node_id")).agg(F.sum("delta").alias("raw"))
-        base = base.join(sums, [KEY, "node_id"], "left")
-        raw = F.coalesce("raw", F.lit(0.0))
+    names = cut(named.select(KEY, F.explode(F.array("source", "target")).alias("node_id")).distinct().withColumn(
+        "id", F.monotonically_increasing_id()))
+    links = named
+    for end in ("source", "target"):
+        links = links.join(names.select(KEY, F.col("node_id").alias(end), F.col("id").alias(f"_{end}")), [KEY, end])
+    links = cut(links.select(F.col("_source").alias("node"), F.col("_target").alias("target")))
+    roots = links.select(F.col("node").alias("root")).distinct()
+    rows = names.groupBy(KEY).agg(F.count(F.lit(1)).cast("double").alias("n")).agg(F.sum(F.col("n") * F.col("n")).alias("rows")).first().rows
+    batches = max(1, math.ceil((rows or 0) / batch_rows))
+    total = scratch_path(edges.sparkSession, "flows")
+    for k in range(batches):
+        chosen = roots.where(F.pmod(F.xxhash64("root"), F.lit(batches)) == k)
+        _flows(links, chosen).write.parquet(f"{total}/batch={k}")
+    flows = _appended(edges.sparkSession, total, "node bigint, flow double").groupBy(F.col("node").alias("id")).agg(F.sum("flow").alias("raw"))
+    sums = names.join(flows, "id").select(KEY, "node_id", "raw")
+    raw = F.coalesce("raw", F.lit(0.0))
     scaled = F.when(F.col("n") > 2, raw / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(raw)
-    return base.select(KEY, "node_id", (scaled if limit is None else F.when(F.col("n") <= limit, scaled)).alias("betweenness"))
+    return nodes.select(KEY, "node_id").join(sizes, KEY).join(sums, [KEY, "node_id"], "left").select(
+        KEY, "node_id", (scaled if limit is None else F.when(F.col("n") <= limit, scaled)).alias("betweenness"))
 
 
 def graph_totals(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
