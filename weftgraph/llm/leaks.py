@@ -32,6 +32,8 @@ from weftgraph.llm.common import IS_SPACE, TO_LOWER, slices, span_hashes, text_b
 PASSAGE = 32
 PIECE = PASSAGE // 2
 DIMS, RANK, PIECES = 2048, 768, 672
+GROUP = 28  # pieces whose scores are bounded together
+KEPT = 1e-3  # singular values below this part of the largest are dropped
 SLACK = 0.8  # of the threshold: words put between, and what the space blurs
 SHARE, ANSWER = 0.55, 0.5
 SHORT = 8  # an item with fewer words must be there in full
@@ -176,9 +178,12 @@ def _sketch(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, float]
 
 
 class Item:
+    """A benchmark item, its words by their numbers in the vocabulary."""
+
     def __init__(self, key, hashes: np.ndarray, vocabulary: Vocabulary):
-        self.key, self.words = key, hashes.tolist()
         _, number = vocabulary.find(hashes)
+        self.key, self.words = key, number.tolist()
+        self.often = {w: self.words.count(w) for w in dict.fromkeys(self.words)}
         weight = vocabulary.weight[number]
         rare = np.sort(np.argsort(-weight, kind="stable")[: max(1, len(weight) // 3)])
         self.places, self.answer = self._masks(self.words), self._masks([self.words[i] for i in rare])
@@ -203,8 +208,12 @@ class Item:
         return n - row.bit_count()
 
     def shares(self, text: list[int]) -> tuple[float, float]:
-        return (self.common(self.places, len(self.words), text) / len(self.words),
-                self.common(self.answer, self.rare, text) / self.rare)
+        """Parts of the item and of its rarest words found in order; zero if the text has too few of its words to pass."""
+        if sum(map(self.often.get, self.often.keys() & text)) < SHARE * len(self.words):
+            return 0.0, 0.0
+        held = [w for w in text if w in self.places]
+        return (self.common(self.places, len(self.words), held) / len(self.words),
+                self.common(self.answer, self.rare, held) / self.rare)
 
 
 def least_held(weight: np.ndarray) -> float:
@@ -220,8 +229,17 @@ def least_held(weight: np.ndarray) -> float:
 
 
 def _space(corpus: tuple[np.ndarray, float], own: tuple[np.ndarray, float]) -> np.ndarray:
-    total = sum(part / energy for part, energy in (corpus, own) if energy > 0)
-    return np.linalg.qr(total)[0]
+    """The left singular vectors of the passages, from one product of their Gram matrix G with the random matrix W.
+
+    G is close to GW (W'GW)^-1 (GW)', whose square root GW L'^-1 with LL' = W'GW has the singular vectors and values asked for.
+    """
+    total = sum(part.astype(np.float64) / energy for part, energy in (corpus, own) if energy > 0)
+    core = _random().astype(np.float64).T @ total
+    core = (core + core.T) / 2
+    core += np.eye(len(core)) * 1e-7 * np.trace(core)
+    root = np.linalg.solve(np.linalg.cholesky(core), total.T).T
+    vectors, values, _ = np.linalg.svd(root, full_matrices=False)
+    return vectors[:, values > KEPT * values[0]]
 
 
 def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -243,14 +261,15 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     # score of a word for each piece: the part of the piece that it holds, of what the space keeps of it, over the threshold
     square = np.maximum((latent**2).sum(axis=1), 1e-12)
     towards = (space @ (latent / (square * least)[:, None]).T)[vocabulary.dims] * vocabulary.weight[:, None]
-    model = (vocabulary.plain(), towards.astype(np.float32), np.maximum(towards, 0).max(axis=1), known,
-             owner, least * np.linalg.norm(vectors, axis=1))
+    parts = [np.ascontiguousarray(towards[:, g:g + GROUP], np.float32) for g in range(0, towards.shape[1], GROUP)]
+    tops = np.stack([np.maximum(part, 0).max(axis=1) for part in parts], axis=1)  # the most that a word adds to a piece of each group
+    model = (vocabulary.plain(), parts, tops, known, owner, least * np.linalg.norm(vectors, axis=1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def searched(batches):
-        plain, towards, most, known, owner, scale = shared.value
+        plain, parts, tops, known, owner, scale = shared.value
         words_of = Vocabulary.of(plain)
-        model = words_of, towards, most, [Item(key, held, words_of) for key, held in known], owner, scale
+        model = words_of, parts, tops, [Item(key, held, words_of) for key, held in known], owner, scale
         for batch in batches:
             for piece in slices(batch, most=SLICE):
                 yield _search(piece, model)
@@ -259,8 +278,47 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         searched, f"doc_id {kind}, item_id long, cosine double, share double, answer double")
 
 
+def _summed(values: np.ndarray, number: np.ndarray, group: np.ndarray, wanted: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the words' rows of ``values`` in the ``wanted`` segments, and where a segment's sum is; the last one is zero."""
+    at = np.flatnonzero(wanted[group])
+    of = group[at]  # ascending
+    starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
+    found = of[starts]
+    sums = np.zeros((len(found) + 1, values.shape[1]), values.dtype)
+    if len(of):
+        np.add.reduceat(values[number[at]], starts, axis=0, out=sums[:-1])
+    place = np.full(segments + 1, len(found))
+    place[found] = np.arange(len(found))
+    return sums, place
+
+
+def _hits(number, group, open_, follows, parts, tops) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, piece, score) of every score of 1 or more, by window. Pieces go in groups, and what a group can reach at most is summed first."""
+    segments = len(follows)
+    after = np.where(follows, np.arange(1, segments + 1), segments)
+
+    def over(windows, values):
+        wanted = np.zeros(segments + 1, bool)
+        wanted[windows] = wanted[after[windows]] = True
+        sums, place = _summed(values, number, group, wanted, segments)
+        place[segments] = len(sums) - 1
+        return sums[place[windows]] + sums[place[after[windows]]]
+
+    reach = over(open_, tops) >= 1 - 1e-4
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for g, part in enumerate(parts):
+        windows = open_[reach[:, g]]
+        if len(windows):
+            score = over(windows, part)
+            w, piece = np.nonzero(score >= 1)
+            out.append((windows[w], piece + g * GROUP, score[w, piece]))
+    window, piece, score = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(window, kind="stable")
+    return window[order], piece[order], score[order]
+
+
 def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
-    vocabulary, towards, most, items, owner, scale = model
+    vocabulary, parts, tops, items, owner, scale = model
     hashes, firsts = _words(piece.column(1))
     half = PASSAGE // 2
     begin, segment = _passages(firsts, half)
@@ -269,31 +327,31 @@ def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
     group = segment[at]
     sizes = np.bincount(segment, minlength=segments).astype(float)
     squares = vocabulary.norms(at, number, group, sizes) ** 2
-    bound = np.bincount(group, most[number], segments)
+    bound = np.bincount(group, tops.max(axis=1)[number], segments)
     text = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
     follows = np.append(text[1:] == text[:-1], False)  # the next segment belongs to the same text
     after = lambda x: np.where(follows, np.append(x[1:], 0), 0)
     length = np.sqrt(np.maximum(squares + after(squares), 1e-12))
     open_ = np.flatnonzero(bound + after(bound) >= 1)
+    before = np.searchsorted(at, np.arange(len(hashes) + 1))  # known words before each word
     best: dict = {}
     if len(open_):
-        first_found = np.searchsorted(group, np.arange(segments + 1))
-        for w in open_:
-            a, z = first_found[w], first_found[w + (2 if follows[w] else 1)]
-            score = towards[number[a:z]].sum(axis=0)
-            hit = np.flatnonzero(score >= 1)
-            cosines: dict = {}  # of the nearest piece of each item
-            for i, c in zip(owner[hit].tolist(), (score[hit] * scale[hit] / length[w]).tolist(), strict=True):
-                cosines[i] = max(cosines.get(i, 0.0), c)
-            for i, cosine in cosines.items():
-                doc, item = text[w], items[i]
-                n = len(item.words)
-                low = firsts[doc] + max(0, (w - begin[doc]) * half - n)
-                high = min(firsts[doc + 1], firsts[doc] + (w - begin[doc]) * half + PASSAGE + n)
-                share, answer = item.shares(hashes[low:high].tolist())
-                if share >= (SHARE if n >= SHORT else 1.0) and answer >= ANSWER:
-                    key = (int(doc), int(i))
-                    best[key] = max(best.get(key, (0.0, 0.0, 0.0)), (share, answer, cosine))
+        window, hit, score = _hits(number, group, open_, follows, parts, tops)
+        # of a window's pieces of one item the nearest
+        pair = window * len(items) + owner[hit]
+        order = np.argsort(pair, kind="stable")
+        pair, first = np.unique(pair[order], return_index=True)
+        cosines = np.maximum.reduceat((score * scale[hit] / length[window])[order], first) if len(first) else np.zeros(0)
+        window, item = pair // len(items), pair % len(items)
+        doc, n = text[window], np.array([len(i.words) for i in items])[item]
+        near = firsts[doc] + (window - begin[doc]) * half
+        low = before[np.maximum(near - n, firsts[doc])]
+        high = before[np.minimum(near + PASSAGE + n, firsts[doc + 1])]
+        numbers = number.tolist()
+        for d, i, a, z, cosine in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), cosines.tolist(), strict=True):
+            share, answer = items[i].shares(numbers[a:z])
+            if share >= (SHARE if len(items[i].words) >= SHORT else 1.0) and answer >= ANSWER:
+                best[d, i] = max(best.get((d, i), (0.0, 0.0, 0.0)), (share, answer, cosine))
     keys = piece.column(0)
     rows = sorted(best)
     return pa.RecordBatch.from_arrays(
