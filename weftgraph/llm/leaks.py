@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import IS_SPACE, TO_LOWER, slices, span_hashes, text_bytes, words
+from weftgraph.llm.common import IS_SPACE, TO_LOWER, give_back, slices, span_hashes, text_bytes, words
 
 PASSAGE = 32
 PIECE = PASSAGE // 2
@@ -273,6 +273,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         for batch in batches:
             for piece in slices(batch, most=SLICE):
                 yield _search(piece, model)
+        give_back()
 
     return docs.select("doc_id", "text").mapInArrow(
         searched, f"doc_id {kind}, item_id long, cosine double, share double, answer double")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import simple8b
-from weftgraph.llm.common import slices
+from weftgraph.llm.common import give_back, slices
 from weftgraph.session import scratch_path
 
 END_ID = 0
@@ -177,6 +177,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
     """
 
     def coded(batches):
+        give_back()
         pieces = Pieces(tokenizer)
         part, file, first = TaskContext.get().partitionId(), 0, 0
         held: list = []
@@ -198,8 +199,11 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
                 if sum(len(h[0]) for h in held) >= file_ids:
                     yield image()
                     file, first, held = file + 1, first + sum(len(h[0]) for h in held), []
+                    give_back()
         if held:
             yield image()
+        del pieces
+        give_back()
 
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(coded, FILE_SCHEMA).write.parquet(path)
