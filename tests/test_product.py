@@ -2,9 +2,10 @@ import random
 import time
 from collections import deque
 
+import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.functions import architecture, text
+from weftgraph.functions import architecture, numbers, text
 from weftgraph.operators import (
     components, cycles, facets, history, manifest, metrics, throttle, tour,
 )
@@ -233,3 +234,27 @@ def test_tree_source(spark, tmp_path):
     b = pipeline.build(files)
     assert {(r.source, r.target) for r in b.edges.collect()} == {("pkg/__init__.py", "pkg/_priv.py"), ("__tests__/a.test.js", "m.js")}
     assert {r.node_id for r in b.nodes.collect()} == {"pkg/__init__.py", "pkg/_priv.py", "__tests__/a.test.js", "m.js"}
+
+
+def test_snapshot_commits(spark, tmp_path, monkeypatch):
+    """An id written twice is there once; one that breaks off half-way is not read, and what it would replace still is."""
+    path = f"{tmp_path}/snapshots"
+    rows = lambda *names: spark.createDataFrame([(n,) for n in names], "node_id string")
+    with pytest.raises(FileNotFoundError):
+        snapshots.read_snapshot(spark, path, "nodes", "a/1 ")
+    read = lambda table: sorted(r.node_id for r in snapshots.read_snapshot(spark, path, table, "a/1 ").collect())
+    for names in (("x", "y"), ("x", "z")):
+        snapshots.write_snapshot({"nodes": rows(*names), "edges": rows("e")}, path, "a/1 ")
+        assert read("nodes") == list(names) and read("edges") == ["e"]
+    assert len([f for f in (tmp_path / "snapshots" / "nodes").rglob("version=*") if f.is_dir()]) == 1
+    broken = rows("q").select(F.raise_error(F.lit("lost")).cast("string").alias("node_id"))
+    with pytest.raises(Exception, match="lost"):
+        snapshots.write_snapshot({"nodes": rows("n"), "edges": broken}, path, "a/1 ")
+    assert read("nodes") == ["x", "z"]
+
+
+def test_hundredths(spark):
+    """Two places by what the double holds, as the standard ``round`` gives them."""
+    pairs = [(m, n) for n in range(1, 81) for m in range(0, 400, 3)] + [(107, 40), (1, 8), (3, 8), (10**9 + 1, 7)]
+    got = spark.createDataFrame(pairs, "m long, n long").select("m", "n", numbers.hundredths(F.col("m") / F.col("n")).alias("v")).collect()
+    assert [(r.m, r.n, r.v) for r in got if r.v != round(r.m / r.n, 2)] == []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions import paths, risk
+from weftgraph.functions import numbers, paths, risk
 
 KEY = "project_id"
 
@@ -26,7 +26,7 @@ def project_summary(
     for df, name in ((edges, "edge_count"), (cycles, "cycle_count"),
                      (external, "external_count"), (unresolved, "unresolved_count")):
         out = out.join(by(df, name), KEY, "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out.withColumn("avg_dependencies", F.bround(F.col("edge_count") / F.col("file_count"), 2))
+    return out.withColumn("avg_dependencies", numbers.hundredths(F.col("edge_count") / F.col("file_count")))
 
 
 def category_histogram(wide: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftgraph.functions import architecture, risk
+from weftgraph.functions import architecture, numbers, risk
 from weftgraph.operators.components import component_sizes
 from weftgraph.session import cut, scratch_path
 
@@ -130,7 +130,7 @@ def graph_totals(nodes: DataFrame, edges: DataFrame, labels: DataFrame) -> DataF
         node_counts(nodes).join(counts, KEY, "left").join(comps, KEY, "left")
         .select(
             KEY, F.col("n").alias("file_count"), m.alias("edge_count"), "component_count",
-            "largest_component", F.bround(m / F.col("n"), 2).alias("avg_dependencies"),
+            "largest_component", numbers.hundredths(m / F.col("n")).alias("avg_dependencies"),
             (m / F.col("n")).alias("avg_raw"), (F.col("n") > BETWEENNESS_LIMIT).alias("betweenness_skipped"),
         )
     )

@@ -184,7 +184,9 @@ def trace_walk(stage: Stage, max_stops: int = MAX_STOPS) -> DataFrame:
                 F.col("going"), F.slice("queue", F.lit(2), F.greatest(F.size("queue") - 1, F.lit(0)))
             ).otherwise(F.array().cast(queue_type)),
         })
-        state = state.join(children, [KEY, "cur"], "left")
+        # only the children of this stop's files are joined to the state, which is one row per project
+        met = children.join(state.where("cur IS NOT NULL").select(KEY, "cur"), [KEY, "cur"])
+        state = state.join(met, [KEY, "cur"], "left")
         seen = F.array_append("visited", F.col("cur"))
         kids = F.filter(
             F.coalesce("kids", F.array().cast("array<struct<id:string,leaf:boolean>>")),

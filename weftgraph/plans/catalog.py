@@ -52,11 +52,11 @@ def _wide(spark, d, ranges=corpus.CLEAN):
     return metrics.node_table(nodes, edges, scc), edges, scc
 
 
-def _flat_wide(wide):
+def _flat_wide(wide, *more):
     return wide.select(
         KEY, "node_id", "lines_of_code", "in_degree", "out_degree",
         F.round("degree_centrality", 6).alias("degree_centrality"), "in_cycle", "category", "score", "level",
-        _joined("reasons", "; "),
+        _joined("reasons", "; "), *more,
     )
 
 
@@ -329,6 +329,15 @@ def node_table(spark, d):
     return _flat_wide(_wide(spark, d)[0])
 
 
+@query
+def node_table_full(spark, d):
+    """The wide row with dependency depth and betweenness."""
+    nodes, edges, scc = _scc(spark, d, corpus.CLEAN)
+    wide = metrics.node_table(
+        nodes, edges, scc, depth=components.dependency_depth(nodes, edges, scc), betweenness=metrics.betweenness(nodes, edges))
+    return _flat_wide(wide, "depth", F.round("betweenness", 6).alias("betweenness"))
+
+
 # --- cycles and reach --------------------------------------------------------
 
 @query

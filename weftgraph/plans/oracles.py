@@ -226,8 +226,7 @@ _add("node_set", _with(_edges(CLEAN), _nodes()) + 'select project_id, node_id, "
 # --- metrics -----------------------------------------------------------------
 _add("degree_metrics", _with(*_wide(TANGLED)) + """select project_id, node_id, in_degree, out_degree,
     round(degree_centrality, 6) degree_centrality from wide""")
-_add("betweenness", _with(
-    _edges(CLEAN), _nodes(),
+_BETWEEN = (
     """step as (select project_id, source s, target t, 1 d from edges
     union select w.project_id, w.s, e.target, w.d + 1 from step w join edges e on e.project_id = w.project_id and e.source = w.t where w.d < 60)""",
     "dist as (select project_id, s, t, min(d) d from step where s <> t group by all)",
@@ -238,7 +237,8 @@ _add("betweenness", _with(
     """bc as (select a.project_id, a.t node_id, sum(a.n * b.n / c.n) raw from sig a
     join sig b on b.project_id = a.project_id and b.s = a.t
     join sig c on c.project_id = a.project_id and c.s = a.s and c.t = b.t and c.d = a.d + b.d group by all)""",
-) + """select n.project_id, n.node_id, round(coalesce(raw, 0) / ((k - 1) * (k - 2)), 6) betweenness from nodes n
+)
+_add("betweenness", _with(_edges(CLEAN), _nodes(), *_BETWEEN) + """select n.project_id, n.node_id, round(coalesce(raw, 0) / ((k - 1) * (k - 2)), 6) betweenness from nodes n
     join (select project_id, count(*) k from nodes group by all) using (project_id) left join bc using (project_id, node_id)""")
 _add("betweenness_skipped", "select 'ALL' project_id, count(*) files, cast(case when count(*) > 100 then 0 else count(*) end as bigint) with_value from part")
 _add("dependency_depth", _with(
@@ -257,7 +257,7 @@ _WCC = (
 # A closure would list every pair of a large component, so the label is spread instead.
 _add("weak_components", _with(_edges(CLEAN), _nodes(), *_WCC) + "select project_id, node_id, component from labels")
 _add("graph_totals", _with(_edges(KNOTTED), _nodes(), *_WCC) + """select project_id, n file_count, coalesce(m, 0) edge_count,
-    component_count, largest_component, round_even(coalesce(m, 0) / n, 2)::double avg_dependencies,
+    component_count, largest_component, cast(printf('%.2f', (coalesce(m, 0) / n)::double) as double) avg_dependencies,
     round(coalesce(m, 0) / n, 6)::double avg_raw, n > 1500 betweenness_skipped
     from (select project_id, count(*) n from nodes group by all) left join (select project_id, count(*) m from edges group by all) using (project_id)
     join (select project_id, count(*) component_count, max(k) largest_component from
@@ -324,7 +324,7 @@ _add("high_risk_gate", _with(*_wide(TANGLED)) + "select project_id, node_id, sco
 _add("project_summary", _with(*_wide(CLEAN), *_cycles(CLEAN, "c")) + """, counts as (
     select project_id, count(*) file_count, count_if("level" in ('High', 'Critical')) high_risk_count from wide group by all)
     select c.project_id, file_count, high_risk_count, coalesce(m, 0) edge_count, coalesce(k, 0) cycle_count,
-      coalesce(x, 0) external_count, coalesce(u, 0) unresolved_count, round_even(coalesce(m, 0) / file_count, 2)::double avg_dependencies
+      coalesce(x, 0) external_count, coalesce(u, 0) unresolved_count, cast(printf('%.2f', (coalesce(m, 0) / file_count)::double) as double) avg_dependencies
     from counts c left join (select project_id, count(*) m from edges group by all) using (project_id)
     left join (select project_id, count(*) k from listedc group by all) using (project_id)
     left join (select project_id, 1 x from parts where p % 3 = 0 group by all) using (project_id)
@@ -489,6 +489,62 @@ _add("trace_roots", _with(*_TOUR, *_ENTRY) + """, best as (select r.project_id,
 _add("tour_notes", _with(*_TOUR) + f"""select project_id, n isolated, case when k = 0 then '{tour.NO_LINKS_NOTE}'
     when n > 0 then n || case when n = 1 then ' other file has' else ' other files have' end || ' no import connections to the rest of the project (standalone scripts, or code that talks to the rest over HTTP), so can''t be placed in this tour.' end note
     from (select project_id, count_if(i + o = 0) n, count_if(i + o > 0) k from st group by all)""")
+_add("node_table_full", _with(*_wide(CLEAN), *_DEPTH[:4], *_BETWEEN) + """select w.project_id, w.node_id, lines_of_code, in_degree, out_degree,
+    round(degree_centrality, 6) degree_centrality, in_cycle, category, score, "level", reasons, cast(dd as int) as depth,
+    round(coalesce(raw, 0) / ((k - 1) * (k - 2)), 6) betweenness from wide w
+    join (select project_id, count(*) k from nodes group by all) using (project_id)
+    join depths using (project_id, node_id) left join bc using (project_id, node_id)""")
+_TRACE = (
+    """best as (select r.project_id, r.root, row_number() over (partition by r.project_id order by reach desc, o desc, r.root) rk
+      from rc r join conn c on c.project_id = r.project_id and c.node_id = r.root)""",
+    """rootset as (select project_id, coalesce(b, [a]) roots from (select project_id, arg_min(node_id, rk) a from (select *, row_number() over
+      (partition by project_id order by i + o desc, degree_centrality desc, node_id) rk from conn) group by all)
+      left join (select project_id, list(root order by rk) b from best where rk <= 3 group by all) using (project_id))""",
+    """kids as (select project_id, cur, list({'id': id, 'leaf': leaf} order by id) kids from (
+      select distinct s.project_id, s.source cur, s.target id, t.o = 0 leaf from sub s
+      join st t on t.project_id = s.project_id and t.node_id = s.target where s.source <> s.target) group by all)""",
+    """tourwalk as (
+      select project_id, roots, -1::bigint at_, 0::bigint budget, 0::bigint used, []::struct(id varchar, parent varchar)[] queue,
+        []::varchar[] visited, []::struct(id varchar, parent varchar, members varchar[])[] stops, false done from rootset
+      union all
+      select project_id, roots, at2, budget2, case when done2 then used else used1 + grouped::int end,
+        case when done2 then [] else list_concat(rest, list_transform(list_filter(kid, lambda c: not (grouped and c.leaf)),
+          lambda c: {'id': c.id, 'parent': cur})) end,
+        case when done2 then visited when grouped then list_concat(seen, leaves) else seen end,
+        case when done2 then stops when grouped then list_concat(stops, [{'id': cur, 'parent': par, 'members': []::varchar[]},
+          {'id': leaves[1], 'parent': cur, 'members': leaves}]) else list_append(stops, {'id': cur, 'parent': par, 'members': []::varchar[]}) end,
+        done2
+      from (select *, len(leaves) >= 3 and used1 < budget2 and len(stops) + 1 < 12 grouped
+      from (select *, list_transform(list_filter(kid, lambda c: c.leaf), lambda c: c.id) leaves
+      from (select s.*, list_filter(coalesce(k.kids, []), lambda c: not list_contains(s.seen, c.id)) kid
+      from (select *, list_append(visited, cur) seen
+      from (select *, case when done2 then null when going then q[1].id else roots[nxt + 1] end cur, case when going then q[1].parent end par,
+          case when going then budget when len(roots) - nxt = 1 then left_ else greatest(3, cast(ceil(left_ / (len(roots) - nxt)) as bigint)) end budget2,
+          case when going then used else 0 end + 1 used1, case when going then at_ else nxt end at2,
+          case when going then q[2:] else [] end rest
+      from (select *, not going and (len(later) = 0 or left_ <= 0) done2, later[1] nxt
+      from (select *, len(q) > 0 and used < budget and left_ > 0 going,
+          list_filter(range(len(roots)), lambda i: i > at_ and not list_contains(visited, roots[i + 1])) later
+      from (select *, list_filter(queue, lambda x: not list_contains(visited, x.id)) q, 12 - len(stops) left_ from tourwalk where not done)))))
+        s left join kids k on k.project_id = s.project_id and k.cur = s.cur))))""",
+    "ended as (select * from tourwalk where done)",
+    """told as (select project_id, unnest(range(1, len(stops) + 1)) stop_no, unnest(stops) s from ended
+      union all select project_id, n + rk, {'id': node_id, 'parent': null, 'members': []} from (
+        select c.project_id, c.node_id, len(e.stops) n, row_number() over (partition by c.project_id order by i + o desc, degree_centrality desc, c.node_id) rk
+        from conn c join ended e using (project_id) where not list_contains(e.visited, c.node_id)) where n + rk <= 12)""",
+)
+_add("trace_tour", _with(*_TOUR, *_ENTRY, *_TRACE) + f"""select t.project_id, cast(stop_no as int) stop_no, s.id node_id,
+    case when len(s.members) > 0 then len(s.members) || ' files used by ' || string_split(s.parent, '/')[-1] else s.id end "label",
+    case when len(s.members) > 0 then '{tour.LEAF}' else stage end stage,
+    case when len(s.members) > 0 then '{tour.LEAF_GROUP_REASON}' else array_to_string(list_filter([
+      case when s.parent is not null then 'Imported by ' || string_split(s.parent, '/')[-1] end,
+      case when stage = '{tour.ENTRY}' then 'Nothing else in this project imports it - likely where execution starts' end,
+      case when stage = '{tour.HUB}' then 'Imports ' || o || ' files - it wires them together' end,
+      case when i > 1 then i || ' other files depend on this' when i = 1 and s.parent is null then '1 other file depends on this' end,
+      case when category <> 'Unknown' then 'Classified as ' || category end,
+      case when in_cycle then 'Part of a circular dependency - worth understanding the tangle' end], lambda x: x is not null), '; ') end reasons,
+    array_to_string(s.members, ',') members
+    from told t join st on st.project_id = t.project_id and st.node_id = t.s.id""")
 _add("stage_runs", _with(*_TOUR, *_DEPTH) + """, f as (select *, case when lag(stage) over w = stage then 0 else 1 end fresh from found_ window w as (partition by project_id order by stop_no))
     select project_id, cast(run_no as bigint) run_no, stage, cast(min(stop_no) as int) first_stop, cast(max(stop_no) as int) last_stop from (
       select *, sum(fresh) over (partition by project_id order by stop_no) run_no from f) group by project_id, run_no, stage""")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,18 +12,39 @@ from pyspark.sql import types as T
 KEY = "project_id"
 
 
+def _at(path: str, part: str, snapshot_id: str) -> str:
+    return f"{path}/{part}/snapshot={quote(snapshot_id, safe='')}"
+
+
+def _committed(spark: SparkSession, path: str, snapshot_id: str) -> str | None:
+    """The version of a snapshot that its marker names; None before it is complete."""
+    marker = _at(path, "commits", snapshot_id)
+    rows = spark.read.schema("version string").parquet(marker).take(1) if _exists(spark, marker) else []
+    return rows[0].version if rows else None
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str, snapshot_id: str) -> None:
-    """Append every table under ``path/<table>/snapshot_id=…``; one id is written once."""
+    """Write every table of a snapshot under a fresh version, then the marker that makes this version the one that is read.
+
+    Writing an id again replaces it: readers see the old version until the marker is written, and the old files go afterwards. A job that
+    ends half-way leaves what was there before.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    old, version = _committed(spark, path, snapshot_id), uuid.uuid4().hex
     for name, df in tables.items():
-        df.withColumn("snapshot_id", F.lit(snapshot_id)).write.mode("append").partitionBy(
-            "snapshot_id"
-        ).parquet(f"{path}/{name}")
+        df.write.parquet(f"{_at(path, name, snapshot_id)}/version={version}")
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(_at(path, "commits", snapshot_id))
+    for name in tables if old else ():
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{_at(path, name, snapshot_id)}/version={old}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
 
 def read_snapshot(spark: SparkSession, path: str, table: str, snapshot_id: str) -> DataFrame:
-    """One snapshot's table; the id filter prunes partitions, other snapshots are not listed twice."""
-    schema = spark.read.parquet(f"{path}/{table}").schema
-    return spark.read.schema(schema).parquet(f"{path}/{table}").where(F.col("snapshot_id") == snapshot_id)
+    """One snapshot's table, by its own folder; an id that was never completed is not there."""
+    version = _committed(spark, path, snapshot_id)
+    if version is None:
+        raise FileNotFoundError(f"snapshot {snapshot_id} is not complete in {path}")
+    return spark.read.parquet(f"{_at(path, table, snapshot_id)}/version={version}").withColumn("snapshot_id", F.lit(snapshot_id))
 
 
 def read_evolved(spark: SparkSession, path: str, schema: T.StructType, defaults: dict) -> DataFrame:
