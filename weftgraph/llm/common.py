@@ -33,8 +33,18 @@ def added(df: DataFrame, fresh: list[str], computed: DataFrame, row: str = "row"
     return computed.select(*kept, *fresh)
 
 
+def give_back() -> None:
+    """Hand memory that is freed but still held back to the system: workers are reused, and stand beside those of other tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
-    """Runs of the batch's rows whose texts hold about ``most`` bytes, at least one row each."""
+    """Runs of the batch's rows whose texts hold about ``most`` bytes, at least one row each.
+
+    After the last one, memory that the work on the batch has freed goes back to the system.
+    """
     texts = batch.column(batch.schema.get_field_index(column))
     start, held = 0, 0
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
@@ -45,13 +55,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
-
-
-def give_back() -> None:
-    """Hand memory that is freed but still held back to the system: workers are reused, and stand beside those of other tasks."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
