@@ -1,3 +1,4 @@
+from weftgraph.operators import alias
 from weftgraph.plans import pipeline
 
 
@@ -154,3 +155,54 @@ def test_vite_aliases(make_files, edge_set):
     assert got == {("m.js", f"s/{d}/f.js") for d in ("one", "two", "three", "four", "five")} | {
         ("m.js", "s/one/index.js"), ("sub/m.js", "sub/src/f.js"), ("sub/m.js", "sub/exact.js"), ("sub/m.js", "s/one/f.js"),
     }
+
+
+def test_vite_values_that_name_no_path(make_files):
+    values = {
+        "a": "normalizePath(path.posix.join(__dirname, 's', 'one'))", "b": "path.resolve(__dirname, folder)", "c": "resolve('/abs', 's')",
+        "d": "path.resolve(__dirname)", "e": "process.env.SRC", "f": "new URL('./s', base)", "g": "resolve(process.cwd())",
+        "h": "path.dirname(__dirname + '/s')", "i": "load('./s')", "j": "path.join('s', 'two')",
+    }
+    entries = ", ".join(f"{k}: {v}" for k, v in values.items())
+    files = make_files({"w/vite.config.ts": "export default { resolve: { alias: { " + entries + " } } }"})
+    got = {r.key: r.target for r in alias.vite_aliases(alias.config_texts(files)).collect()}
+    assert got == {"a": "w/s/one", "c": alias.OUTSIDE, "d": "w", "h": "w/s", "j": "w/s/two"}
+
+
+def test_rules_tie_in_written_order(make_files):
+    files = make_files({"tsconfig.json": '{"files": ["@b/*", "@a/*"], "compilerOptions": {"paths": {"@a/*.x": ["1/*"], "@a/*": ["2/*"]}}}'})
+    assert [r.targets for r in alias.rules(files).orderBy("rule_rank").collect()] == [["1/*"], ["2/*"]]
+
+
+def test_extends_limits(make_files):
+    tree = {f"c{i}.json": f'{{"extends": "./c{i + 1}.json"}}' for i in range(10)}
+    tree |= {"tsconfig.json": '{"extends": "./c0"}', "c10.json": '{"extends": "./last"}',
+             "last": '{"compilerOptions": {"paths": {"@/*": ["./deep/*"]}}}'}
+    files = make_files(tree)
+    assert alias.rules(files).count() == 0
+    assert [r.targets for r in alias.rules(files, max_extends=None).collect()] == [["deep/*"]]
+    assert alias.rules(files, max_bytes=10, max_extends=None).count() == 0
+
+
+def test_aliased_build_reads_text_once(make_files, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    path = str(tmp_path / "files")
+    files = make_files({
+        "tsconfig.json": '{"extends": "./conf/base"}', "conf/base.json": '{"compilerOptions": {"paths": {"@/*": ["../src/*"]}}}',
+        "vite.config.ts": "import x from './src/b'; export default { resolve: { alias: { '#': './src' } } }",
+        "src/a.ts": "import '@/b'; import '#/c'", "src/b.ts": "", "src/c.ts": "",
+    })
+    files.write.parquet(path)
+    plans, write = [], DataFrameWriter.parquet
+
+    def spied(self, *args, **more):
+        plans.append(self._df._jdf.queryExecution().executedPlan().treeString())
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    b = pipeline.build(files.sparkSession.read.parquet(path))
+    assert {(r.source, r.target) for r in b.edges.collect()} == {
+        ("src/a.ts", "src/b.ts"), ("src/a.ts", "src/c.ts"), ("vite.config.ts", "src/b.ts")}
+    text = [line for plan in plans for line in plan.splitlines() if path in line and "content:string" in line]
+    assert len(text) == 1

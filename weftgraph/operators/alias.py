@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from weftgraph.functions import paths
 from weftgraph.operators import scan
-from weftgraph.session import cut, cut_count
+from weftgraph.session import cut, cut_count, cut_measure
 
 # Fixed values the results depend on.
 TS_NAMES = ("tsconfig.json", "tsconfig.app.json", "tsconfig.base.json", "jsconfig.json")
@@ -16,6 +16,8 @@ VITE_NAMES = tuple(f"vite.config.{e}" for e in ("ts", "js", "mjs", "cjs", "mts",
 MAX_EXTENDS = 8
 MAX_CONFIG_BYTES = 1024 * 1024
 
+JSON_NAME = r"(?i)\.json[c5]?$"
+
 OUTSIDE = "//"  # stands for any path that has left the project
 KEY = "project_id"
 
@@ -48,6 +50,7 @@ def _ts_options(text: Column) -> Column:
     raw = F.try_variant_get(doc, "$.compilerOptions.paths", "map<string,variant>")
     ext = F.try_variant_get(doc, "$.extends", "variant")
     ext_list = F.try_variant_get(ext, "$", "array<variant>")
+    listed = F.substr(clean, F.greatest(F.instr(clean, F.lit('"paths"')), F.lit(1)))  # keys keep the order they are written in
     strings = lambda a: F.transform(
         F.filter(a, _is_string), lambda v: F.variant_get(v, "$", "string")
     )
@@ -55,7 +58,7 @@ def _ts_options(text: Column) -> Column:
         F.map_entries(raw),
         lambda e: F.struct(
             e["key"].alias("pattern"),
-            F.instr(clean, F.concat(F.lit('"'), e["key"], F.lit('"'))).alias("pos"),
+            F.regexp_instr(listed, F.concat(F.lit('\\Q"'), e["key"], F.lit('"\\E\\s*:'))).alias("pos"),
             strings(F.try_variant_get(e["value"], "$", "array<variant>")).alias("targets"),
         ),
     )
@@ -68,29 +71,52 @@ def _ts_options(text: Column) -> Column:
     )
 
 
-def ts_options(files: DataFrame) -> DataFrame:
+def _readable(max_bytes: int | None) -> Column:
+    fits = F.lit(True) if max_bytes is None else F.col("size_bytes") <= max_bytes
+    return ~F.col("is_symlink") & fits & F.col("content").isNotNull()
+
+
+def carried(max_bytes: int | None = MAX_CONFIG_BYTES) -> Column:
+    """Whether a file's text is kept for the rules while the sources are read.
+
+    These are the vite configs, and JSON files that say anything the rules use; a parent config under another kind of name
+    is read when a config refers to it.
+    """
+    name = paths.basename(F.col("path"))
+    says = F.contains("content", F.lit("extends")) | F.contains("content", F.lit("compilerOptions"))
+    return _readable(max_bytes) & (name.isin(*VITE_NAMES) | (name.rlike(JSON_NAME) & says))
+
+
+def config_texts(files: DataFrame, max_bytes: int | None = MAX_CONFIG_BYTES) -> DataFrame:
+    """(project_id, path, content) of the files that ``carried`` names."""
+    return files.where(carried(max_bytes)).select(KEY, "path", "content")
+
+
+def ts_options(
+    files: DataFrame, configs: DataFrame | None = None,
+    max_bytes: int | None = MAX_CONFIG_BYTES, max_extends: int | None = MAX_EXTENDS,
+) -> DataFrame:
     """Effective (base_url, paths) of every ts/js config, ``extends`` followed.
 
     A chain is a list of reference positions; own settings beat inherited ones
     and a later reference beats an earlier one, which is the order of the
-    negated position lists.
+    negated position lists. ``max_bytes`` and ``max_extends`` are the service's
+    limits; None lifts them, and a chain ends where it would meet itself.
     """
-    readable = files.where(
-        ~F.col("is_symlink") & (F.col("size_bytes") <= MAX_CONFIG_BYTES) & F.col("content").isNotNull()
-    ).select(KEY, "path", "content")
-    shape = [
-        KEY, "config", "path", "chain", "visited", _ts_options(F.col("content")).alias("o")
-    ]
-    found = cut(
-        readable.where(
+    configs = config_texts(files, max_bytes) if configs is None else configs
+    head = [KEY, "config", "path", "chain", "visited"]
+    options = lambda df: df.select(*head, _ts_options(F.col("content")).alias("o")).select(*head, "o.*")
+    found = loaded = cut(options(
+        configs.where(
             paths.basename(F.col("path")).isin(*TS_NAMES) & ~scan.in_ignored_dir(F.col("path"))
         ).select(
             KEY, F.col("path").alias("config"), "path", "content",
             F.array().cast("array<int>").alias("chain"), F.array("path").alias("visited"),
-        ).select(*shape).select(*shape[:-1], "o.*")
-    )
-    loaded = found
-    for _ in range(MAX_EXTENDS):
+        )
+    ))
+    depth = 0
+    while max_extends is None or depth < max_extends:
+        depth += 1
         ref = _inside_join(paths.dirname(F.col("path")), F.col("ref"))
         refs, n = cut_count(
             loaded.select(KEY, "config", "path", "chain", "visited", F.posexplode("extends").alias("i", "ref"))
@@ -100,18 +126,19 @@ def ts_options(files: DataFrame) -> DataFrame:
                     F.posexplode(F.array(ref, F.concat(ref, F.lit(".json")))).alias("rank", "parent"))
         )
         if not n:
-            break  # the corpus is read again only when a config refers to another file
-        probe = (
+            break
+        parents, seen = cut_measure(
             refs.join(files.select(KEY, F.col("path").alias("parent")), [KEY, "parent"])
             .groupBy(KEY, "config", "chain", "visited")
             .agg(F.min_by("parent", "rank").alias("path"))
-            .where(~F.array_contains("visited", F.col("path")))
-        )
-        loaded = cut(
-            probe.join(readable, [KEY, "path"])
-            .withColumn("visited", F.array_append("visited", F.col("path")))
-            .select(*shape).select(*shape[:-1], "o.*")
+            .where(~F.array_contains("visited", F.col("path"))),
+            unusual=F.count_if(~paths.basename(F.col("path")).rlike(JSON_NAME)),
         )
+        # the corpus is read again only for a parent whose name does not look like JSON
+        texts = files.where(_readable(max_bytes)).select(KEY, "path", "content") if seen["unusual"] else configs
+        loaded = cut(options(
+            parents.join(texts, [KEY, "path"]).withColumn("visited", F.array_append("visited", F.col("path")))
+        ))
         found = found.unionByName(loaded)
     directory = paths.dirname(F.col("path"))
     own_base = F.when(F.col("base_url").isNotNull(), _inside_join(directory, F.col("base_url")))
@@ -124,47 +151,60 @@ def ts_options(files: DataFrame) -> DataFrame:
 
 
 # --- vite --------------------------------------------------------------------
-# Fixed values the results depend on: path expressions an alias may use, tried in this order.
-_STR = r"(?:'[^']*'|\"[^\"]*\")"
-_VITE_FORMS = (
-    ("args", rf"(?:path\.)?(?:resolve|join)\(\s*__dirname((?:\s*,\s*{_STR})*)\s*\)", 1, False),
-    ("text", r"new\s+URL\(\s*(['\"])(.*?)\1\s*,\s*import\.meta\.url", 2, False),
-    ("text", r"__dirname\s*\+\s*(['\"])(.*?)\1", 2, True),
-    ("args", rf"(?:path\.)?(?:resolve|join)\(\s*(?:process\.cwd\(\)\s*,\s*)?({_STR}(?:\s*,\s*{_STR})*)\s*\)", 1, False),
-    ("text", r"(?s)^\s*(['\"])(.*?)\1\s*$", 2, True),
-)
+# A path expression is read as tokens: strings, dotted names (an empty call belongs to its name), and single signs.
+_TOKEN = r"('[^']*'|\"[^\"]*\"|[A-Za-z_$][\w$.]*(?:\(\))?|\S)"
+_HERE, _ROOT = "__dirname", "process.cwd()"
 _VALUE = r"(?:[^,(){}\[\]'\"`]++|\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|'[^']*+'|\"[^\"]*+\")++"
 _KEY_NAME = r"(?:'[^']*+'|\"[^\"]*+\"|[A-Za-z_$][\w$\-]*+)"
 
 
 def _eval_target(expr: Column, directory: Column) -> Column:
-    out = None
-    for shape, pattern, group, rooted in _VITE_FORMS:
-        got = F.regexp_extract(expr, pattern, group)
-        if shape == "args":
-            args = F.transform(
-                F.regexp_extract_all(got, F.lit(f"({_STR})"), F.lit(1)),
-                lambda a: F.substr(a, F.lit(2), F.length(a) - 2),
-            )
-            absolute = F.exists(args, lambda a: a.startswith("/"))
-            value = F.when(absolute, F.lit(OUTSIDE)).otherwise(
-                _inside_join(directory, F.array_join(args, "/"))
-            )
-        else:
-            value = _inside_join(directory, F.regexp_replace(got, r"^[/\\]+", "") if rooted else got)
-        hit = expr.rlike(pattern)
-        out = F.when(hit, value) if out is None else out.when(hit, value)
-    return out
+    """The path that an alias value names, found without executing it; NULL for any other value.
+
+    The innermost call is split into its name and arguments, and these are judged: ``resolve`` or ``join`` of strings after
+    an optional base folder, ``URL`` of a string and the module's address, a string added to the folder of the
+    config, and, where nothing is called, a string alone.
+    """
+    quoted = lambda t: t.rlike(r"^['\"]")
+    bare = lambda t: F.substr(t, F.lit(2), F.length(t) - 2)
+    below = lambda t: _inside_join(directory, F.regexp_replace(bare(t), r"^[/\\]+", ""))
+
+    def judged(call: Column) -> Column:
+        name, args = F.substring_index(call["name"], ".", -1), call["args"]
+        first, second, third = (F.get(args, F.lit(i)) for i in range(3))
+        based = F.coalesce(first.isin(_HERE, _ROOT), F.lit(False))
+        strings = F.filter(args, quoted)
+        only_strings = F.size(strings) + based.cast("int") == F.size(args)
+        joined = F.when(F.exists(strings, lambda t: bare(t).startswith("/")), F.lit(OUTSIDE)).otherwise(
+            _inside_join(directory, F.array_join(F.transform(strings, bare), "/")))
+        return (
+            F.when(name.isin("resolve", "join") & only_strings & ((F.size(strings) > 0) | (first == _HERE)), joined)
+            .when((name == "URL") & quoted(first) & (second == "import.meta.url"), _inside_join(directory, bare(first)))
+            .when((first == _HERE) & (second == "+") & quoted(third), below(third))
+            .when(name.isNull() & (F.size(args) == 1) & quoted(first), below(first))
+        )
+
+    def split(tokens: Column) -> Column:
+        from_end = F.array_position(F.reverse(tokens), "(").cast("int")
+        at = F.when(from_end > 0, F.size(tokens) - from_end + 1).otherwise(0)  # the last bracket that opens, counted from 1
+        inside = F.slice(tokens, at + 1, F.size(tokens))
+        end = F.array_position(inside, ")").cast("int")
+        body = F.when(end > 0, F.slice(inside, F.lit(1), end - 1)).otherwise(inside)
+        return F.struct(
+            F.when(at > 0, F.coalesce(F.get(tokens, at - 2), F.lit(""))).alias("name"),
+            F.filter(body, lambda t: t != ",").alias("args"),
+        )
+
+    tokens = F.regexp_extract_all(expr, F.lit(_TOKEN), F.lit(1))
+    calls = F.transform(F.array(tokens), split)  # one element, so that each step is computed once
+    return F.transform(calls, judged)[0]
 
 
-def vite_aliases(files: DataFrame) -> DataFrame:
+def vite_aliases(configs: DataFrame) -> DataFrame:
     """(project_id, dir, file_order, pos, key, target) from ``resolve.alias``, never executed."""
     name = paths.basename(F.col("path"))
     text = F.regexp_replace("content", rf"({_JS_STRING})|{_COMMENT}", "$1")
-    base = files.where(
-        name.isin(*VITE_NAMES) & ~scan.in_ignored_dir(F.col("path")) & ~F.col("is_symlink")
-        & (F.col("size_bytes") <= MAX_CONFIG_BYTES) & F.col("content").isNotNull()
-    ).select(
+    base = configs.where(name.isin(*VITE_NAMES) & ~scan.in_ignored_dir(F.col("path"))).select(
         KEY, paths.dirname(F.col("path")).alias("dir"),
         F.array_position(F.array(*[F.lit(n) for n in VITE_NAMES]), name).cast("int").alias("file_order"),
         text.alias("text"),
@@ -207,13 +247,18 @@ def _target_is_local(t: Column) -> Column:
     return (t != OUTSIDE) & ~F.array_contains(F.split(bare, "/"), "node_modules")
 
 
-def rules(files: DataFrame) -> DataFrame:
+def rules(
+    files: DataFrame, configs: DataFrame | None = None,
+    max_bytes: int | None = MAX_CONFIG_BYTES, max_extends: int | None = MAX_EXTENDS,
+) -> DataFrame:
     """Compiled rules per directory, in the order they are tried.
 
     ``mode`` is paths, vite or base; a base row carries the directory's
-    ``baseUrl`` as its only target and ranks after all rules.
+    ``baseUrl`` as its only target and ranks after all rules. ``configs`` are
+    the ``config_texts`` of ``files`` where they have been read already.
     """
-    opts = ts_options(files).select(
+    configs = config_texts(files, max_bytes) if configs is None else configs
+    opts = ts_options(files, configs, max_bytes, max_extends).select(
         KEY, paths.dirname(F.col("config")).alias("dir"),
         F.array_position(
             F.array(*[F.lit(n) for n in TS_NAMES]), paths.basename(F.col("config"))
@@ -231,7 +276,7 @@ def rules(files: DataFrame) -> DataFrame:
         (star > 0).alias("wildcard"),
         F.transform("e.targets", lambda t: _inside_join(anchor, t)).alias("targets"),
     )
-    vite = vite_aliases(files).select(
+    vite = vite_aliases(configs).select(
         KEY, "dir", F.lit("vite").alias("mode"), "file_order", "pos", F.col("key").alias("prefix"),
         F.lit("").alias("suffix"), F.lit(False).alias("wildcard"), F.array("target").alias("targets"),
     )
@@ -245,7 +290,7 @@ def rules(files: DataFrame) -> DataFrame:
     mode_rank = F.when(F.col("mode") == "paths", 0).when(F.col("mode") == "vite", 1).otherwise(2)
     # One window group holds the rules of one directory's few config files.
     w = Window.partitionBy(KEY, "dir").orderBy(
-        mode_rank, "wildcard", -F.length("prefix"), "file_order", "pos"
+        mode_rank, "wildcard", -F.length("prefix"), "file_order", "pos", "prefix", "suffix"
     )
     return ts.unionByName(vite).unionByName(base).select(
         KEY, "dir", F.row_number().over(w).alias("rule_rank"), "mode", "prefix", "suffix", "wildcard",

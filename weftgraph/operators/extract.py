@@ -26,7 +26,7 @@ def python_parse(content: Column) -> Column:
 
 def _parse_batch(content: pd.Series, language: pd.Series) -> pd.DataFrame:
     parsers = {"javascript": jssource.parse_source, "python": pysource.parse_source}
-    rows = [parsers[x](text) for text, x in zip(content, language, strict=True)]
+    rows = [parsers[x](text) if x else (None, None) for text, x in zip(content, language, strict=True)]
     return pd.DataFrame({"error": [r[0] for r in rows], "imports": [r[1] for r in rows]})
 
 
@@ -39,15 +39,34 @@ def lines_of_code(content: Column, lang: Column) -> Column:
     return F.coalesce(count, F.lit(0)).cast("int")
 
 
+HEAD = ["project_id", "path", "language", "lines_of_code"]
+
+
+def _parse(base: DataFrame, *more: str) -> DataFrame:
+    """Adds line counts, error and imports to (project_id, path, language, content); rows without a language have none of them."""
+    lines = F.when(F.col("language").isNotNull(), lines_of_code(F.col("content"), F.col("language")))
+    parsed = F.pandas_udf(_parse_batch, PARSED_TYPE)(
+        F.when(F.col("language").isNotNull(), F.col("content")), F.col("language"))
+    return base.withColumn("lines_of_code", lines).select(*HEAD, *more, parsed.alias("p")).select(
+        *HEAD, "p.error", "p.imports", *more)
+
+
 def parse(files: DataFrame) -> DataFrame:
     """Kept files → (project_id, path, language, lines_of_code, error, imports)."""
-    base = files.select(
-        "project_id", "path", scan.language(F.col("path")).alias("language"), "content"
-    ).withColumn("lines_of_code", lines_of_code(F.col("content"), F.col("language")))
-    parsed = F.pandas_udf(_parse_batch, PARSED_TYPE)(F.col("content"), F.col("language"))
-    head = ["project_id", "path", "language", "lines_of_code"]
-    return base.where(F.col("language").isin("javascript", "python")).select(*head, parsed.alias("p")).select(
-        *head, "p.error", "p.imports")
+    return _parse(files.select("project_id", "path", scan.language(F.col("path")).alias("language"), "content"))
+
+
+def parse_beside(files: DataFrame, wanted: Column) -> DataFrame:
+    """``parse`` of the kept ones of all ``files``, and the text of ``wanted`` ones as ``config_text``, from one reading.
+
+    A wanted file that is no kept source has a null language, and a source that is not wanted a null text.
+    """
+    is_source = F.col("scan_status") == "kept"
+    rows = scan.scan(files).withColumn("wanted", F.coalesce(wanted, F.lit(False))).where(is_source | F.col("wanted"))
+    return _parse(rows.select(
+        "project_id", "path", F.when(is_source, scan.language(F.col("path"))).alias("language"), "content",
+        F.when(F.col("wanted"), F.col("content")).alias("config_text"),
+    ), "config_text")
 
 
 def imports(parsed: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weftgraph.operators import alias, extract, graph, resolve, scan
 from weftgraph.session import cut
@@ -37,7 +38,7 @@ def build(
     files: DataFrame, known: DataFrame | None = None, with_aliases: bool = True,
     ceiling: int | None = None,
 ) -> Build:
-    """Source text is parsed once; what follows works on the small parse table, and on imports resolved once.
+    """Text is read once: one written table holds the parse rows and the texts of the configs, and imports are resolved once from it.
 
     ``known(project_id, path)`` lists every existing file, scanned or not; by
     default it is read off ``files``. ``ceiling`` applies the per-project file
@@ -46,7 +47,12 @@ def build(
     if ceiling is not None:
         files = scan.admit_projects(files, ceiling)
     known = files.select("project_id", "path") if known is None else known
-    parsed = cut(extract.parse(scan.kept(files)))
-    rule_table = cut(alias.rules(files)) if with_aliases else None
+    if with_aliases:
+        table = cut(extract.parse_beside(files, alias.carried()))
+        parsed = table.where(F.col("language").isNotNull()).drop("config_text")
+        configs = table.where(F.col("config_text").isNotNull()).select("project_id", "path", F.col("config_text").alias("content"))
+        rule_table = cut(alias.rules(files, configs))
+    else:
+        parsed, rule_table = cut(extract.parse(scan.kept(files))), None
     resolved = cut(resolve.resolve(extract.imports(parsed), known, rule_table))
     return Build(parsed, resolved, graph.edges(resolved))
