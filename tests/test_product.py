@@ -236,6 +236,26 @@ def test_tree_source(spark, tmp_path):
     assert {r.node_id for r in b.nodes.collect()} == {"pkg/__init__.py", "pkg/_priv.py", "__tests__/a.test.js", "m.js"}
 
 
+def test_tree_source_in_rounds(spark, tmp_path):
+    """A tree whose folders need several rounds gives every file once; texts are dealt out by size."""
+    root = tmp_path / "r"
+    bodies = {f"src/{'/'.join(f'd{j}' for j in range(i % 7))}/m{i}.py".replace("//", "/"): f"x = {i}\n" * 40 for i in range(60)}
+    bodies |= {"node_modules/a/tsconfig.json": "{}", "node_modules/a/i.js": "1", "big.js": "/" * 900, "empty.ts": "", "bad.py": "é"}
+    for path, body in bodies.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(body.encode("latin-1" if path == "bad.py" else "utf-8"))
+    (root / "loop").symlink_to(root)
+    (tmp_path / "void").mkdir()
+    files = tree.read_trees(spark, {"p": str(root), "e": str(tmp_path / "void")}, max_bytes=800, part_bytes=4096, folders=2)
+    got = {r.path: r.content for r in files.collect()}
+    assert got == {p: None if p in ("node_modules/a/i.js", "big.js", "bad.py") else b for p, b in bodies.items()}
+    assert files.count() == len(bodies) and files.rdd.getNumPartitions() > 4
+    assert tree.read_trees(spark, {}).count() == 0
+    for wrong in ("nowhere", "r/empty.ts"):
+        with pytest.raises(Exception, match="does not exist|not a directory"):
+            tree.read_trees(spark, {"p": str(tmp_path / wrong)})
+
+
 def test_snapshot_commits(spark, tmp_path, monkeypatch):
     """An id written twice is there once; one that breaks off half-way is not read, and what it would replace still is."""
     path = f"{tmp_path}/snapshots"

@@ -56,13 +56,13 @@ def parse(files: DataFrame) -> DataFrame:
     return _parse(files.select("project_id", "path", scan.language(F.col("path")).alias("language"), "content"))
 
 
-def parse_beside(files: DataFrame, wanted: Column) -> DataFrame:
+def parse_beside(files: DataFrame, wanted: Column, max_bytes: int | None = scan.MAX_FILE_BYTES) -> DataFrame:
     """``parse`` of the kept ones of all ``files``, and the text of ``wanted`` ones as ``config_text``, from one reading.
 
     A wanted file that is no kept source has a null language, and a source that is not wanted a null text.
     """
     is_source = F.col("scan_status") == "kept"
-    rows = scan.scan(files).withColumn("wanted", F.coalesce(wanted, F.lit(False))).where(is_source | F.col("wanted"))
+    rows = scan.scan(files, max_bytes).withColumn("wanted", F.coalesce(wanted, F.lit(False))).where(is_source | F.col("wanted"))
     return _parse(rows.select(
         "project_id", "path", F.when(is_source, scan.language(F.col("path"))).alias("language"), "content",
         F.when(F.col("wanted"), F.col("content")).alias("config_text"),

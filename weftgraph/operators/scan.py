@@ -27,26 +27,27 @@ def in_ignored_dir(path: Column) -> Column:
     )
 
 
-def scan_status(path: Column, size_bytes: Column, is_symlink: Column) -> Column:
-    """First rule that drops the file, or ``kept``."""
+def scan_status(path: Column, size_bytes: Column, is_symlink: Column, max_bytes: int | None = MAX_FILE_BYTES) -> Column:
+    """First rule that drops the file, or ``kept``; without ``max_bytes`` no size is too large."""
+    oversized = F.lit(False) if max_bytes is None else size_bytes > max_bytes
     return (
         F.when(in_ignored_dir(path), "ignored_dir")
         .when(~paths.extension(path).isin(*SOURCE_EXTENSIONS), "extension")
         .when(is_symlink, "symlink")
-        .when(size_bytes > MAX_FILE_BYTES, "oversized")
+        .when(oversized, "oversized")
         .otherwise("kept")
     )
 
 
-def scan(files: DataFrame) -> DataFrame:
+def scan(files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
     """``files`` with a ``scan_status`` column; nothing is removed."""
     return files.withColumn(
-        "scan_status", scan_status(F.col("path"), F.col("size_bytes"), F.col("is_symlink"))
+        "scan_status", scan_status(F.col("path"), F.col("size_bytes"), F.col("is_symlink"), max_bytes)
     )
 
 
-def kept(files: DataFrame) -> DataFrame:
-    return scan(files).where(F.col("scan_status") == "kept").drop("scan_status")
+def kept(files: DataFrame, max_bytes: int | None = MAX_FILE_BYTES) -> DataFrame:
+    return scan(files, max_bytes).where(F.col("scan_status") == "kept").drop("scan_status")
 
 
 def rejected_projects(files: DataFrame, limit: int = MAX_PROJECT_FILES) -> DataFrame:
