@@ -228,6 +228,12 @@ def edges_aliased(spark, d):
     return _edge_rows(_build(spark, d, corpus.CLEAN, "aliased").edges)
 
 
+@query
+def import_targets(spark, d):
+    """What every import of a corpus of competing rules and files resolves to."""
+    return pipeline.build(corpus.crossroads(spark, d)).resolved.select(KEY, "path", "specifier", "target", "kind")
+
+
 @query
 def alias_rules(spark, d):
     return alias.rules(corpus.configs(spark, d)).select(

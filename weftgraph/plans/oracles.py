@@ -205,6 +205,16 @@ for _name, _thr in (("edges_clean", CLEAN), ("edges_tangled", TANGLED), ("edges_
     _add(_name, _with(_edges(_thr)) + _PLAIN_EDGES)
 _add("edges_varied", _with(_edges(CLEAN), _IMPORTS) + """select r.project_id, e.source, e.target, r."type", r.symbols
     from edges e join recs r on r.path = e.source and r.b = e.b and r.part_no = 1""")
+_add("import_targets", """with c as (select p_brand project_id, p_partkey % 12 k, 'm' || p_partkey m, 'pk' || p_partkey pk,
+      cast(p_partkey // 12 % 5 + 1 as varchar) v from part)
+  select project_id, case when k = 1 then 'near/' when k in (3, 4) then 'web/in/' when k = 8 then 'v/' when k = 9 then pk || '/' else 'src/' end
+      || case k when 9 then 'm.py' when 10 then m || '.py' else m || '.ts' end path,
+    case when k in (0, 1) then '@lib/' || m || 't' when k = 2 then '@lib/x/' || m || 't' when k in (3, 4) then '@/' || m || 't'
+      when k = 5 then '@gone/' || m || 't' when k = 6 then '@mod/' || m || 't' when k = 7 then '../../' || m || 't'
+      when k = 8 then 'a' || v || '/' || m || 't' when k = 9 then 'zz' when k = 10 then 'x' else 'libs/' || m || 't' end specifier,
+    case when k in (0, 11) then 'libs/' || m || 't.ts' when k = 1 then 'near/own/' || m || 't.ts' when k = 2 then 'xlibs/' || m || 't.ts'
+      when k = 3 then 'web/src/' || m || 't.ts' when k = 8 then 'v/v' || v || '/' || m || 't.ts' when k = 9 then pk || '/__init__.py' end target,
+    case when k in (4, 5, 7, 10) then 'unresolved' when k = 6 then 'external' else 'local' end kind from c""")
 _add("alias_rules", _with() + """select * from (
     select distinct project_id, '' as dir, cast(1 as int) rule_rank, case when bn % 3 = 2 then 'vite' else 'paths' end as mode,
       case when bn % 3 = 2 then '@' else '@/' end as prefix, '' as suffix, bn % 3 <> 2 as wildcard,

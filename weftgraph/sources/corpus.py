@@ -172,6 +172,52 @@ def configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crossroads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``files`` in which every part makes one import that a rule of its own decides, with the files that compete for it.
+
+    By key: a path alias, the nearer of two configs, the longer of two patterns, the nearest ``src`` folder, aliases without
+    a file, a rule into ``node_modules``, a path that climbs out, the forms of vite aliases, a bare dot, dots beyond the root, ``baseUrl``.
+    """
+    m, k = F.col("p_partkey").cast("string"), F.col("p_partkey") % 12
+    text = lambda *bits: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in bits])
+    file = lambda path, content=F.lit(""): F.struct(path.alias("path"), content.alias("content"))
+    importer = lambda folder, *spec: file(text(folder, "/m", m, ".ts"), text("import '", *spec, "';\n"))
+    target = lambda folder: file(text(folder, "/m", m, "t.ts"))
+    form = (F.floor(F.col("p_partkey") / 12) % 5 + 1).cast("string")
+    cases = (
+        (importer("src", "@lib/m", m, "t"), target("libs")),
+        (importer("near", "@lib/m", m, "t"), target("near/own"), target("libs")),
+        (importer("src", "@lib/x/m", m, "t"), target("xlibs"), target("libs/x")),
+        (importer("web/in", "@/m", m, "t"), target("web/src"), target("src")),
+        (importer("web/in", "@/m", m, "t"),),
+        (importer("src", "@gone/m", m, "t"), target("libs")),
+        (importer("src", "@mod/m", m, "t"),),
+        (importer("src", "../../m", m, "t"), file(text("m", m, "t.ts"))),
+        (importer("v", "a", form, "/m", m, "t"), file(text("v/v", form, "/m", m, "t.ts")), file(text("v", form, "/m", m, "t.ts"))),
+        (file(text("pk", m, "/__init__.py"), F.lit("x = 1\n")), file(text("pk", m, "/m.py"), F.lit("from . import zz\n"))),
+        (file(text("src/m", m, ".py"), F.lit("from ...x import y\n")), file(text("x", m, ".py"))),
+        (importer("src", "libs/m", m, "t"), target("libs")),
+    )
+    made = F.lit(None)
+    for i, case in enumerate(cases):
+        made = F.when(k == i, F.array(*case)).otherwise(made)
+    settings = {
+        "tsconfig.json": '{"compilerOptions": {"baseUrl": ".", "paths": {"@lib/*": ["libs/*"], "@lib/x/*": ["xlibs/*"],\n'
+                         '"@gone/*": ["gone/*"], "@mod/*": ["node_modules/*"]}}}',
+        "near/tsconfig.json": '{"extends": "./conf", "compilerOptions": {"strict": true}}',
+        "near/conf.json": '{"compilerOptions": {"paths": {"@lib/*": ["./own/*"]}}}',
+        "v/vite.config.ts": "export default { resolve: { alias: {\n  a1: path.resolve(__dirname, 'v1'),\n"
+                            "  a2: fileURLToPath(new URL('./v2', import.meta.url)),\n  a3: __dirname + '/v3',\n"
+                            "  'a4': resolve(process.cwd(), 'v4'), \"a5\": '/v5' } } }\n",
+    }
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "project_id")
+    config = F.array(*[file(F.lit(path), F.lit(content)) for path, content in settings.items()])
+    rows = part.select("project_id", F.explode(made).alias("f")).unionByName(
+        part.select("project_id").distinct().select("project_id", F.explode(config).alias("f")))
+    return rows.select("project_id", "f.path", F.octet_length("f.content").cast("bigint").alias("size_bytes"),
+                       F.lit(False).alias("is_symlink"), "f.content")
+
+
 def graph(spark: SparkSession, sf_dir: str, ranges: int) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the same corpus straight from the tables, without the text.
 
