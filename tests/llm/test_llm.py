@@ -589,3 +589,16 @@ def test_pipeline(spark, tmp_path):
     by_id = {r[0]: r[1] for r in rows}
     assert sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()), key=lambda r: r[1]) == plain_tokens(
         [(i, by_id[i]) for i in kept[3]])
+
+
+def test_words_that_candidates_cover():
+    """Words of an item in a stretch of text, each as often as the item has it, for runs of any length."""
+    rng = np.random.default_rng(3)
+    often, number = rng.integers(0, 3, (5, 9)).astype(np.int32), rng.integers(0, 9, 200)
+    item, low = rng.integers(0, 5, 60), rng.integers(0, 150, 60)
+    high = low + rng.integers(0, 50, 60)
+    expected = [sum(int(often[i, w]) for w in set(number[a:z].tolist())) for i, a, z in zip(item, low, high, strict=True)]
+    for most in (1, 40, leaks.PRODUCTS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(leaks, "PRODUCTS", most)
+            assert leaks._covered(often, item, low, high, number).tolist() == expected

@@ -37,6 +37,7 @@ KEPT = 1e-3  # singular values below this part of the largest are dropped
 SLACK = 0.8  # of the threshold: words put between, and what the space blurs
 SHARE, ANSWER = 0.55, 0.5
 SHORT = 8  # an item with fewer words must be there in full
+PRODUCTS = 1 << 21  # that a task holds before it adds them up
 ROWS = 64  # of the sketch, in one shuffled value
 SLICE = 2 << 20
 BREAKS = IS_SPACE.copy()
@@ -120,8 +121,8 @@ def _counts(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, int]:
     return total[:-1], int(total[-1])
 
 
-def _gram(known: Vocabulary, hashes: np.ndarray, firsts: np.ndarray, size: int) -> np.ndarray:
-    """A'A for the normalised vectors A of the passages."""
+def _products(known: Vocabulary, hashes: np.ndarray, firsts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, value) of the products that A'A adds up, on and above the order of the words, for the normalised vectors A of the passages."""
     begin, passage = _passages(firsts, size)
     at, number = known.find(hashes)
     group = passage[at]
@@ -137,7 +138,13 @@ def _gram(known: Vocabulary, hashes: np.ndarray, firsts: np.ndarray, size: int)
         codes.append(dims[live] * DIMS + dims[live + step])
         step += 1
         live = live[ahead[live] >= step]
-    out = np.bincount(np.concatenate(codes), np.concatenate(values), DIMS * DIMS).reshape(DIMS, DIMS)
+    return np.concatenate(codes), np.concatenate(values)
+
+
+def _gram(parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A'A from its products."""
+    codes, values = (np.concatenate(x) for x in zip(*parts, strict=True))
+    out = np.bincount(codes, values, DIMS * DIMS).reshape(DIMS, DIMS)
     return ((out + out.T) / 2).astype(np.float32)
 
 
@@ -151,9 +158,16 @@ def _sketch(docs: DataFrame, vocabulary: Vocabulary) -> tuple[np.ndarray, float]
 
     def summed(batches):
         known, gram = Vocabulary.of(shared.value), np.zeros((DIMS, DIMS), np.float32)
+        waiting, held = [], 0
         for batch in batches:
             for piece in slices(batch, most=SLICE):
-                gram += _gram(known, *_words(piece.column(0)), PASSAGE)
+                waiting.append(_products(known, *_words(piece.column(0)), PASSAGE))
+                held += len(waiting[-1][0])
+                if held >= PRODUCTS:
+                    gram += _gram(waiting)
+                    waiting, held = [], 0
+        if waiting:
+            gram += _gram(waiting)
         if gram.any():
             out = gram @ _random()
             blocks = [out[i:i + ROWS].tobytes() for i in range(0, DIMS, ROWS)]
@@ -183,7 +197,6 @@ class Item:
     def __init__(self, key, hashes: np.ndarray, vocabulary: Vocabulary):
         _, number = vocabulary.find(hashes)
         self.key, self.words = key, number.tolist()
-        self.often = {w: self.words.count(w) for w in dict.fromkeys(self.words)}
         weight = vocabulary.weight[number]
         rare = np.sort(np.argsort(-weight, kind="stable")[: max(1, len(weight) // 3)])
         self.places, self.answer = self._masks(self.words), self._masks([self.words[i] for i in rare])
@@ -208,9 +221,7 @@ class Item:
         return n - row.bit_count()
 
     def shares(self, text: list[int]) -> tuple[float, float]:
-        """Parts of the item and of its rarest words found in order; zero if the text has too few of its words to pass."""
-        if sum(map(self.often.get, self.often.keys() & text)) < SHARE * len(self.words):
-            return 0.0, 0.0
+        """Parts of the item and of its rarest words found in order."""
         held = [w for w in text if w in self.places]
         return (self.common(self.places, len(self.words), held) / len(self.words),
                 self.common(self.answer, self.rare, held) / self.rare)
@@ -247,7 +258,7 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     hashes, firsts = _words(pa.array([t for _, t in items], pa.string()))
     vocabulary = Vocabulary(hashes)
     vocabulary.weigh(*_counts(docs, vocabulary))
-    own = _gram(vocabulary, hashes, firsts, PIECE)  # a piece is one passage
+    own = _gram([_products(vocabulary, hashes, firsts, PIECE)])  # a piece is one passage
     space = _space(_sketch(docs, vocabulary), (own @ _random(), float(np.trace(own))))
     known = [(key, hashes[a:z]) for (key, _), a, z in zip(items, firsts[:-1], firsts[1:], strict=True)]
     begin, piece = _passages(firsts, PIECE)
@@ -269,7 +280,8 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     def searched(batches):
         plain, parts, tops, known, owner, scale = shared.value
         words_of = Vocabulary.of(plain)
-        model = words_of, parts, tops, [Item(key, held, words_of) for key, held in known], owner, scale
+        found = [Item(key, held, words_of) for key, held in known]
+        model = words_of, parts, tops, found, _often(found, len(words_of.hashes)), owner, scale
         for batch in batches:
             for piece in slices(batch, most=SLICE):
                 yield _search(piece, model)
@@ -278,6 +290,33 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         searched, f"doc_id {kind}, item_id long, cosine double, share double, answer double")
 
 
+def _often(items: list[Item], n_words: int) -> np.ndarray:
+    """How often each item has each word of the block."""
+    return np.stack([np.bincount(item.words, minlength=n_words) for item in items]).astype(np.int32)
+
+
+def _covered(often: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """How many words of each ``item`` are among the known words low to high, each counted as often as the item has it."""
+    order = np.argsort(number, kind="stable")
+    earlier = np.full(len(number), -1)  # place of the same word before
+    same = np.flatnonzero(number[order[1:]] == number[order[:-1]])
+    earlier[order[same + 1]] = order[same]
+    out = np.zeros(len(item), np.int64)
+    n = high - low
+    ends = np.cumsum(n)
+    begin = 0
+    while begin < len(item):  # runs of candidates with a bounded number of words
+        stop = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + PRODUCTS, side="right")))
+        m = n[begin:stop]
+        of = np.repeat(np.arange(begin, stop), m)
+        place = np.arange(len(of)) - np.repeat(np.cumsum(m) - m, m) + low[of]
+        first = earlier[place] < low[of]
+        of, place = of[first], place[first]
+        out[begin:stop] = np.bincount(of - begin, often[item[of], number[place]], stop - begin)
+        begin = stop
+    return out
+
+
 def _summed(values: np.ndarray, number: np.ndarray, group: np.ndarray, wanted: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the words' rows of ``values`` in the ``wanted`` segments, and where a segment's sum is; the last one is zero."""
     at = np.flatnonzero(wanted[group])
@@ -285,10 +324,14 @@ def _summed(values: np.ndarray, number: np.ndarray, group: np.ndarray, wanted: n
     starts = np.flatnonzero(np.append(True, of[1:] != of[:-1])) if len(of) else np.zeros(0, np.int64)
     found = of[starts]
     sums = np.zeros((len(found) + 1, values.shape[1]), values.dtype)
-    if len(of):
-        np.add.reduceat(values[number[at]], starts, axis=0, out=sums[:-1])
+    counts = np.diff(np.append(starts, len(of)))
+    order = np.argsort(-counts, kind="stable")
+    starts, counts, rows = starts[order], counts[order], number[at]
+    for step in range(counts[0] if len(counts) else 0):  # the step-th words of all segments that have so many
+        n = np.searchsorted(-counts, -step)
+        sums[:n] += values[rows[starts[:n] + step]]
     place = np.full(segments + 1, len(found))
-    place[found] = np.arange(len(found))
+    place[found[order]] = np.arange(len(found))
     return sums, place
 
 
@@ -318,7 +361,7 @@ def _hits(number, group, open_, follows, parts, tops) -> tuple[np.ndarray, np.nd
 
 
 def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
-    vocabulary, parts, tops, items, owner, scale = model
+    vocabulary, parts, tops, items, often, owner, scale = model
     hashes, firsts = _words(piece.column(1))
     half = PASSAGE // 2
     begin, segment = _passages(firsts, half)
@@ -347,6 +390,9 @@ def _search(piece: pa.RecordBatch, model: tuple) -> pa.RecordBatch:
         near = firsts[doc] + (window - begin[doc]) * half
         low = before[np.maximum(near - n, firsts[doc])]
         high = before[np.minimum(near + PASSAGE + n, firsts[doc + 1])]
+        # most candidates have too few of the item's words in any order
+        enough = np.flatnonzero(_covered(often, item, low, high, number) >= SHARE * n)
+        doc, item, low, high, cosines = (x[enough] for x in (doc, item, low, high, cosines))
         numbers = number.tolist()
         for d, i, a, z, cosine in zip(doc.tolist(), item.tolist(), low.tolist(), high.tolist(), cosines.tolist(), strict=True):
             share, answer = items[i].shares(numbers[a:z])
