@@ -33,7 +33,7 @@ from weftgraph.session import scratch_path
 END_ID = 0
 FILE_IDS = 1 << 20
 SLICE = 2 << 20
-CACHE = 100_000  # different pieces, and words, remembered by a worker; past it the memory starts anew
+CACHE, WORD_CACHE = 400_000, 100_000  # different pieces, and words inside them, remembered by a worker; past it the memory starts anew
 FILE_SCHEMA = "part int, file int, first long, n_docs long, n_ids long, image binary"
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # not white space by any definition in use
@@ -118,7 +118,7 @@ class Pieces:
         """``encode`` for texts without an added token; no text is null."""
         if len(self.known) > CACHE:
             self.clear()
-        if len(self.words) > CACHE:
+        if len(self.words) > WORD_CACHE:
             self.words = {}
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())
