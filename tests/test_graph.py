@@ -307,3 +307,22 @@ def test_way_back_grows_as_asked(world, scc, monkeypatch):
     only = edges.where("project_id = 'k9'")
     found = cycles.listed_cycles(cycles.all_cycles(only, scc, 30), 30)
     assert found.count() == 30 and max(asked) <= 2 + 2 * cycles.AHEAD
+
+
+def test_paths_and_ways_back_meet(world, scc, monkeypatch):
+    """With no room to look ahead, ways back are followed to half of the lengths that are due, and the listing is the same."""
+    graphs, _, edges = world
+    asked = []
+    extend = cycles._WayBack.extend
+    monkeypatch.setattr(cycles._WayBack, "extend", lambda self, distance, projects: asked.append(distance) or extend(self, distance, projects))
+    monkeypatch.setattr(cycles, "ROUND_ROWS", 0, raising=False)
+    found = cycles.listed_cycles(cycles.all_cycles(edges.where("project_id = 'k9'"), scc, 30), 30)
+    rows = found.orderBy(F.expr("int(substr(cycle_id, 7))")).collect()
+    assert [tuple(r.chain[:-1]) for r in rows] == simple_cycles(graphs["k9"])[:30] and max(asked) <= cycles.AHEAD
+
+
+def test_repeated_edges_repeat_cycles(make_graph):
+    """Every way round is a cycle of its own, as many as the products of equal edges."""
+    _, edges = make_graph("abc", [("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")])
+    found = cycles.all_cycles(edges, components.strong_components(edges)).collect()
+    assert sorted(tuple(r.path) for r in found) == [("a", "b")] * 2 + [("a", "b", "c")] * 2
