@@ -326,3 +326,39 @@ def test_repeated_edges_repeat_cycles(make_graph):
     _, edges = make_graph("abc", [("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a")])
     found = cycles.all_cycles(edges, components.strong_components(edges)).collect()
     assert sorted(tuple(r.path) for r in found) == [("a", "b")] * 2 + [("a", "b", "c")] * 2
+
+
+def test_batches_follow_what_roots_reach(make_graph, monkeypatch):
+    """Many short chains in one project: no root reaches far, so few batches do, and small levels compare the roots still under way only."""
+    n = 60
+    names = [f"{c}{i:03d}" for c in "abc" for i in range(n)]
+    nodes, edges = make_graph(names, [(f"{x}{i:03d}", f"{y}{i:03d}") for x, y in ("ab", "bc") for i in range(n)])
+    batches, flows = [], metrics._flows
+    monkeypatch.setattr(metrics, "_flows", lambda links, roots: batches.append(0) or flows(links, roots))
+    monkeypatch.setattr(metrics, "MANY", 0, raising=False)
+    monkeypatch.setattr(metrics, "FEW", 2, raising=False)
+    got = {r.node_id: r.betweenness for r in metrics.betweenness(nodes, edges, batch_rows=2_000).collect()}
+    assert {k for k, v in got.items() if v} == {k for k in names if k[0] == "b"}
+    assert abs(got["b000"] - 1 / ((3 * n - 1) * (3 * n - 2))) < 1e-12
+    assert len(batches) <= 3  # of 17 if every root reached all
+
+
+def test_loops_broadcast_nothing(make_graph, monkeypatch):
+    """Labels, trimming and way out of components: what grows with the corpus stays on the executors."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    plans, write = [], DataFrameWriter.parquet
+
+    def spied(self, *args, **more):
+        done = write(self, *args, **more)
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return done
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spied)
+    names = [f"n{i:02d}" for i in range(12)]
+    _, edges = make_graph(names, [*zip(names, names[1:]), ("n03", "n00"), ("n09", "n05"), ("n11", "n11")])
+    scc = components.strong_components(edges)
+    assert {(r.component_id, r.node_id) for r in scc.collect()} == {
+        *(("n00", f"n{i:02d}") for i in range(4)), *(("n05", f"n{i:02d}") for i in range(5, 10)), ("n11", "n11")}
+    reach.change_impact(edges, edges.select("project_id", F.lit("n05").alias("file")).distinct()).count()
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
