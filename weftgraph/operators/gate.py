@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions import text
+from weftgraph.session import spread
 
 KEY = "project_id"
 
@@ -28,7 +29,7 @@ def new_components(current: DataFrame, baseline: DataFrame) -> DataFrame:
     its nodes carry the same baseline id: an equi-join on nodes, no pairs.
     """
     old = baseline.select(KEY, "node_id", F.col("component_id").alias("old"))
-    per = current.join(old, [KEY, "node_id"], "left").groupBy(KEY, "component_id").agg(
+    per = spread(current, old, [KEY, "node_id"], "left").groupBy(KEY, "component_id").agg(
         F.count(F.lit(1)).alias("size"), F.count("old").alias("matched"),
         F.min("old").alias("lo"), F.max("old").alias("hi"),
     )
