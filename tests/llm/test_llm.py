@@ -411,6 +411,33 @@ def test_edges():
     assert quality.edges(off[:4], np.array([True] * 4)) == (-9.0, 4.5)
 
 
+def test_bands_take_every_label(spark):
+    """Bands found across partitions and batches are those of all labelled documents in one array."""
+    rng = np.random.default_rng(5)
+    off = np.round(np.concatenate([rng.normal(0, 2, 4000), rng.normal(9, 2, 2500)]), 6)
+    off, at = np.unique(off, return_index=True)
+    good = np.concatenate([rng.random(4000) < 0.95, rng.random(2500) < 0.1])[at]
+    rows = [("ab", bool(g), float(x), 100, 0, 100) for x, g in zip(off, good, strict=True)]
+    rows += [(None, i < 12, float(i), 100, 0, 100) for i in range(20)]
+    labelled = spark.createDataFrame(rows, "lang string, good boolean, log_perplexity double, n_words long, n_repeat_words long, n_points long")
+    middles = spark.createDataFrame([("ab", 0.0, 100, 1.0), (None, 0.0, 100, 1.0)], "_of string, _middle double, _length long, _spread double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        got = {r._in: (r._low, r._high) for r in quality._labelled_bands(labelled, middles, 7.5, 4.5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {"ab": quality.edges(off, good), None: quality.edges(np.arange(20.0), np.arange(20) < 12)}
+
+
+def test_every_label_is_used(spark):
+    """More labelled documents of a language than were once drawn: half are held back, and none is left out."""
+    docs = spark.range(5001).selectExpr("id AS doc_id", "'a' AS text", "if(id < 5000, 'ab', NULL) AS lang")
+    labels = spark.range(5001).selectExpr("id AS doc_id", "int(id % 3 > 0) AS quality")
+    found = quality._labelled(docs, labels).groupBy("good").agg(F.count("*").alias("n"), F.count_if("held").alias("held")).collect()
+    assert sum(r.n for r in found) == 5001 and sum(r.held for r in found) == 2500
+    assert {r.good: r.n for r in found} == {True: 3334, False: 1667}
+
+
 def test_leaks(spark, docs, none):
     rng = random.Random(6)
     items = [(i, sentence(rng, n)) for i, n in enumerate([12, 18, 25, 40, 60])] + [(9, None), (10, ""), (11, "short one here")]
