@@ -2,6 +2,8 @@ import random
 import time
 from collections import deque
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,23 @@ def test_throttle(spark):
     assert [got[i][0] for i in range(5)] == [True, True, True, False, True] and got[3][1] == 57
 
 
+def test_refused_hits_are_passed_over_together(monkeypatch):
+    """A burst takes one decision for each accepted hit and each end of a window, not one for each hit, in any cut into batches."""
+    rnd = np.random.default_rng(4)
+    times = np.sort(rnd.integers(0, 10_000_000_000, 20_000))
+    times[5000:5200] = times[5000]
+    want, live = [], deque()
+    for t in times:
+        want.append(throttle.admit_hit(live, int(t), 12, 600_000_000))
+    steps, one = [], throttle.admit_hit
+    monkeypatch.setattr(throttle, "admit_hit", lambda *a: steps.append(1) or one(*a))
+    rows = pd.DataFrame({"bucket": "b", "client": None, "run": 1, "hit_id": range(len(times)), "ts_us": times, "sure": False})
+    frames = [rows[:1], rows[1:7000], rows[7000:7000], rows[7000:]]
+    got = pd.concat(list(throttle._walk_bursts(12, 600_000_000)(iter(frames))))
+    assert [(a, None if pd.isna(r) else r) for a, r in zip(got.accepted, got.retry_after, strict=True)] == want
+    assert sum(a for a, _ in want) < 250 and len(steps) < 500
+
+
 def test_throttle_stream(spark, tmp_path):
     sec = 1_000_000
     first = [("b", "a", i, t * sec) for i, t in enumerate((0, 1, 2, 3))]

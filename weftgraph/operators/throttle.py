@@ -6,6 +6,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,25 +30,46 @@ def admit_hit(accepted: deque, now: int, limit: int, window_us: int) -> tuple[bo
     return True, None
 
 
+def admit_hits(accepted: deque, times: np.ndarray, limit: int, window_us: int) -> tuple[np.ndarray, np.ndarray]:
+    """``admit_hit`` for sorted times: accepted, and the wait of the others (0 for accepted ones).
+
+    All hits up to the end of the oldest accepted one's window are refused at once, so there is one step for each accepted hit.
+    """
+    ok, wait = np.zeros(len(times), bool), np.zeros(len(times), np.int64)
+    i = 0
+    while i < len(times):
+        ok[i], _ = admit_hit(accepted, int(times[i]), limit, window_us)
+        if ok[i]:
+            i += 1
+            continue
+        end = accepted[0] + window_us
+        stop = int(np.searchsorted(times, end, side="right"))
+        wait[i:stop] = np.maximum(1, -((times[i:stop] - end) // 1_000_000))
+        i = stop
+    return ok, wait
+
+
 def _walk_bursts(limit: int, window_us: int):
     """Streams sorted bursts; memory is one batch and at most ``limit`` times."""
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, accepted = None, deque()
         for batch in batches:
-            ok, wait = [], []
-            for bucket, client, run, now, sure in zip(
-                batch.bucket, batch.client, batch.run, batch.ts_us, batch.sure
-            ):
-                if (bucket, client, run) != current:
-                    current, accepted = (bucket, client, run), deque()
+            keys = [batch[c].to_numpy() for c in (*WHO, "run")]
+            turns = np.flatnonzero(np.logical_or.reduce([(k[1:] != k[:-1]).astype(bool) for k in keys])) + 1
+            times = batch.ts_us.to_numpy()
+            ok, wait = np.zeros(len(batch), bool), np.zeros(len(batch), np.int64)
+            for a, b in zip([0, *turns], [*turns, len(batch)], strict=True):
+                if a == b:
+                    continue
+                if (now := tuple(k[a] for k in keys)) != current:
+                    current, accepted = now, deque()
                 # a sure hit always finds room, so the same rule serves for both
-                good, after = admit_hit(accepted, now, limit, window_us)
-                ok.append(good)
-                wait.append(after)
+                ok[a:b], wait[a:b] = admit_hits(accepted, times[a:b], limit, window_us)
             out = batch[["bucket", "client", "hit_id", "ts_us"]].copy()
             out["accepted"] = ok
             out["retry_after"] = pd.array(wait, dtype="Int64")
+            out.loc[ok, "retry_after"] = pd.NA
             yield out[(~batch.sure).values]
 
     return walk
@@ -70,10 +92,13 @@ def decide(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
         F.struct(span.alias("span"), F.lit(True).alias("own")),
         F.struct((span + 1).alias("span"), F.lit(False).alias("own")),
     ))).select(*WHO, "hit_id", "ts_us", "c.*")
-    trailing = Window.partitionBy(*WHO, "span").orderBy("ts_us").rangeBetween(-w, 0)
+    # The window of a hit is full if the hit ``limit`` places before it, or before the last one of its time, lies inside. A lag
+    # looks at one row for each hit, where a count over the window would look at all that is in it.
+    by_ts = Window.partitionBy(*WHO, "span").orderBy("ts_us")
+    far = F.max("back").over(Window.partitionBy(*WHO, "span", "ts_us"))
     marked = cut(
-        copies.withColumn("near", F.count(F.lit(1)).over(trailing) - 1).where("own")
-        .select(*WHO, "hit_id", "ts_us", "span", (F.col("near") < limit).alias("sure"))
+        copies.withColumn("back", F.lag(F.coalesce("ts_us", F.lit(0)), limit).over(by_ts)).withColumn("far", far).where("own")
+        .select(*WHO, "hit_id", "ts_us", "span", F.coalesce(F.col("far").isNull() | (F.col("far") < F.col("ts_us") - w), F.lit(False)).alias("sure"))
     )
     # Bursts from the few per-stretch extremes, not from the hits.
     spans = marked.where(~F.col("sure")).groupBy(*WHO, "span").agg(
