@@ -14,7 +14,9 @@ def spark():
     session = (
         SparkSession.builder.master("local[*]").appName("weftgraph-tests")
         .config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false")
-        .config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.maxMetadataStringLength", "1000")  # plans name whole paths, however long the folder of a test
+        .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     return session

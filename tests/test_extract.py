@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,20 @@ def test_scan_rules(spark):
                    "x.JS": "extension", "x.d.ts": "kept", ".js": "extension", "l.py": "symlink",
                    "big.js": "oversized", "ok.js": "kept"}
     assert scan.rejected_projects(df, 2).count() == 1 and scan.admit_projects(df, 2).count() == 0
+
+
+def test_batches_are_parsed_in_pieces(monkeypatch):
+    """A batch is taken up in pieces, each handed on before the next is read, and memory goes back after it."""
+    n = 3 * extract.PIECE + 5
+    batch = pa.RecordBatch.from_pydict({
+        "project_id": ["p"] * n, "path": [f"m{i}" for i in range(n)], "language": ["python", "javascript", None] * (n // 3) + ["python"] * (n % 3),
+        "lines_of_code": [1] * n, "content": ["import a", "import 'b'", None] * (n // 3) + ["import ("] * (n % 3), "config_text": ["t"] * n})
+    freed = []
+    monkeypatch.setattr(extract, "give_back", lambda: freed.append(1))
+    out = list(extract._parse_batches(iter([batch, batch.slice(0, 3)])))
+    assert [b.num_rows for b in out] == [extract.PIECE] * 3 + [5, 3] and len(freed) == 2
+    rows = pa.Table.from_batches(out).to_pylist()
+    assert [r["path"] for r in rows[:n]] == [f"m{i}" for i in range(n)] and rows[0]["config_text"] == "t"
+    assert rows[0]["imports"] == [{"specifier": "a", "level": 0, "type": "import", "symbols": ["a"]}] and rows[0]["error"] is None
+    assert rows[1]["imports"][0]["specifier"] == "b" and rows[2]["imports"] is None and rows[2]["error"] is None
+    assert rows[n - 1]["imports"] == [] and rows[n - 1]["error"].startswith("parse failed")
