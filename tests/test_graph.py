@@ -362,3 +362,46 @@ def test_loops_broadcast_nothing(make_graph, monkeypatch):
         *(("n00", f"n{i:02d}") for i in range(4)), *(("n05", f"n{i:02d}") for i in range(5, 10)), ("n11", "n11")}
     reach.change_impact(edges, edges.select("project_id", F.lit("n05").alias("file")).distinct()).count()
     assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
+def test_impact_rows_and_reach_levels(world, spark, monkeypatch):
+    """Unpacked rows against a walk from every file; a walk over both ways compares two levels and follows the rows of a level."""
+    graphs, nodes, edges = world
+    monkeypatch.setattr(reach, "PAIRS", 3, raising=False)
+    files = nodes.select("project_id", F.col("node_id").alias("file"))
+    got = [(r.project_id, r.file, r.affected, r.is_direct) for r in reach.impact(edges, files).collect()]
+    want = set()
+    for p, (names, pairs) in graphs.items():
+        back = adjacency((names, {(b, a) for a, b in pairs}))
+        for file in names:
+            want |= {(p, file, n, d == 1) for n, d in bfs(back, file).items() if d}
+            want |= {(p, file, file, True)} if (file, file) in pairs else set()
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {(r.project_id, r.file) for r in reach.impact(edges, files.where("file = 'n1'")).collect()} == {
+        w[:2] for w in want if w[1] == "n1"}
+
+    monkeypatch.setattr(reach, "ROWS_IN_TASK", 20, raising=False)
+    graphs = {p: g for p, g in graphs.items() if p in ("r1", "r2", "k9", "loop", "none")}
+    nodes, edges = (df.where(F.col("project_id").isin(*graphs)) for df in (nodes, edges))
+    dealt, repartition = [], type(edges).repartition
+    monkeypatch.setattr(type(edges), "repartition", lambda df, n, *keys: dealt.append(n) or repartition(df, n, *keys))
+    both = reach.undirected(edges)
+    roots = nodes.select("project_id", F.col("node_id").alias("root"))
+    far = {(r.project_id, r.root, r.node): r.dist for r in reach.reach(both, roots, both_ways=True).collect()}
+    assert far == {(p, root, n): d for p, (names, pairs) in graphs.items() for root in names
+                   for n, d in bfs(adjacency((names, pairs | {(b, a) for a, b in pairs})), root).items()}
+    assert max(dealt) > 4  # more than the session's own number
+
+
+def test_corpus_reads_line_items_once(spark, tmp_path):
+    from weftgraph.sources import corpus
+
+    spark.createDataFrame([(k, "Brand#11", 3) for k in range(6)], "p_partkey bigint, p_brand string, p_size int").write.parquet(
+        str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(o, (o + i) % 6, i, 1.0) for o in range(4) for i in range(3)],
+                          "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_quantity double").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    nodes, edges = corpus.graph(spark, str(tmp_path), corpus.CLEAN)
+    for df in (nodes, edges):
+        assert not any("lineitem" in f for f in df.inputFiles())
+    assert nodes.count() == 6 and edges.count() > 0
