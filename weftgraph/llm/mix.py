@@ -86,9 +86,9 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats:
 
 def quotas(cells: DataFrame, weights=WEIGHTS, share=SHARE, repeats=REPEATS, block: int = BLOCK) -> DataFrame:
     """(source_key, shard, cell_size) with source_size, target, and the cell's ``blocks`` and ``quota`` of blocks."""
-    sources = targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), weights, share, repeats)
+    sources = cut(targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), weights, share, repeats))
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint")
-    by_source = apportion(sources.withColumn("_seats", seats), [], "target", "_seats", ["source_key"])
+    by_source = cut(apportion(sources.withColumn("_seats", seats), [], "target", "_seats", ["source_key"]))
     by_cell = apportion(
         cells.join(by_source.withColumnRenamed("quota", "_of_source"), "source_key"),
         ["source_key"], "cell_size", "_of_source", ["shard"],
