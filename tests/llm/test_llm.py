@@ -535,6 +535,29 @@ def test_token_files(spark, docs, none, rows):
     assert tokens.token_files(none, path).count() == 0
 
 
+def test_words_are_cut_together(monkeypatch):
+    """Pieces of a slice are cut into words at once and each different word is encoded once, with the ids of whole-text encoding."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_or_skip()
+    tok, rng, seen = Tokenizer.from_file(path), random.Random(8), []
+
+    class Counted:
+        def findall(self, text, words=tokens.WORDS):
+            seen.append(text)
+            return words.findall(text)
+
+    monkeypatch.setattr(tokens, "WORDS", Counted())
+    ends = [",", ".", "!?", "'s", "\0x", "12", "é", " \n", "\xa0", "日", "***", "\t\0", ""]
+    texts = [" ".join(rng.choice(["ab", "cd", "don't", "ü"]) + rng.choice(ends) + rng.choice(ends) for _ in range(60)) for _ in range(20)]
+    pieces = tokens.Pieces(path)
+    for _ in range(2):  # the second time from memory
+        ids, counts = pieces.encode(pa.array(texts))
+        want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+    assert len(seen) == 2
+
+
 def test_added_tokens(spark):
     """An added token is matched in the text, as the library's encoding does it."""
     from tokenizers import Tokenizer

@@ -7,8 +7,8 @@ document in the whole stream; the table of parts has one row per task and is lef
 
 A text is tokenised as pieces that start at single spaces between two characters which are not white space. The
 tokenizer's pattern always ends a match there, so pieces can be encoded alone, each different one once
-per cache, and put together by gathering. A piece goes through the tokenizer's own steps: its pattern cuts it into
-words, and its model encodes each different word once. The tokenizer's added tokens are matched before its pattern and may take white
+per slice, and put together by gathering. Pieces go through the tokenizer's own steps: its pattern cuts them into
+words, all those of a slice at once, and its model encodes each different word once per cache. The tokenizer's added tokens are matched before its pattern and may take white
 space with them, so a text that holds one is encoded whole by the library.
 """
 
@@ -17,6 +17,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -33,7 +34,7 @@ from weftgraph.session import scratch_path
 END_ID = 0
 FILE_IDS = 1 << 20
 SLICE = 2 << 20
-CACHE, WORD_CACHE = 400_000, 100_000  # different pieces, and words inside them, remembered by a worker; past it the memory starts anew
+WORD_CACHE, CACHE = 600_000, 200_000  # different words, and pieces of unusual characters, remembered by a worker; past it the memory starts anew
 FILE_SCHEMA = "part int, file int, first long, n_docs long, n_ids long, image binary"
 PIECES = re.compile(r"(?<=\S) (?=\S)")
 SOLID = r"[^\s\x0b\x1c-\x1f\x{85}\p{Z}]"  # not white space by any definition in use
@@ -41,7 +42,8 @@ SPACE = "\u0120"  # how the vocabulary writes a space
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 # the tokenizer's pattern for texts of these characters; others go through the library's own splitter
 COMMON = re.compile(rf"[\t\n\x20-\x7e{LETTERS}]*")
-WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+")
+CLOSE = "\0"  # stands behind each piece where many are cut into words at once
+WORDS = re.compile(rf"{CLOSE}|'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}{CLOSE}]+|\s+(?![^\s{CLOSE}])|\s+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,8 +54,48 @@ def _byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x100)}
 
 
+class Pool(dict):
+    """Numbers of strings, given as they are first asked for, and the ids that each stands for, one after the other."""
+
+    def __init__(self):
+        self.fresh: list[str] = []  # numbered, but without ids yet
+        self.held = 0
+        self.ids, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, string: str) -> int:
+        self.fresh.append(string)
+        self[string] = n = len(self)
+        return n
+
+    def numbers(self, strings: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, strings), np.int64, len(strings))
+
+    def add(self, coded: list[list[int]]) -> None:
+        """The ids of ``fresh``."""
+        length = np.fromiter(map(len, coded), np.int64, len(coded))
+        ids = np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum()))
+        while self.held + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        self.ids[self.held:self.held + len(ids)] = ids
+        self.start = np.append(self.start, self.held + np.cumsum(length) - length)
+        self.length = np.append(self.length, length)
+        self.held += len(ids)
+        self.fresh = []
+
+    def at(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all numbers in a row, number of ids of each)."""
+        return _gathered(self.ids, self.start, self.length, numbers)
+
+
+def _gathered(ids: np.ndarray, start: np.ndarray, length: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs ``which`` of ids in a row, their lengths)."""
+    start, length = start[which], length[which]
+    total = np.append(0, np.cumsum(length))
+    return ids[np.repeat(start - total[:-1], length) + np.arange(total[-1])], length
+
+
 class Pieces:
-    """Ids of the pieces seen so far, in one pool."""
+    """Ids of the pieces seen so far, and of the words in them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,44 +106,49 @@ class Pieces:
         # what may be an added token; the library decides
         contents = [re.escape(t.content) for t in tokenizer.get_added_tokens_decoder().values() if t.content]
         self.added = "(?i)" + "|".join(contents) if contents else None
-        self.words: dict[str, list[int]] = {}
-        self.clear()
-
-    def clear(self):
-        self.known, self.held = {}, 0
-        self.pool, self.start, self.length = np.zeros(1 << 16, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _ids(self, piece: str) -> list[int]:
+        self.words, self.others = self._words(), Pool()
+
+    @staticmethod
+    def _words() -> Pool:
+        """No word yet, and no ids for what closes a piece."""
+        out = Pool()
+        out.numbers([CLOSE])
+        out.add([[]])
+        return out
+
+    def _common(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``coded`` for pieces of the characters in ``COMMON``: all are cut into words at once, and each different word is encoded once."""
+        if len(self.words) > WORD_CACHE:
+            self.words = self._words()
         words = self.words
-        if piece.isascii() and (piece[1:] if piece[:1] == " " else piece).isalpha():  # one word
-            if piece not in words:
-                words[piece] = [t.id for t in self.model.tokenize(piece.replace(" ", SPACE))]
-            return words[piece]
-        if not COMMON.fullmatch(piece):
-            return [t.id for mapped, _ in self.splitter.pre_tokenize_str(piece) for t in self.model.tokenize(mapped)]
-        found = WORDS.findall(piece)
-        for word in found:
-            if word not in words:
-                words[word] = [t.id for t in self.model.tokenize(word.translate(self.letters))]
-        return words[found[0]] if len(found) == 1 else [i for word in found for i in words[word]]
-
-    def places(self, pieces: list[str]) -> np.ndarray:
-        """Where each piece stands in ``start`` and ``length``; new ones are encoded."""
-        known = self.known
-        fresh = [p for p in pieces if p not in known]
-        if fresh:
-            fresh = list(dict.fromkeys(fresh))
-            coded = [self._ids(p) for p in fresh]
-            length = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum()))
-            while self.held + len(flat) > len(self.pool):
-                self.pool = np.append(self.pool, np.zeros_like(self.pool))
-            self.pool[self.held:self.held + len(flat)] = flat
-            known.update(zip(fresh, range(len(self.start), len(self.start) + len(fresh)), strict=True))
-            self.start = np.append(self.start, self.held + np.cumsum(length) - length)
-            self.length = np.append(self.length, length)
-            self.held += len(flat)
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        numbers = words.numbers(WORDS.findall(CLOSE.join([*pieces, ""])))
+        if words.fresh:
+            mapped = CLOSE.join(words.fresh).translate(self.letters).split(self.letters[ord(CLOSE)])
+            words.add([[t.id for t in tokens] for tokens in map(self.model.tokenize, mapped)])
+        ids, length = words.at(numbers)
+        ends = np.flatnonzero(numbers == words[CLOSE])
+        return ids, np.diff(np.append(0, np.cumsum(length)[ends]))
+
+    def _other(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``coded`` for other pieces: the library's splitter cuts each different one."""
+        if len(self.others) > CACHE:
+            self.others = Pool()
+        others = self.others
+        numbers = others.numbers(pieces)
+        if others.fresh:
+            others.add([[t.id for mapped, _ in self.splitter.pre_tokenize_str(p) for t in self.model.tokenize(mapped)] for p in others.fresh])
+        return others.at(numbers)
+
+    def coded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, number of ids of each)."""
+        if COMMON.fullmatch("".join(pieces)):
+            return self._common(pieces)
+        common = np.array([COMMON.fullmatch(p) is not None for p in pieces])
+        (ids, length), (more, longer) = (
+            how([pieces[i] for i in np.flatnonzero(mine)]) for how, mine in ((self._common, common), (self._other, ~common)))
+        length, ids = np.append(length, longer), np.append(ids, more)
+        place = np.where(common, np.cumsum(common) - 1, common.sum() + np.cumsum(~common) - 1)
+        return _gathered(ids, np.cumsum(length) - length, length, place)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -116,14 +163,11 @@ class Pieces:
 
     def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """``encode`` for texts without an added token; no text is null."""
-        if len(self.known) > CACHE:
-            self.clear()
-        if len(self.words) > WORD_CACHE:
-            self.words = {}
         split = pc.split_pattern(texts, " ")
         counts = np.diff(split.offsets.to_numpy())
         coded = split.flatten().dictionary_encode()
-        strings = coded.dictionary.to_pylist()
+        every = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        strings = pc.binary_join(every, pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
         code = coded.indices.to_numpy().astype(np.int64)
         first = np.zeros(len(code), bool)
         begin = np.append(0, np.cumsum(counts))[:-1]
@@ -136,28 +180,35 @@ class Pieces:
         odd = np.zeros(len(counts), bool)
         odd[owner[wrong]] = True
         plain = ~odd[owner]
-        where = np.zeros((2, len(strings)), np.int64)
+        where, wanted = np.zeros((2, len(strings)), np.int64), []
         for spaced in (0, 1):
             used = np.zeros(len(strings), bool)
             used[code[plain & (first == (not spaced))]] = True
             at = np.flatnonzero(used)
-            where[spaced, at] = self.places([" " + strings[i] if spaced else strings[i] for i in at])
+            where[spaced, at] = np.arange(len(wanted), len(wanted) + len(at))
+            wanted += [" " + strings[i] if spaced else strings[i] for i in at]
         place = where[(~first).astype(np.int64), code]
         if odd.any():  # their splits are found again, with a look at both sides
-            parts = [place[begin[i]:begin[i] + counts[i]] if not odd[i] else self._again(texts[i].as_py())
-                     for i in range(len(counts))]
+            again = dict(zip(wanted, range(len(wanted)), strict=True))
+            parts = [place[begin[i]:begin[i] + counts[i]] if not odd[i] else np.array(
+                [again.setdefault(p, len(again)) for p in _cut(texts[i].as_py())]) for i in range(len(counts))]
             counts = np.array([len(p) for p in parts])
             place = np.concatenate(parts)
-            owner = np.repeat(np.arange(len(counts)), counts)
-        length, start = self.length[place], self.start[place]
+            wanted = list(again)
+        ids, length = self.coded(wanted)
+        ids, length = _gathered(ids, np.cumsum(length) - length, length, place)
         total = np.append(0, np.cumsum(length))
-        ids = self.pool[np.repeat(start - total[:-1], length) + np.arange(total[-1])]
-        per_text = np.append(total, 0)[np.append(0, np.cumsum(counts))]
-        return ids, np.diff(per_text)
+        return ids, np.diff(total[np.append(0, np.cumsum(counts))])
+
+
+def _cut(text: str) -> list[str]:
+    return [p if k == 0 else " " + p for k, p in enumerate(PIECES.split(text))]
+
 
-    def _again(self, text: str) -> np.ndarray:
-        cut = PIECES.split(text)
-        return self.places([p if k == 0 else " " + p for k, p in enumerate(cut)])
+@lru_cache(1)
+def _pieces(path: str) -> Pieces:
+    """The tokenizer of a worker, which knows the words of the tasks before."""
+    return Pieces(path)
 
 
 def _with_ends(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +229,7 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
 
     def coded(batches):
         give_back()
-        pieces = Pieces(tokenizer)
+        pieces = _pieces(tokenizer)
         part, file, first = TaskContext.get().partitionId(), 0, 0
         held: list = []
 
@@ -202,7 +253,6 @@ def write_files(docs: DataFrame, tokenizer: str, path: str, file_ids: int = FILE
                     give_back()
         if held:
             yield image()
-        del pieces
         give_back()
 
     ordered = docs.select(F.col("doc_id").cast("bigint"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
