@@ -405,6 +405,30 @@ def test_verdicts_follow_labels(spark):
     assert quality.verdicts(frame, labels=known.limit(0)).count() == 150
 
 
+def test_few_texts_are_shuffled(spark):
+    """Before texts meet labels, those of documents without one go; every labelled document stays."""
+    docs = spark.range(20000).selectExpr("id AS doc_id", "'a' AS text").unionByName(spark.sql("SELECT CAST(NULL AS LONG) doc_id, 'b' text"))
+    chosen = spark.range(0, 20000, 10).selectExpr("id AS _id")
+    left = {r.doc_id for r in quality._maybe(docs, chosen).collect()}
+    assert left >= set(range(0, 20000, 10)) and len(left) < 2100
+    assert quality._maybe(docs, chosen.selectExpr("int(_id) AS _id")).count() == 20001
+    assert quality._maybe(docs, chosen.limit(0)).count() == 0
+
+
+def test_grams_are_added_up_in_the_task(spark, monkeypatch):
+    """Counts are exact, whether the n-grams of all slices of a task are held to its end or leave it earlier."""
+    texts = ["abcde日é", "xyz", "", None, "abcde", "😀bcd"] * 50
+    frame = spark.createDataFrame([(i, t, "ab" if i % 7 else None, "s") for i, t in enumerate(texts)], DOCS).coalesce(1)
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        padded = quality.START * 4 + (t or "")
+        want.update(("ab" if i % 7 else None, padded[k:k + 5]) for k in range(len(t or "")))
+    for most in (quality.GRAMS, 5):
+        monkeypatch.setattr(quality, "GRAMS", most)
+        monkeypatch.setattr(quality, "SLICE", 40)
+        assert {(r.lang, r.gram): r.n for r in quality.count_grams(frame).collect()} == want
+
+
 def test_edges():
     off, good = np.array([-9.0, -2, -1, 0, 1, 2, 3, 7]), np.array([False, True, True, True, False, True, True, False])
     assert quality.edges(off, good) == (-5.5, 4.5)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import IS_SPACE, TO_LOWER, slices, span_hashes, text_bytes, words
+from weftgraph.llm.common import IS_SPACE, TO_LOWER, give_back, slices, span_hashes, text_bytes, words
 
 PASSAGE = 32
 PIECE = PASSAGE // 2
@@ -276,6 +276,8 @@ def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     tops = np.stack([np.maximum(part, 0).max(axis=1) for part in parts], axis=1)  # the most that a word adds to a piece of each group
     model = (vocabulary.plain(), parts, tops, known, owner, least * np.linalg.norm(vectors, axis=1))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    del own, space, vectors, latent, towards, model
+    give_back()
 
     def searched(batches):
         plain, parts, tops, known, owner, scale = shared.value

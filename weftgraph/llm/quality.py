@@ -3,10 +3,10 @@
 For each language a modified Kneser-Ney model of character n-grams is counted by Spark. Given labels, it learns from documents that pass
 the base rule and that a first model, of half of the documents labelled good, does not find odd: a model that
 has read the junk finds it likely. Lower orders use continuation counts and each order has three discounts from its counts of counts. Training
-ends in one row per n-gram: its hash, its interpolated log probability, and as a context its back-off weight. Rows are cut
-into slices by the hash of the two characters that every n-gram and context of a position share, so that a slice
-has a bounded number of rows; each is broadcast as sorted arrays in turn, and a document's log likelihood is the sum over
-slices. One slice is enough until the model outgrows ``SLICE_ROWS``.
+ends in one row per n-gram: its hash, its interpolated log probability, and as a context its back-off weight. Rows are broadcast as
+sorted arrays, ``PART_ROWS`` at a time, so that the driver holds one such part only. When the model outgrows ``SLICE_ROWS`` it is cut
+into slices by the hash of the two characters that every n-gram and context of a position share; the corpus is read once for each, and
+what a slice says of a text is kept under the text's digest, so that no text is written. A document's log likelihood is the sum over slices.
 
 A document is rejected if its perplexity leaves the band of its language: the median of the language's log perplexities, less
 or plus a multiple of their median absolute deviation. Where labels are given, the multiples are moved so that the fewest labelled
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftgraph.llm.common import ODD, mixed, slices, span_hashes, text_bytes, words
-from weftgraph.session import cut
+from weftgraph.llm.common import ODD, give_back, mixed, numbered, slices, span_hashes, text_bytes, words
+from weftgraph.session import cut, cut_count
 
 ORDER = 5
-SLICE_ROWS = 3_000_000  # of 13 bytes, in a broadcast
+SLICE_ROWS = 12_000_000  # of 12 bytes, held by a worker in one reading of the corpus
+PART_ROWS = 1_000_000  # in a broadcast
+GRAMS = 500_000  # different n-grams that a task holds before it adds up their counts
 LOWER, UPPER = 7.5, 4.5  # deviations of log perplexity
 FLOOR = 0.01  # the least deviation taken, so that a uniform language does not reject on noise
 UNSURE = 2.0  # deviations of few documents are widened by this over the root of their number
@@ -39,6 +41,9 @@ REPEAT = 8
 MIN_WORDS = 20
 LEAST = 8  # good documents, in either half of the labelled ones, without which a language counts as unlabelled
 SLICE = 1 << 19
+BITS = 1 << 26  # of the table that tells which documents a set may name
+IS_SYMBOL = np.zeros(256, bool)
+IS_SYMBOL[list(b"#*$%&|<>")] = True
 START = "\x02"
 
 
@@ -55,36 +60,38 @@ def rules(texts: pa.Array) -> dict[str, np.ndarray]:
     head = (data & 0xC0) != 0x80  # a byte that begins a code point
     total = np.append(0, np.cumsum(head, dtype=np.int64))
     in_words = np.append(0, np.cumsum(total[ends] - total[starts]))
-    symbols, _ = summed(np.isin(data, np.frombuffer(b"#*$%&|<>", np.uint8)))
-    hashes = span_hashes(data, starts, ends)
+    symbols, _ = summed(IS_SYMBOL[data])
+    line_starts, line_ends = _lines(data, offsets, starts)
+    hashes = span_hashes(data, np.append(starts, line_starts), np.append(ends, line_ends))
     return {
         "n_words": n_words, "word_chars": in_words[firsts[1:]] - in_words[firsts[:-1]], "n_symbols": symbols,
-        "n_dup_lines": _repeated_lines(data, offsets, starts), "n_repeat_words": _repeated_words(hashes, firsts),
+        "n_dup_lines": _repeated_lines(offsets, line_starts, hashes[len(starts):] + (line_ends - line_starts).astype(np.uint64)),
+        "n_repeat_words": _repeated_words(hashes[:len(starts)], firsts),
     }
 
 
 def _later(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For places with an owner and a value: which have an equal earlier, and which an equal earlier or later."""
-    order = np.lexsort((value, owner))
-    same = (owner[order][1:] == owner[order][:-1]) & (value[order][1:] == value[order][:-1])
-    earlier, either = np.zeros(len(owner), bool), np.zeros(len(owner), bool)
-    earlier[order[1:][same]] = True
-    either[order[1:][same]] = True
-    either[order[:-1][same]] = True
-    return earlier, either
+    code, n = numbered(mixed(mixed(owner.astype(np.uint64)) + value * ODD))
+    # numbers are given in the order of first appearance
+    earlier = code <= np.maximum.accumulate(np.append(-1, code[:-1])) if len(code) else np.zeros(0, bool)
+    return earlier, np.bincount(code, minlength=n)[code] > 1
 
 
-def _repeated_lines(data, offsets, word_starts):
-    n = len(offsets) - 1
+def _lines(data, offsets, word_starts):
+    """Start and end of every line with a word."""
     breaks = np.flatnonzero(data == 10)
     # a line runs from its text's start or a break to the next break or the text's end
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     ends = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
     filled = np.searchsorted(word_starts, ends) > np.searchsorted(word_starts, starts)
-    starts, ends = starts[filled], ends[filled]
+    return starts[filled], ends[filled]
+
+
+def _repeated_lines(offsets, starts, hashes):
     owner = np.searchsorted(offsets, starts, side="right") - 1
-    earlier, _ = _later(owner, span_hashes(data, starts, ends) + (ends - starts).astype(np.uint64))
-    return np.bincount(owner[earlier], minlength=n)
+    earlier, _ = _later(owner, hashes)
+    return np.bincount(owner[earlier], minlength=len(offsets) - 1)
 
 
 def _repeated_words(hashes, firsts):
@@ -118,6 +125,14 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return chars, np.append(0, np.cumsum(lengths + ORDER - 1))
 
 
+def _places(begin: np.ndarray) -> np.ndarray:
+    """Where the n-grams of all texts begin: none runs from one text into the start marks of the next."""
+    inside = np.ones(max(0, int(begin[-1]) - ORDER + 1), bool)
+    for k in range(1, ORDER):
+        inside[begin[1:-1] - k] = False
+    return np.flatnonzero(inside)
+
+
 def _lang_code(lang: str | None) -> np.uint64:
     return np.frombuffer(hashlib.md5(repr(lang).encode()).digest(), "<u8", 1)[0]
 
@@ -125,29 +140,53 @@ def _lang_code(lang: str | None) -> np.uint64:
 def count_grams(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): how often every n-gram of ``ORDER`` characters occurs in the texts of each language."""
 
+    def summed(parts):
+        """Hashes of the different n-grams, how often each occurs, and its characters."""
+        hashes, n, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
+        code, size = numbered(hashes)
+        first = np.zeros(size, np.int64)
+        first[code] = np.arange(len(code))
+        return hashes[first], np.bincount(code, n, size).astype(np.int64), chars[first]
+
+    def rows(held):
+        for lang, parts in held.items():
+            _, n, chars = summed(parts)
+            text = chars.tobytes().decode("utf-32-le").encode()
+            sizes = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
+            ends = np.append(0, np.cumsum(sizes.sum(axis=1))).astype(np.int32)
+            grams = pa.StringArray.from_buffers(len(n), pa.py_buffer(ends), pa.py_buffer(text))
+            for at in range(0, len(n), 1 << 16):
+                some = grams[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), some, pa.array(n[at:at + (1 << 16)])],
+                                                 names=["lang", "gram", "n"])
+
     def counted(batches):
+        held, waiting = {}, 0
         for batch in batches:
             for piece in slices(batch, most=SLICE):
                 langs = piece.column(1).to_pylist()
                 texts = piece.column(0).to_pylist()
                 for lang in dict.fromkeys(langs):
                     chars, begin = _codes([t for t, x in zip(texts, langs, strict=True) if x == lang and t])
-                    size = len(chars) - ORDER + 1
-                    if size <= 0:
+                    place = _places(begin)
+                    if not len(place):
                         continue
-                    inside = np.ones(size, bool)  # no n-gram runs from one text into the start marks of the next
-                    for b in begin[1:-1]:
-                        inside[b - ORDER + 1:b] = False
-                    place = np.flatnonzero(inside)
-                    hashes = _of([chars[place + k] for k in range(ORDER)], np.uint64(0), len(place))
-                    _, at, n = np.unique(hashes, return_index=True, return_counts=True)
-                    at = place[at]
-                    code = np.stack([chars[at + k] for k in range(ORDER)], 1).astype("<u4")
-                    text = code.tobytes().decode("utf-32-le")
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(n), pa.string()),
-                         pa.array([text[i:i + ORDER] for i in range(0, len(text), ORDER)], pa.string()), pa.array(n)],
-                        names=["lang", "gram", "n"])
+                    code, size = numbered(_windows(chars, np.uint64(0))[place])
+                    at = np.zeros(size, np.int64)
+                    at[code] = place
+                    window = [chars[at + k] for k in range(ORDER)]
+                    held.setdefault(lang, []).append((
+                        _of(window, np.uint64(0), size), np.bincount(code, minlength=size), np.stack(window, 1).astype("<u4")))
+                    waiting += size
+                if waiting > GRAMS:
+                    held = {lang: [summed(parts)] for lang, parts in held.items()}
+                    waiting = sum(len(parts[0][0]) for parts in held.values())
+                    if 2 * waiting > GRAMS:
+                        yield from rows(held)
+                        held, waiting = {}, 0
+        yield from rows(held)
+        held.clear()
+        give_back()
 
     return docs.select("text", "lang").mapInArrow(counted, "lang string, gram string, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n"))
@@ -233,51 +272,103 @@ def _of(window: list[np.ndarray], lang, n: int) -> np.ndarray:
     """Hash of the characters that stand in the columns of ``window``, for a language."""
     h = np.zeros(n, np.uint64)
     for chars in window:
-        h = h * BASE + chars + np.uint64(1)
-    return mixed(h ^ np.atleast_1d(lang + np.uint64(len(window))) * ODD)
+        h *= BASE
+        h += chars
+        h += np.uint64(1)
+    h ^= np.atleast_1d(lang + np.uint64(len(window))) * ODD
+    return mixed(h)
+
+
+def _windows(chars: np.ndarray, lang) -> np.ndarray:
+    """``_of`` the ``ORDER`` characters from every place on."""
+    size = len(chars) - ORDER + 1
+    return _of([chars[k:size + k] for k in range(ORDER)], lang, size)
 
 
-def _find(table: tuple[np.ndarray, np.ndarray], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(value, found) for each hash."""
-    hashes, values = table
-    if not len(hashes):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
-    return values[at], hashes[at] == wanted
+def _range(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The part that holds each hash, of ``n`` parts."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _find(tables: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, found) for each hash; there is a table for each range of hashes."""
+    value, found = np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    part = _range(wanted, len(tables))
+    for i, (hashes, values) in enumerate(tables):
+        mine = np.flatnonzero(part == i)
+        if len(hashes) and len(mine):
+            at = np.minimum(np.searchsorted(hashes, wanted[mine]), len(hashes) - 1)
+            value[mine] = values[at]
+            found[mine] = hashes[at] == wanted[mine]
+    return value, found
 
 
 def _slice_of(first: np.ndarray, second: np.ndarray, n: int) -> np.ndarray:
-    pairs, back = np.unique(first << np.uint64(32) | second, return_inverse=True)
-    names = (chr(int(p) >> 32) + chr(int(p) & 0xFFFFFFFF) for p in pairs)
-    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % n for x in names), np.int64, len(pairs))[back]
+    pair = first << np.uint64(32) | second
+    code, size = numbered(pair)
+    different = np.zeros(size, np.uint64)
+    different[code] = pair
+    names = (chr(p >> 32) + chr(p & 0xFFFFFFFF) for p in different.tolist())
+    return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % n for x in names), np.int64, size)[code]
 
 
-def likelihoods(strings: list[str], lang: np.uint64, arrays, share: tuple[int, int] = (0, 1)) -> np.ndarray:
+def likelihoods(strings: list[str], lang: np.uint64, tables, share: tuple[int, int] = (0, 1)) -> np.ndarray:
     """For each text the log likelihood of its characters, or of those that fall to slice share[0] of share[1]."""
-    probabilities, weights = arrays
+    probabilities, weights = zip(*tables, strict=True)
     chars, begin = _codes(strings)
-    size = len(chars) - ORDER + 1
-    total = np.zeros(len(strings))
-    if size <= 0:
-        return total
-    owner = np.searchsorted(begin, np.arange(size), side="right") - 1
-    at = np.flatnonzero(np.arange(size) + ORDER <= begin[1:][owner])
+    at = _places(begin)
+    if not len(at):
+        return np.zeros(len(strings))
+    owner = np.repeat(np.arange(len(strings)), np.diff(begin))[at]
+    hashes = _windows(chars, lang)[at]
     if share[1] > 1:
-        at = at[_slice_of(chars[at + ORDER - 3], chars[at + ORDER - 2], share[1]) == share[0]]
+        mine = _slice_of(chars[at + ORDER - 3], chars[at + ORDER - 2], share[1]) == share[0]
+        at, owner, hashes = at[mine], owner[mine], hashes[mine]
     # each different gram is looked up once, in the order of its hash
-    full, first, back = np.unique(
-        _of([chars[at + k] for k in range(ORDER)], lang, len(at)), return_index=True, return_inverse=True)
-    window = [chars[at[first] + k] for k in range(ORDER)]
-    value, todo = np.zeros(len(full)), np.arange(len(full))
+    code, size = numbered(hashes)
+    first = np.zeros(size, np.int64)
+    first[code] = np.arange(len(code))
+    full = hashes[first]
+    order = np.argsort(full)
+    place = np.zeros(size, np.int64)
+    place[order] = np.arange(size)
+    full, first = full[order], at[first[order]]
+    window = [chars[first + k] for k in range(ORDER)]
+    value, todo = np.zeros(size), np.arange(size)
     for n in range(ORDER, -1, -1):
-        found, hit = _find(probabilities, _of(window[ORDER - n:], lang, len(todo)))
+        found, hit = _find(probabilities, full if n == ORDER else _of(window[ORDER - n:], lang, len(todo)))
         value[todo[hit]] += found[hit]
         todo, window = todo[~hit], [w[~hit] for w in window]
         if not n or not len(todo):
             break
         weight, hit = _find(weights, _of(window[ORDER - n:ORDER - 1], lang, len(todo)))
         value[todo[hit]] += weight[hit]
-    return np.bincount(owner[at], value[back], len(strings))
+    return np.bincount(owner, value[place][code], len(strings))
+
+
+def _all_likelihoods(texts: list[str], langs: list, shared: list, share: tuple[int, int] = (0, 1)) -> np.ndarray:
+    """``likelihoods`` of texts of several languages."""
+    tables, found = [part.value for part in shared], np.zeros(len(texts))
+    for lang in dict.fromkeys(langs):
+        mine = [k for k, x in enumerate(langs) if x == lang]
+        found[mine] = likelihoods([texts[k] for k in mine], _lang_code(lang), tables, share)
+    return found
+
+
+def _shared(hashed: DataFrame) -> list:
+    """Broadcasts of hashed rows of the model, one for each range of hashes; the driver holds one at a time."""
+    rows, n = cut_count(hashed)
+    parts = max(1, -(-n // PART_ROWS))
+    part = F.shiftright(F.shiftrightunsigned("hash", 32) * parts, 32)
+    out = []
+    for i in range(parts):
+        out.append(rows.sparkSession.sparkContext.broadcast(_arrays(rows.where(part == i).toArrow())))
+        give_back()
+    return out
+
+
+def _mark(text: str, lang: str | None) -> bytes:
+    return hashlib.blake2b(f"{lang!r} {text}".encode(), digest_size=16).digest()
 
 
 def scored(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
@@ -285,49 +376,65 @@ def scored(docs: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
 
     ``n_points`` counts the code points; without any, log_perplexity is null.
     """
-    spark = docs.sparkSession
-    parts = max(1, -(-model.count() // SLICE_ROWS))
+    slices_ = max(1, -(-model.count() // SLICE_ROWS))
+    kept = [c for c in keep if c not in FRESH]
+    counts = [c for c in FRESH if c != "log_perplexity"]
+    whole = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), *kept)
+    fields = [*whole.schema.fields[2:], *[T.StructField(c, T.LongType()) for c in counts]]
+
+    def read(batches):  # of each piece: its texts, their languages, the columns kept and the counts
+        for batch in batches:
+            for piece in slices(batch, "_text", SLICE):
+                strings = [t or "" for t in piece.column(0).to_pylist()]
+                lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+                numbers = [*rules(piece.column(0)).values(), lengths]
+                yield strings, piece.column(1).to_pylist(), [*piece.columns[2:], *[pa.array(v, pa.int64()) for v in numbers]], lengths
+
+    if slices_ == 1:
+        shared = _shared(_hashed(model))
+        schema = T.StructType([*fields, T.StructField("log_perplexity", T.DoubleType())])
+
+        def measured(batches):
+            for strings, langs, columns, lengths in read(batches):
+                found = -_all_likelihoods(strings, langs, shared) / np.maximum(lengths, 1)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64(), mask=lengths == 0)], names=schema.names)
+
+        return whole.mapInArrow(measured, schema)
+
+    def marked(batches):
+        for strings, langs, columns, _ in read(batches):
+            marks = [_mark(t, x) for t, x in zip(strings, langs, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks, pa.binary())], names=[f.name for f in fields] + ["_mark"])
+
+    parts = _sliced(docs, model, slices_)
+    sums = reduce(lambda x, y: x.unionByName(y), [part.withColumn("_slice", F.lit(i)) for i, part in enumerate(parts)]).groupBy("_key").agg(
+        *[F.max(F.when(F.col("_slice") == i, F.col("_found"))).alias(f"_found{i}") for i in range(slices_)])
+    found = reduce(lambda x, y: x + y, [F.col(f"_found{i}") for i in range(slices_)])
+    out = whole.mapInArrow(marked, T.StructType([*fields, T.StructField("_mark", T.BinaryType())]))
+    return out.join(sums.select("_key", found.alias("_found")), F.col("_mark") == F.col("_key")).select(
+        *[f"`{f.name}`" for f in fields], F.when(F.col("n_points") > 0, -F.col("_found") / F.col("n_points")).alias("log_perplexity"))
+
+
+def _sliced(docs: DataFrame, model: DataFrame, n: int) -> list[DataFrame]:
+    """For each of ``n`` slices of the model (_key, _found): its share of the log likelihood of every different text and language."""
     pair = F.when(F.col("is_context"), F.substring("gram", -2, 2)).otherwise(
         F.expr("substring(gram, length(gram) - 2, 2)"))
     low = F.length("gram") < F.when(F.col("is_context"), 2).otherwise(3)
-    kept = [c for c in keep if c not in FRESH]
-    counts = [c for c in FRESH if c != "log_perplexity"]
-    # text and lang stand in front for the scoring, and only the last pass drops what is not kept
-    out = docs.select(F.col("text").alias("_text"), F.col("lang").alias("_lang"), *kept)
-    schema = T.StructType([*out.schema.fields, *[T.StructField(c, T.LongType()) for c in counts],
-                           T.StructField("log_perplexity", T.DoubleType())])
-    for i in range(parts):
-        rows = _hashed(model.where(low | (F.crc32(pair) % parts == i))).toArrow()
-        if len(rows) > 4 * SLICE_ROWS:
-            raise RuntimeError("one pair of characters holds too much of the model")
-        shared = spark.sparkContext.broadcast(_arrays(rows))
-        last = i == parts - 1
+    out = []
+    for i in range(n):
+        shared = _shared(_hashed(model.where(low | (F.crc32(pair) % n == i))))
 
-        def measured(batches, shared=shared, share=(i, parts), last=last):
+        def measured(batches, shared=shared, share=(i, n)):
             for batch in batches:
-                for piece in slices(batch, "_text", SLICE):
-                    texts, langs = piece.column(0), piece.column(1).to_pylist()
-                    strings = [t or "" for t in texts.to_pylist()]
-                    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-                    found = np.zeros(len(strings))
-                    for lang in dict.fromkeys(langs):
-                        mine = [k for k, x in enumerate(langs) if x == lang]
-                        found[mine] = likelihoods([strings[k] for k in mine], _lang_code(lang), shared.value, share)
-                    if share[0]:
-                        columns = piece.columns[:-1]
-                        found += piece.column(len(columns)).to_numpy()
-                    else:
-                        numbers = [*rules(texts).values(), lengths]
-                        columns = [*piece.columns, *[pa.array(v, pa.int64()) for v in numbers]]
-                    if last:
-                        found = np.where(lengths > 0, -found / np.maximum(lengths, 1), np.nan)
-                        columns = columns[2:]
-                    yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.float64(), mask=np.isnan(found))],
-                                                     names=(schema.names[2:] if last else schema.names))
-
-        out = out.mapInArrow(measured, T.StructType(schema.fields[2:]) if last else schema)
-        if not last:
-            out = cut(out)
+                for piece in slices(batch, most=SLICE):
+                    strings, langs = [t or "" for t in piece.column(0).to_pylist()], piece.column(1).to_pylist()
+                    marks = [_mark(t, x) for t, x in zip(strings, langs, strict=True)]
+                    found = _all_likelihoods(strings, langs, shared, share)
+                    yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(found)], names=["_key", "_found"])
+
+        out.append(cut(docs.select("text", "lang").mapInArrow(measured, "_key binary, _found double").dropDuplicates(["_key"])))
+        for part in shared:
+            part.unpersist()
     return out
 
 
@@ -349,6 +456,25 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(drawn.join(starts, _same() & (F.col("_range") == F.col("_at"))).select("_id", "good", (turn % 2 == 0).alias("held")))
 
 
+def _maybe(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """All documents that ``chosen`` names, and few others, so that few texts are shuffled: by a table of bits of a fixed size."""
+    if docs.schema["doc_id"].dataType != chosen.schema["_id"].dataType:
+        return docs
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(BITS - 1))
+    found = chosen.select(place("_id").alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, int(place & 63)))").alias("bits")).toArrow()  # BITS / 64 rows at most
+    table = np.zeros(BITS >> 6, np.uint64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def named(places: pa.Array) -> pa.Array:
+        at = places.to_numpy()
+        return pa.array((shared.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    return docs.where(named(place("doc_id")))
+
+
 def _among(docs: DataFrame, chosen: DataFrame, *columns: str) -> DataFrame:
     """``columns`` of the documents that ``chosen`` names, one row for each id."""
     return docs.join(chosen, F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select(*columns)
@@ -455,8 +581,10 @@ def _learned(docs: DataFrame, labelled: DataFrame | None, lower: float, upper: f
     texts = docs.select("text", "lang")
     if labelled is None:  # nothing tells good from odd
         return texts
-    first = cut(train(_among(docs, labelled.where(F.col("good") & ~F.col("held")), "text", "lang")))
-    held = cut(scored(_among(docs, labelled.where("held"), "text", "lang", "good"), first, ["lang", "good"]))
+    used = labelled.where(F.col("good") | F.col("held"))
+    known = cut(_among(_maybe(docs, used), used, "text", "lang", "good", "held"))
+    first = cut(train(known.where(F.col("good") & ~F.col("held")).select("text", "lang")))
+    held = cut(scored(known.where("held"), first, ["lang", "good"]))
     middles = _centred(held.where("good"))
     bands = cut(_labelled_bands(held, middles, lower, upper))
     # a language without enough labels goes by the base rule alone
