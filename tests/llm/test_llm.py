@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import bwt, chat, jaccard, langid, leaks, mix, pages, place, quality, queries, simple8b, suffix, tokens
+from weftgraph.llm import bwt, chat, common, jaccard, langid, leaks, mix, pages, place, quality, queries, simple8b, suffix, tokens
 
 DOCS = "doc_id long, text string, lang string, source string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -405,6 +405,17 @@ def test_verdicts_follow_labels(spark):
     assert quality.verdicts(frame, labels=known.limit(0)).count() == 150
 
 
+def test_powers_are_kept(monkeypatch):
+    """Powers for span hashes are made once, not for each slice, and a long text does not stay in memory."""
+    base = int(common.BASE)
+    want = [pow(base, k, 1 << 64) for k in range(301)]
+    assert common.powers(common.BASE, 300).tolist() == want and common.powers(common.BASE, 7).tolist() == want[:8]
+    assert np.shares_memory(common.powers(common.BASE, 100), common.powers(common.BASE, 90))
+    monkeypatch.setattr(common, "POWERS", 50)
+    monkeypatch.setattr(common, "_powers", {})
+    assert common.powers(common.BASE, 300).tolist() == want and not common._powers
+
+
 def test_few_texts_are_shuffled(spark):
     """Before texts meet labels, those of documents without one go; every labelled document stays."""
     docs = spark.range(20000).selectExpr("id AS doc_id", "'a' AS text").unionByName(spark.sql("SELECT CAST(NULL AS LONG) doc_id, 'b' text"))
