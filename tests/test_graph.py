@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph import schema
-from weftgraph.operators import components, condense, cycles, gate, layering, metrics, reach
+from weftgraph.operators import components, condense, cycles, gate, layering, metrics, packs, reach
 from weftgraph.session import cut
 
 
@@ -405,3 +405,56 @@ def test_corpus_reads_line_items_once(spark, tmp_path):
     for df in (nodes, edges):
         assert not any("lineitem" in f for f in df.inputFiles())
     assert nodes.count() == 6 and edges.count() > 0
+
+
+def listing(found, limit):
+    rows = cycles.listed_cycles(found, limit).orderBy("project_id", F.expr("int(substr(cycle_id, 7))")).collect()
+    listed = defaultdict(list)
+    for r in rows:
+        listed[r.project_id].append(tuple(r.chain[:-1]))
+    return listed
+
+
+@pytest.mark.parametrize(("limit", "held", "in_rounds"), [(200, 8_000_000, False), (5, 8_000_000, False), (5, 100, True), (None, 8_000_000, False)])
+def test_cycles_of_a_part_in_one_task(world, scc, monkeypatch, limit, held, in_rounds):
+    """Components that a task holds take no rounds; those whose paths are too many for it go through the rounds, and nothing is listed twice."""
+    graphs, _, edges = world
+    if limit is None:
+        edges = edges.where("project_id <> 'k9'")
+    calls, rounds = [], cycles._best_first
+    monkeypatch.setattr(cycles, "_best_first", lambda *a: calls.append(1) or rounds(*a))
+    monkeypatch.setattr(cycles, "HELD", held, raising=False)
+    found = cut(cycles.all_cycles(edges, scc, limit, whole=1_000))
+    assert bool(calls) == in_rounds
+    listed = listing(found, limit or 10**6)
+    cut_short = {r.project_id: r.truncated for r in cycles.truncated_projects(found, limit or 10**6).collect()}
+    for p, graph in graphs.items():
+        want = simple_cycles(graph) if limit or p != "k9" else []
+        assert listed[p] == want[:limit] and cut_short.get(p, False) == (limit is not None and len(want) > limit)
+
+
+def test_large_components_go_in_rounds(world, scc, monkeypatch):
+    graphs, _, edges = world
+    calls, rounds = [], cycles._best_first
+    monkeypatch.setattr(cycles, "_best_first", lambda inner, limit: calls.append({r.project_id for r in inner.collect()}) or rounds(inner, limit))
+    listed = listing(cycles.all_cycles(edges.where("project_id in ('k9', 'ring', 'r1', 'loop')"), scc, 30, whole=40), 30)
+    assert calls == [{"k9"}] and all(listed[p] == simple_cycles(graphs[p])[:30] for p in ("k9", "ring", "r1", "loop"))
+
+
+def test_repeated_edges_in_one_task(make_graph):
+    _, edges = make_graph("abc", [("a", "b"), ("a", "b"), ("b", "a"), ("b", "c"), ("c", "a"), ("c", "c")])
+    found = cycles.all_cycles(edges, components.strong_components(edges), whole=100).collect()
+    assert sorted(tuple(r.path) for r in found) == [("a", "b")] * 2 + [("a", "b", "c")] * 2 + [("c",)]
+
+
+def test_strong_components_with_and_without_rounds(world, monkeypatch):
+    """Projects that a task holds whole take no rounds; larger ones do, and give the same."""
+    graphs, _, edges = world
+    labels, calls = components._two_way_labels, []
+    monkeypatch.setattr(components, "_two_way_labels", lambda *a, **k: calls.append(1) or labels(*a, **k))
+    rows = lambda: {(r.project_id, r.component_id, r.node_id) for r in components.strong_components(edges).collect()}
+    want = {(p, min(g), n) for p, graph in graphs.items() for g in true_scc(graph) for n in g}
+    assert rows() == want and not calls
+    for most in (8, 0):
+        monkeypatch.setattr(packs, "EDGES_IN_TASK", most)
+        assert rows() == want and calls
