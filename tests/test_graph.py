@@ -458,3 +458,53 @@ def test_strong_components_with_and_without_rounds(world, monkeypatch):
     for most in (8, 0):
         monkeypatch.setattr(packs, "EDGES_IN_TASK", most)
         assert rows() == want and calls
+
+
+def test_betweenness_of_parts_in_tasks(world, monkeypatch):
+    """Parts that a task holds take no batches, whether one task walks from all files or several share them; larger parts do."""
+    _, nodes, edges = world
+    value = lambda **more: {(r.project_id, r.node_id): round(r.betweenness, 9) for r in metrics.betweenness(nodes, edges, **more).collect()}
+    want = value()
+    batched, flows = [], metrics._flows_in_batches
+    monkeypatch.setattr(metrics, "_flows_in_batches", lambda named, rows: batched.append({r.project_id for r in named.collect()}) or flows(named, rows))
+    assert value(whole=1_000) == want and not batched
+    monkeypatch.setattr(packs, "STEPS_IN_TASK", 100)
+    assert value(whole=1_000) == want and not batched
+    assert value(whole=40) == want and batched == [{"k9"}]  # the ring and the chain are one weak component each, below the bound
+
+
+def test_parts_of_large_projects(make_graph, spark):
+    """A project of too many edges is taken apart into weak components; what stays too large is handed back."""
+    nodes, edges = make_graph("abcdefghxyz", [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("f", "e"), ("g", "h"), ("x", "y"), ("x", "y"), ("y", "x")])
+    ids = nodes.select("project_id", "node_id")
+    for known in (None, components.weak_components(nodes, edges).withColumnRenamed("component", "part")):
+        held = components.parts(edges, 2, ids, known)
+        assert {(r.part, r.source, r.target) for r in held.small.collect()} == {("d", "d", "e"), ("d", "f", "e"), ("g", "g", "h")} and held.count == 3
+        assert sorted((r.source, r.target) for r in held.large.collect()) == [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("x", "y"), ("y", "x")]
+        near, far = held.place(ids)
+        assert {(r.part, r.node_id) for r in near.collect()} == {("d", "d"), ("d", "e"), ("d", "f"), ("g", "g"), ("g", "h"), ("z", "z")}
+        assert {r.node_id for r in far.collect()} == set("abcxy")
+
+
+@pytest.mark.parametrize("states", [1, 50, 2_000_000])
+def test_walks_of_a_pack(states, monkeypatch):
+    """Batches of any size give the distances and flows of a plain walk."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(packs, "STATES", states)
+    rnd = random.Random(5)
+    graphs = {f"p{i}": {(a, b) for a in "abcdefgh" for b in "abcdefgh" if rnd.random() < 0.15} for i in range(5)}
+    rows = sorted((p, "", a, b, 1, 0) for p, pairs in graphs.items() for a, b in pairs)
+    names = ("project_id", "part", "source", "target", "shares", "share")
+    pack = packs.Pack(pa.table({k: pa.array(v) for k, v in zip(names, zip(*rows, strict=True), strict=True)}))
+    walks, name = packs.Walks(pack, pack.source, pack.target), list(zip(pack.projects.to_pylist(), pack.names.to_pylist(), strict=True))
+    for hops in (None, 2):
+        got = defaultdict(dict)
+        for roots, base, total in walks.batches(np.arange(pack.n)):
+            dist = packs.distances(walks, roots, base, total, hops)
+            places = np.flatnonzero(dist >= 0)
+            for at, node, d in zip(*walks.nodes(roots, base, places), dist[places], strict=True):
+                got[name[roots[at]]][name[node][1]] = d
+        for p, n in name:
+            assert got[p, n] == {k: d for k, d in bfs(adjacency((None, graphs[p])), n).items() if hops is None or d <= hops}
