@@ -508,3 +508,38 @@ def test_walks_of_a_pack(states, monkeypatch):
                 got[name[roots[at]]][name[node][1]] = d
         for p, n in name:
             assert got[p, n] == {k: d for k, d in bfs(adjacency((None, graphs[p])), n).items() if hops is None or d <= hops}
+
+
+def test_reach_of_parts_in_tasks(world, scc, monkeypatch):
+    """Walks in tasks give the rows of the walks in levels: with whole projects, with weak components of large ones, and with parts too large."""
+    graphs, nodes, edges = world
+    files, roots = nodes.select("project_id", F.col("node_id").alias("file")), nodes.select("project_id", F.col("node_id").alias("root"))
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(reach.impact(edges, files)), rows(reach.neighbourhood(edges, roots, 2)), rows(layering.feedback_edges(edges, scc))
+    for whole, steps in ((1_000, 10**9), (1_000, 100), (12, 10**9)):
+        monkeypatch.setattr(packs, "STEPS_IN_TASK", steps)
+        levels, count = [], reach.cut_count
+        monkeypatch.setattr(reach, "cut_count", lambda df: levels.append(1) or count(df))
+        got = (rows(reach.impact(edges, files, whole=whole)), rows(reach.neighbourhood(edges, roots, 2, whole=whole)),
+               rows(layering.feedback_edges(edges, scc, whole=whole)))
+        assert got == want and bool(levels) == (whole == 12)
+        monkeypatch.setattr(reach, "cut_count", count)
+
+
+def test_reach_keeps_roots_without_a_name(spark, make_graph):
+    """A root that is null, or in no project, reaches itself only, once."""
+    _, edges = make_graph("ab", [("a", "b")])
+    roots = spark.createDataFrame([("p", "a"), ("p", "a"), ("p", None), ("p", None), (None, "a")], "project_id string, root string")
+    rows = lambda **more: {(r.project_id, r.root, r.node) for r in reach.neighbourhood(edges, roots, 2, **more).collect()}
+    assert rows(whole=10) == rows() == {("p", "a", "a"), ("p", "a", "b"), ("p", None, None), (None, "a", "a")}
+
+
+def test_depth_with_and_without_rounds(world, scc, monkeypatch):
+    _, nodes, edges = world
+    rows = lambda: {(r.project_id, r.node_id): r.depth for r in components.dependency_depth(nodes, edges, scc).collect()}
+    rounds, lengths = [], condense.chain_lengths
+    monkeypatch.setattr(condense, "chain_lengths", lambda links: rounds.append(1) or lengths(links))
+    want = rows()
+    assert not rounds
+    monkeypatch.setattr(packs, "EDGES_IN_TASK", 4)
+    assert rows() == want and rounds
