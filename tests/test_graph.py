@@ -473,17 +473,21 @@ def test_betweenness_of_parts_in_tasks(world, monkeypatch):
     assert value(whole=40) == want and batched == [{"k9"}]  # the ring and the chain are one weak component each, below the bound
 
 
-def test_parts_of_large_projects(make_graph, spark):
+def test_parts_of_large_projects(make_graph, monkeypatch):
     """A project of too many edges is taken apart into weak components; what stays too large is handed back."""
     nodes, edges = make_graph("abcdefghxyz", [("a", "b"), ("b", "c"), ("c", "a"), ("d", "e"), ("f", "e"), ("g", "h"), ("x", "y"), ("x", "y"), ("y", "x")])
     ids = nodes.select("project_id", "node_id")
-    for known in (None, components.weak_components(nodes, edges).withColumnRenamed("component", "part")):
+    of = {"d": "d", "e": "d", "f": "d", "g": "g", "h": "g", "z": "z"}
+    for links, known in ((2_000_000, None), (3, None), (3, components.weak_components(nodes, edges).withColumnRenamed("component", "part"))):
+        monkeypatch.setattr(components, "LINKS_IN_TASK", links)  # by hashes in a task, and in rounds
         held = components.parts(edges, 2, ids, known)
-        assert {(r.part, r.source, r.target) for r in held.small.collect()} == {("d", "d", "e"), ("d", "f", "e"), ("g", "g", "h")} and held.count == 3
+        rows = held.small.collect()
+        assert sorted((r.source, r.target) for r in rows) == [("d", "e"), ("f", "e"), ("g", "h")] and held.count == 3
         assert sorted((r.source, r.target) for r in held.large.collect()) == [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("x", "y"), ("y", "x")]
         near, far = held.place(ids)
-        assert {(r.part, r.node_id) for r in near.collect()} == {("d", "d"), ("d", "e"), ("d", "f"), ("g", "g"), ("g", "h"), ("z", "z")}
-        assert {r.node_id for r in far.collect()} == set("abcxy")
+        placed = {r.node_id: r.part for r in near.collect()}
+        assert set(placed) == set(of) and all((placed[a] == placed[b]) == (of[a] == of[b]) for a in of for b in of)
+        assert all(r.part == placed[r.source] for r in rows) and {r.node_id for r in far.collect()} == set("abcxy")
 
 
 @pytest.mark.parametrize("states", [1, 50, 2_000_000])
